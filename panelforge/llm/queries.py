@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_rules, sentencepiece_bpe, url_filters
+from . import flac_media, licenses, quality_rules, sentencepiece_bpe, url_filters
 from .tables import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), model, with_text=False)
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.read_media(flac_media.write_media(table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), *licenses.default_known(spark))
     return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
@@ -31,7 +35,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op6_license_scan, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_flac_media, op6_license_scan, op8_url_filters, op9_quality_rules)}
 
 
 def _sql_text(x: str) -> str:
