@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, licenses, quality_rules, sentencepiece_bpe, url_filters
+from . import flac_media, licenses, quality_rules, sentencepiece_bpe, toxicity, url_filters
 from .tables import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.training_texts(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_windows", "n_flagged")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +41,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_flac_media, op6_license_scan, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op6_license_scan, op8_url_filters, op9_quality_rules)}
 
 
 def _sql_text(x: str) -> str:
