@@ -134,8 +134,7 @@ def train(
     least_ratio: float = 15.0,
     seed: int = 7,
 ) -> Model:
-    """A model of labelled texts. Threshold and curve come from one half of them, for dictionaries of
-    the other half; then the dictionaries are trained on all.
+    """A model of labelled texts: dictionaries from one half of them, threshold and curve from the other.
 
     Without texts of one of the labels, or without marks, every score is the share of toxic texts
     (0 if there are none at all).
@@ -171,9 +170,8 @@ def train(
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
         w += np.clip(step, -4, 4)
-    final = dictionaries(toxic, ordinary) or model
-    final.threshold, final.weights = model.threshold, w.tolist()
-    return final
+    model.weights = w.tolist()
+    return model
 
 
 def held_out(id_col: str) -> Column:
