@@ -74,11 +74,11 @@ def _repeated(words: Column) -> Column:
     return bind(F.transform(words, lambda w: F.xxhash64(w)), of_hashes).cast("long")
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", *, repeats: bool = True) -> DataFrame:
     """`docs` with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and STATISTICS.
 
     Words are runs of characters other than space and \\t to \\r. Without words, the rates are 0.
-    Equal 3-word windows are found by 64-bit hashes.
+    Equal 3-word windows are found by 64-bit hashes; without `repeats` they aren't sought and count as none.
     """
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -90,7 +90,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             F.size(F.filter(w, lambda x: F.length(x) > 20)).cast("long").alias("n_long_words"),
-            _repeated(w).alias("n_repeat_words"),
+            (_repeated(w) if repeats else F.lit(0).cast("long")).alias("n_repeat_words"),
         )),
     ).withColumn(
         "_l", bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, licenses, quality_rules, sentencepiece_bpe, toxicity, url_filters
+from . import flac_media, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, sentencepiece_bpe, toxicity, url_filters
 from .tables import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,11 +28,25 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.read_media(flac_media.write_media(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_bayes.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality_score", "kept")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), *licenses.default_known(spark))
     return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
@@ -41,7 +55,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op6_license_scan, op8_url_filters, op9_quality_rules)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op4_quality_bayes, op5_mixing, op6_license_scan, op7_ngram_jaccard, op8_url_filters, op9_quality_rules, op10_line_dedup)}
 
 
 def _sql_text(x: str) -> str:
@@ -85,5 +103,41 @@ from parsed left join rules on (host = rhost or ends_with(host, '.' || rhost)) a
 qualify row_number() over (partition by r order by length(rhost || rpath) desc nulls last) = 1"""
 
 
+def _mixing_sql(rounds: int = 8, keep: float = 0.5, seed: int = 17) -> str:
+    """mix_sources() with its default targets, unrolled."""
+    ctes = ["""
+named as (
+  select doc_id, source, lang,
+    case when bars * 50 > size then 'table' when digits * 25 > size then 'numeric' when size < 60 * (breaks + 1) then 'list' else 'prose' end as topic, n_tokens
+  from (
+    select doc_id, source, lang, length(t) as size, length(t) - length(replace(t, '|', '')) as bars, length(regexp_replace(t, '[^0-9]+', '', 'g')) as digits,
+      length(t) - length(replace(t, chr(10), '')) as breaks, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as n_tokens
+    from (select *, coalesce(text, '') as t from documents))),
+cells as (select source, lang, topic, sum(n_tokens)::double as n from named group by all having sum(n_tokens) > 0),
+total as (select sum(n) as n from cells)"""]
+    for d in mixing.DIMENSIONS:
+        ctes.append(f"t_{d} as (select {d}, s / sum(s) over () as share from (select {d}, power(sum(n), {mixing.POWERS[d]}) as s from cells group by 1))")
+    last = "(select *, n as w from cells)"
+    for k in range(rounds):
+        for d in mixing.DIMENSIONS:
+            ctes.append(
+                f"r{k}_{d} as materialized (select c.source, c.lang, c.topic, c.n, c.w * t.share * (select n from total) / sum(c.w) over (partition by c.{d}) as w "
+                f"from {last} c join t_{d} t on c.{d} is not distinct from t.{d})"
+            )
+            last = f"r{k}_{d}"
+    ctes.append(f"s0 as (select {keep}::double as s)")
+    for k in range(6):
+        ctes.append(
+            f"s{k + 1} as materialized (select greatest(coalesce(({keep} * sum(n) - coalesce(sum(n) filter (w / n * s >= 1), 0)) / sum(w) filter (w / n * s < 1), max(s)), max(s)) as s "
+            f"from {last}, s{k})"
+        )
+    return f"""with {", ".join(ctes)}
+select doc_id, d.source, d.lang, d.topic, n_tokens, coalesce(round(case when n_tokens > 0 then w / n end, 6), 0) as rate,
+  coalesce(round(case when n_tokens > 0 then least(w / n * s, 1) end, 6), 0) as probability,
+  coalesce(n_tokens > 0 and ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double < least(w / n * s, 1), false) as sampled
+from named d cross join s6 left join {last} c
+  on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic = c.topic"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": _license_sql(), "op8_url_filters": _url_sql()}
+    return {"op5_mixing": _mixing_sql(), "op6_license_scan": _license_sql(), "op8_url_filters": _url_sql()}

@@ -220,7 +220,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         names = list(map(str, range(len(own.bytes_of))))
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             found: dict[str, list] = {k: [] for k in ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")}
             for text in batch.column("_text"):
                 ids = own.encode(text.as_py())

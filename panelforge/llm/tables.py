@@ -38,3 +38,11 @@ def saved(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; reads no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name made of `name` that `df` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
