@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import written
 
 
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
@@ -13,11 +13,11 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
 
     Each round links every node's larger neighbours to its least one, then its smaller ones (Kiveris
     et al., "Connected components in MapReduce and beyond"); the number of edges never grows, rounds
-    go with the logarithm of the size, and every round is written to the shared checkpoint folder.
+    go with the logarithm of the size, and every round is written to the shared folder.
     A node of many neighbours is met by partial aggregation only. Loops, repeated edges and nulls
     are left out; raises RuntimeError if it doesn't converge within `max_rounds`.
     """
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -25,7 +25,7 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = saved(small.where("a <> b").distinct())
+        after = written(small.where("a <> b").distinct())
         old, new = (df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first() for df in (edges, after))
         edges = after
         if old == new:

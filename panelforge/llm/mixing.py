@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh, is_small, saved, text_of
+from .tables import fresh, is_small, text_of, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A value's target share is its share of tokens to this power, made to sum to 1: below 1 it evens out.
@@ -47,7 +47,7 @@ def _targets(cells: DataFrame, dimension: str, power: float, given: DataFrame |
         given = given.select(F.col("value").alias("_v"), F.col("share").cast("double").alias("w"))
         wanted = sums.join(given, F.col("value").eqNullSafe(F.col("_v")), "left").select("value", F.coalesce("w", F.lit(0.0)).alias("w"))
     total = wanted.agg(F.sum("w")).first()[0] or 1.0
-    return saved(wanted.select("value", (F.col("w") / total).alias("share")))
+    return written(wanted.select("value", (F.col("w") / total).alias("share")))
 
 
 def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, rounds: int = 8) -> DataFrame:
@@ -57,7 +57,7 @@ def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str
     Each round is one plan over the cells, whose sums are aggregated before they are shuffled.
     """
     given = given or {}
-    cells = saved(cells.where("n > 0"))
+    cells = written(cells.where("n > 0"))
     total = cells.agg(F.sum("n")).first()[0] or 0
     targets = {d: _targets(cells, d, powers.get(d, 1.0), given.get(d)) for d in DIMENSIONS}
     fitted = cells.withColumn("w", F.col("n").cast("double"))
@@ -66,7 +66,7 @@ def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str
             sums = fitted.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("_sum")).join(targets[d], F.col("_v").eqNullSafe(F.col("value")))
             factor = sums.select("_v", F.when(F.col("_sum") > 0, F.col("share") * float(total) / F.col("_sum")).otherwise(0.0).alias("_f"))
             fitted = fitted.join(F.broadcast(factor) if d != "source" else factor, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("_f")).drop("_v", "_f")
-        fitted = saved(fitted)
+        fitted = written(fitted)
     return fitted
 
 

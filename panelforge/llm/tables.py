@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,28 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where spark.checkpoint.dir is unset (tests, one machine), one in the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/checkpoints")
+    return context.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests, one machine),
-    a folder below the working directory's spark-warehouse is used.
+
+def written(df: DataFrame) -> DataFrame:
+    """As saved(), but as a Parquet table, of whose past the optimizer knows nothing.
+
+    For loops: a checkpoint keeps what is known of its columns, and that multiplies from round to round.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            path = df.sparkSession.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/checkpoints"
-        context.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
