@@ -372,17 +372,17 @@ def i_signal_correlation(spark, d):
 
 _OTHERS = ["ls", "volume", "funding_rate"]
 _DIV = ", ".join(O.daily_ic("s", o, joint=True, name=f"d_{o}") for o in _OTHERS)
-_DIV_SQL = " + ".join(f"(select abs(avg(ic)) from d_{o})" for o in _OTHERS)
+_DIV_SQL = "(select coalesce(avg(c), 0) from (" + " union all ".join(f"select abs(avg(ic)) as c from d_{o}" for o in _OTHERS) + "))"
 
 
-@query(f"with {O.SIGNALS}, {_DIV} select 's' as formula, round(1 - ({_DIV_SQL}) / 3, 6) as diversity")
+@query(f"with {O.SIGNALS}, {_DIV} select 's' as formula, round(1 - {_DIV_SQL}, 6) as diversity")
 def i_diversity(spark, d):
     return rounded(ic.diversity(signals(spark, d), ["s"], _OTHERS), ["formula"], "diversity")
 
 
 @query(f"""
 with {O.SIGNALS}, {_DIV}, {O.daily_ic('s', 'r7')}, {O.hac('ic')}
-select 's' as formula, round(mean_ic, 6) + 0.0 as rank_ic, round(case when se > 0 then abs(mean_ic) / se else 0 end, 6) as stability, round(1 - ({_DIV_SQL}) / 3, 6) as diversity from hac2
+select 's' as formula, round(mean_ic, 6) + 0.0 as rank_ic, round(case when se > 0 then abs(mean_ic) / se else 0 end, 6) as stability, round(1 - {_DIV_SQL}, 6) as diversity from hac2
 union all select 'unknown', -99.0, -99.0, 0.0""")
 def i_fitness(spark, d):
     wide = signals(spark, d).withColumn("unknown", F.lit(None).cast("double"))
