@@ -98,6 +98,19 @@ def select(trees: list[Node], fitness: list[Fitness], k: int) -> list[int]:
     return [good[i] for i in chosen]
 
 
+def double_tournament(rng: random.Random, trees: list[Node], fitness: list[Fitness], k: int, *, fit_size: int = 3, parsimony: float = 1.4) -> list[int]:
+    """Indices of `k` winners: fitness tournaments, then, with probability parsimony / 2, the smaller of two winners."""
+    def best() -> int:
+        return max((rng.randrange(len(trees)) for _ in range(fit_size)), key=lambda i: fitness[i].rank_ic)
+
+    out = []
+    for _ in range(k):
+        a, b = best(), best()
+        small, large = sorted((a, b), key=lambda i: trees[i].size)
+        out.append(small if trees[small].size == trees[large].size or rng.random() < parsimony / 2 else large)
+    return out
+
+
 def pareto(trees: list[Node], fitness: list[Fitness]) -> list[int]:
     """Indices of the feasible non-dominated formulas, each once."""
     seen: dict[str, int] = {}

@@ -7,13 +7,14 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.config import Config
 from panelforge.functions import columns as C
 from panelforge.operators import cleaning, ic, portfolio, validation
 from panelforge.operators.panel import BloatLimitExceeded, InvalidFormulaError, LookaheadBiasError
 from panelforge.plans import formula as P
-from panelforge.plans import search
+from panelforge.plans import runner, search
 from panelforge.plans.batch import evaluate
-from panelforge.sources import store
+from panelforge.sources import rest, store
 from panelforge.streaming import ingest
 
 DAY = date(2024, 1, 1)
@@ -194,3 +195,50 @@ def test_search_is_seeded(spark):
     names = [n for n in FACTORS if n in ("MOM_1D", "VOL_30D")]
     run = lambda: [str(t) for t, _ in search.Search(df, "r", population=4, generations=1, names=names, seed=9).run()]
     assert run() == run()
+
+
+def fake_fetch(symbol, cursor):
+    at = cursor or 0
+    return [{"t": at + i, "v": float(i)} for i in range(3)], (at + 3 if at < 6 else None)
+
+
+def test_paged_source_has_a_partition_for_each_symbol(spark):
+    spark.dataSource.register(rest.PagedSource)
+    df = spark.read.format("paged").schema("symbol string, t long, v double").option("fetcher", "tests.test_operators:fake_fetch").option("symbols", "A,B").load()
+    assert df.count() == 18 and df.rdd.getNumPartitions() == 2
+
+
+def test_retries_wait_as_they_should():
+    waits, left = [], [rest.TransientError(status=429), rest.TransientError(retry_after=500)]
+
+    def flaky():
+        if left:
+            raise left.pop(0)
+        return 7
+
+    assert rest.Retry(sleep=waits.append).call(flaky) == 7 and waits == [30.0, 60.0]
+    with pytest.raises(rest.TransientError):
+        rest.Retry(attempts=1).call(lambda: (_ for _ in ()).throw(rest.TransientError()))
+
+
+def test_configuration():
+    c = Config.of({"seed": 3, "search": {"population": 4}})
+    assert (c.seed, c.search.population, c.backtest.horizon) == (3, 4, 7)
+    with pytest.raises(KeyError):
+        Config.of({"search": {"nope": 1}})
+
+
+def test_measures_of_given_formulas(spark, sf):
+    from panelforge.operators.panel import brand_panel
+
+    front = [(P.parse("zscore(MOM_7D)"), ic.Fitness(0.1, 1.0, 1.0))]
+    got = runner.measure(brand_panel(spark, sf), front, Config())
+    row = got.report.first()
+    assert row["formula"] == "zscore(MOM_7D)" and row["max_drawdown"] <= 0 and 0 <= row["dsr"] <= 1
+    assert got.returns.count() > 300
+
+
+def test_tournaments_prefer_fit_and_small_trees():
+    trees = [P.parse("MOM_1D"), P.parse("rank(rank(MOM_1D))")]
+    won = search.double_tournament(random.Random(1), trees, [ic.Fitness(1, 0, 0), ic.Fitness(0, 0, 0)], 200)
+    assert won.count(0) > 150
