@@ -14,6 +14,7 @@ from .operators.panel import brand_panel, supplier_panel, table
 from .plans import search
 from .plans.batch import evaluate, long_form
 from .plans.formula import BINARY, parse
+from .sources import store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,6 +202,51 @@ def s_availability(spark, d):
     return cleaning.first_available(e, ["user_id"])
 
 
+def _records(spark, d):
+    """Records as a source would send them, made of events: epoch milliseconds and numbers as text."""
+    e = table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return e.select("event_id", "ms", F.round("value", 4).cast("string").alias("v"), F.upper("event_type").alias("symbol"), "user_id")
+
+
+@query("""
+select event_id, date_trunc('millisecond', ts) as funding_time, round(value, 4) as funding_rate, case when user_id % 3 = 0 then 0.0 else user_id end as mark_price, upper(event_type) as symbol
+from events""")
+def s_funding_rows(spark, d):
+    raw = _records(spark, d).select("event_id", F.col("ms").alias("fundingTime"), F.col("v").alias("fundingRate"), F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).otherwise("").alias("markPrice"), "symbol")
+    return store.funding_rows(raw.withColumn("symbol", F.struct("symbol", "event_id"))).select("symbol.event_id", "funding_time", "funding_rate", "mark_price", "symbol.symbol")
+
+
+@query("""
+select event_id, round(value, 4) as volume, case when round(value, 4) > 0 then round(user_id / round(value, 4), 6) end as taker_buy_ratio,
+  case when round(value, 4) > 0 then round((2 * user_id - round(value, 4)) / round(value, 4), 6) end as taker_net_volume from events""")
+def s_taker_rows(spark, d):
+    raw = _records(spark, d).select(F.col("ms").alias("open_ms"), F.col("v").alias("volume"), F.col("user_id").cast("string").alias("taker_buy_base"), F.col("event_id").alias("symbol"))
+    return rounded(store.taker_rows(raw).withColumnRenamed("symbol", "event_id"), ["event_id"], "volume", "taker_buy_ratio", "taker_net_volume")
+
+
+@query("select event_id, round(value, 4) as buy_ratio, (user_id % 5)::double as sell_ratio, round(round(value, 4) / nullif(user_id % 5, 0), 6) + 0.0 as ls_ratio from events")
+def s_long_short_rows(spark, d):
+    raw = _records(spark, d).select(F.col("ms").cast("string").alias("timestamp"), F.col("v").alias("buyRatio"), (F.col("user_id") % 5).cast("string").alias("sellRatio"), F.col("event_id").alias("symbol"))
+    return rounded(store.long_short_rows(raw).withColumnRenamed("symbol", "event_id"), ["event_id"], "buy_ratio", "sell_ratio", "ls_ratio")
+
+
+@query("select event_id, date_trunc('millisecond', ts) as timestamp, round(value, 4) as open_interest, round(value, 4) as open_interest_usd from events")
+def s_interest_rows(spark, d):
+    raw = _records(spark, d).select(F.col("ms").cast("string").alias("timestamp"), F.col("v").alias("openInterest"), F.col("event_id").alias("symbol"))
+    return store.interest_rows(raw).select(F.col("symbol").alias("event_id"), "timestamp", "open_interest", "open_interest_usd")
+
+
+@query("""
+select c_custkey as id, upper(c_name) as symbol, c_acctbal as market_cap, case when c_custkey % 4 > 0 then c_mktsegment end as category
+from customer order by c_acctbal desc, c_custkey limit 50""")
+def s_universe_rows(spark, d):
+    c = table(spark, d, "customer")
+    raw = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("symbol"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("market_cap"), F.lit(1).alias("market_cap_rank"),
+                   F.col("c_acctbal").alias("current_price"), F.when(F.col("c_custkey") % 4 > 0, F.array("c_mktsegment")).alias("categories"))
+    rows = store.universe_rows(raw, "2024-01-01", 50)
+    return store.fresh_universe(rows, "2024-01-02").select("id", "symbol", "market_cap", F.try_element_at("categories", F.lit(1)).alias("category"))
+
+
 # --- factors and formulas -----------------------------------------------------------------------
 
 for _name in factors.FACTORS:

@@ -48,6 +48,25 @@ class MarketStore:
         """Records (symbol, day) for which a source confirmed that there is nothing."""
         days.select("symbol", "day", F.lit(source).alias("source"), F.current_timestamp().alias("marked_at")).write.mode("append").parquet(f"{self.root}/empty_days")
 
+    def fill(self, source: str, start: str, end: str, read, *, at: str, symbol: str = "symbol") -> int:
+        """Reads what is missing by `read(days)` (days: symbol, day), stores it, and marks days that had nothing.
+
+        Returns the number of days that were missing. If `read` fails, nothing is marked, so that
+        only confirmed gaps are.
+        """
+        gaps = self.missing(source, start, end).persist()
+        try:
+            n = gaps.count()
+            if n:
+                rows = read(gaps).persist()
+                found = rows.select(F.col(symbol).alias("symbol"), F.to_date(at).alias("day")).distinct()
+                self.mark_empty(gaps.join(found, ["symbol", "day"], "left_anti"), source)
+                self.store(rows, source, at=at, symbol=symbol)
+                rows.unpersist()
+            return n
+        finally:
+            gaps.unpersist()
+
     def availability(self, source: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.root}/observations").where(F.col("source") == source)
         return rows.groupBy("symbol").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_rows"))
@@ -59,6 +78,27 @@ class MarketStore:
         return self.spark.read.parquet(f"{self.root}/tables/{name}")
 
 
+def ohlcv_rows(raw: DataFrame) -> DataFrame:
+    """timestamp_ms, open, high, low, close, volume, date_utc, symbol from candle records."""
+    return raw.select("timestamp_ms", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")], F.timestamp_millis("timestamp_ms").alias("date_utc"), "symbol")
+
+
+def universe_rows(raw: DataFrame, snapshot: str, top: int) -> DataFrame:
+    """The `top` coins by market value: id, symbol in upper case, name, market_cap, market_cap_rank, current_price, categories, snapshot_date."""
+    day = F.lit(snapshot).cast("date")
+    rows = raw.orderBy(F.col("market_cap").desc_nulls_last(), "id").limit(top)
+    return rows.select(
+        "id", F.upper("symbol").alias("symbol"), "name", F.col("market_cap").cast("double").alias("market_cap"), F.col("market_cap_rank").cast("int").alias("market_cap_rank"),
+        F.col("current_price").cast("double").alias("current_price"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), day.alias("date_utc"), day.alias("snapshot_date"),
+    )
+
+
+def fresh_universe(snapshots: DataFrame, today: str, ttl_hours: int = 24) -> DataFrame:
+    """The latest snapshot, if it is not older than `ttl_hours`; else no rows."""
+    latest = snapshots.agg(F.max("snapshot_date").alias("_d")).where(F.datediff(F.lit(today).cast("date"), "_d") * 24 <= ttl_hours)
+    return snapshots.join(F.broadcast(latest), F.col("snapshot_date") == F.col("_d")).drop("_d")
+
+
 def funding_rows(raw: DataFrame) -> DataFrame:
     """funding_time, funding_rate, mark_price, symbol from records of text fields; an empty price is 0."""
     price = F.coalesce(F.try_to_number("markPrice", F.lit("999999999999.999999999999")).cast("double"), F.lit(0.0))

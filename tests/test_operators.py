@@ -171,6 +171,15 @@ def test_store_finds_gaps(spark, tmp_path):
     assert s.missing("funding", "2024-01-01", "2024-01-03").count() == 0
 
 
+def test_filling_stores_what_comes_and_marks_what_does_not(spark, tmp_path):
+    s = store.MarketStore(spark, str(tmp_path / "f"))
+    s.store(spark.createDataFrame([("BTC", DAY, 1.0)], "symbol string, at date, v double"), "oi", at="at")
+    read = lambda days: days.where("day = date '2024-01-02'").select("symbol", F.col("day").alias("at"), F.lit(2.0).alias("v"))
+    assert s.fill("oi", "2024-01-01", "2024-01-03", read, at="at") == 2
+    assert s.fill("oi", "2024-01-01", "2024-01-03", read, at="at") == 0
+    assert s.load_range("oi", "2024-01-01", "2024-01-03").count() == 2
+
+
 def test_synthetic_panel(spark):
     df = store.synthetic_panel(spark, tickers=5, days=10)
     assert df.count() == 50 and df.select("ticker").distinct().count() == 5
