@@ -64,7 +64,7 @@ def _normalizer(model: bytes) -> dict:
 class Encoder:
     """One model's tables. Only models without normalization rules are taken (a ValueError else)."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         with open(path, "rb") as file:
             spec = _normalizer(file.read())
         if spec["rules"] or spec["remove_extra_spaces"] or not spec["escape_spaces"]:
@@ -102,7 +102,10 @@ class Encoder:
         inner = any(SPACE in x.lstrip(SPACE) for x in self.id_of)
         breaks = "" if "\n" in self.alphabet else r"\n"
         self.part = re.compile(r"(?s:.+)" if inner else rf"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (r"|\n" if breaks else ""))
-        self.memo: dict[str, list[int]] = {}
+        # parts seen lately, in two generations: when the newer one is full it becomes the older one,
+        # so what recurs stays and the size is bounded
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.memo_size = memo
 
     def _merge(self, text: str) -> list[str]:
@@ -175,14 +178,17 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        memo, ids = self.memo, []
+        memo, older, ids = self.memo, self.older, []
         for part in self.part.findall(self.prefix + text.replace(" ", SPACE)):
             got = memo.get(part)
             if got is None:
-                got = self._part(part)
+                got = older.get(part)
+                if got is None:
+                    got = tuple(self._part(part))
                 if len(part) <= 64:
                     if len(memo) >= self.memo_size:
-                        memo.clear()
+                        older = self.older = memo
+                        memo = self.memo = {}
                     memo[part] = got
             ids += got
         return ids
