@@ -129,14 +129,13 @@ def overlapping_pairs(index: DataFrame, *, rare: int = 50) -> DataFrame:
     that at most `rare` documents hold, with the holder before it.
     """
     held = index.select("doc", F.explode(F.array_remove(F.array_distinct("hashes"), 0)).alias("line"))
-    shared = held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1")
+    # written, so that the join below is of two exchanges, of which adaptive execution splits large partitions
+    shared = saved(held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1"))
     hits = held.join(shared, "line")
     to_first = hits.where(F.col("doc") > F.col("first")).select("doc", F.col("first").alias("earlier"))
     by_line = Window.partitionBy("line").orderBy("doc")  # at most `rare` rows each
-    to_last = (
-        hits.where((F.col("holders") > 2) & (F.col("holders") <= rare))
-        .withColumn("earlier", F.lag("doc").over(by_line)).where(F.col("earlier").isNotNull()).select("doc", "earlier")
-    )
+    few = held.join(shared.where((F.col("holders") > 2) & (F.col("holders") <= rare)), "line").select("line", "doc")
+    to_last = few.repartition("line").withColumn("earlier", F.lag("doc").over(by_line)).where(F.col("earlier").isNotNull()).select("doc", "earlier")
     return to_first.unionByName(to_last).distinct()
 
 
