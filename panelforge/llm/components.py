@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import Rounds
 
 
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
@@ -17,7 +17,10 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     A node of many neighbours is met by partial aggregation only. Loops, repeated edges and nulls
     are left out; raises RuntimeError if it doesn't converge within `max_rounds`.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sums = F.count("*"), F.bit_xor(F.xxhash64("a", "b"))
+    state = edges.agg(*sums).first()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -25,10 +28,9 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = written(small.where("a <> b").distinct())
-        old, new = (df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first() for df in (edges, after))
-        edges = after
-        if old == new:
+        before, edges = state, rounds.write(small.where("a <> b").distinct())
+        state = edges.agg(*sums).first()
+        if before == state:
             break
     else:
         raise RuntimeError("components did not converge")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh, is_small, text_of, written
+from .tables import Rounds, fresh, is_small, saved, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A value's target share is its share of tokens to this power, made to sum to 1: below 1 it evens out.
@@ -47,26 +47,29 @@ def _targets(cells: DataFrame, dimension: str, power: float, given: DataFrame |
         given = given.select(F.col("value").alias("_v"), F.col("share").cast("double").alias("w"))
         wanted = sums.join(given, F.col("value").eqNullSafe(F.col("_v")), "left").select("value", F.coalesce("w", F.lit(0.0)).alias("w"))
     total = wanted.agg(F.sum("w")).first()[0] or 1.0
-    return written(wanted.select("value", (F.col("w") / total).alias("share")))
+    return saved(wanted.select("value", (F.col("w") / total).alias("share")))
 
 
-def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, rounds: int = 8) -> DataFrame:
+def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, rounds: int = 8, broadcast_values: int = 10_000) -> DataFrame:
     """`cells` (source, lang, topic, n tokens) with w, the raked weight; w sums to the sum of n.
 
     `given` can hold target shares (value, share) of a dimension; values it doesn't name get none.
-    Each round is one plan over the cells, whose sums are aggregated before they are shuffled.
+    Each round is one plan over the cells, whose sums are aggregated before they are shuffled; the
+    factors of a dimension of at most `broadcast_values` values are broadcast.
     """
     given = given or {}
-    cells = written(cells.where("n > 0"))
+    cells = saved(cells.where("n > 0"))
     total = cells.agg(F.sum("n")).first()[0] or 0
     targets = {d: _targets(cells, d, powers.get(d, 1.0), given.get(d)) for d in DIMENSIONS}
+    small = {d: is_small(targets[d], broadcast_values) for d in DIMENSIONS}
+    loop = Rounds(cells.sparkSession)
     fitted = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(rounds):
         for d in DIMENSIONS:
             sums = fitted.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("_sum")).join(targets[d], F.col("_v").eqNullSafe(F.col("value")))
             factor = sums.select("_v", F.when(F.col("_sum") > 0, F.col("share") * float(total) / F.col("_sum")).otherwise(0.0).alias("_f"))
-            fitted = fitted.join(F.broadcast(factor) if d != "source" else factor, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("_f")).drop("_v", "_f")
-        fitted = written(fitted)
+            fitted = fitted.join(F.broadcast(factor) if small[d] else factor, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("_f")).drop("_v", "_f")
+        fitted = loop.write(fitted)
     return fitted
 
 
@@ -87,8 +90,7 @@ def mix_sources(
     `keep` is the share of all tokens that the sample has in expectation. Nulls in source or lang
     are a value of their own. Null, empty and blank texts have no tokens: rate 0, never sampled.
     Rows of one id are sampled together. An empty table gives an empty result; columns named like
-    the new ones are replaced. Languages and topics are few (their sums are broadcast); sources may
-    be many. Cells are broadcast to the documents only if they number at most `broadcast_cells`.
+    the new ones are replaced. Cells are broadcast to the documents only if they number at most `broadcast_cells`.
     """
     docs = docs.drop("topic", "n_tokens", "rate", "probability", "sampled")
     text = text_of(text_col)

@@ -36,14 +36,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As saved(), but as a Parquet table, of whose past the optimizer knows nothing.
+class Rounds:
+    """Tables of a loop, in the shared folder: each round's is written, then the one before is deleted.
 
-    For loops: a checkpoint keeps what is known of its columns, and that multiplies from round to round.
+    Parquet and not a checkpoint: that keeps what the optimizer knows of its columns, which
+    multiplies from round to round. What a round reads must be the last table, or none of them.
     """
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.last = spark, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{_shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if self.last is not None:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
