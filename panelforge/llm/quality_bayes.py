@@ -144,5 +144,5 @@ def classify_quality(
     combined = 1 / (1 + F.exp(-(F.col("_e") + _odds(F.col("_path")))))
     return (
         out.withColumn("_path", posterior).withColumn("_score", combined)
-        .select(*[F.col(row)[c].alias(c) for c in docs.columns], F.col("_e").alias("evidence"), "host_posterior", F.col("_path").alias("path_posterior"), F.col("_score").alias("quality_score"), (F.col("_score") >= 0.5).alias("kept"))
+        .select(f"{row}.*", F.col("_e").alias("evidence"), "host_posterior", F.col("_path").alias("path_posterior"), F.col("_score").alias("quality_score"), (F.col("_score") >= 0.5).alias("kept"))
     )
