@@ -77,7 +77,8 @@ def signal_correlations(wide: DataFrame, pairs: list[tuple[str, str]], least: in
     both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("r")) for a, b in pairs])
     rows = wide.select("date_utc", F.explode(both).alias("p")).select("date_utc", "p.*")
     daily = daily_ic(rows, "r", joint=True, by=["a", "b"], least=least)
-    return daily.groupBy("a", "b").agg(F.abs(F.avg("ic")).alias("corr"))
+    means = daily.groupBy("a", "b").agg(F.abs(F.avg("ic")).alias("corr"))
+    return wide.sparkSession.createDataFrame(pairs, "a string, b string").join(means, ["a", "b"], "left")
 
 
 def diversity(wide: DataFrame, names: list[str], others: list[str], least: int = LEAST) -> DataFrame:
