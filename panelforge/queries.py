@@ -361,9 +361,10 @@ _CURVES = """c as (
 c2 as (select *, max(cum_prod) over (order by date_utc rows unbounded preceding) as peak from c)"""
 
 
-@query(f"with {O.SIGNALS}, {O.RETURNS}, {_CURVES} select date_utc, round(ret, 6) + 0.0 as ret, round(cum_sum, 6) + 0.0 as cum_sum, round(cum_prod, 6) as cum_prod, round(peak, 6) as peak, round((cum_prod - peak) / peak, 6) + 0.0 as drawdown from c2")
+@query(f"with {O.SIGNALS}, {O.RETURNS}, {_CURVES.replace('net as ret, sum(net)', 'net / 1000 as ret, sum(net / 1000)').replace('product(1 + net)', 'product(1 + net / 1000)')} select date_utc, round(ret, 6) + 0.0 as ret, round(cum_sum, 6) + 0.0 as cum_sum, round(cum_prod, 6) as cum_prod, round(peak, 6) as peak, round((cum_prod - peak) / peak, 6) + 0.0 as drawdown from c2")
 def r_curves(spark, d):
-    return rounded(portfolio.curves(_net(spark, d), "net"), ["date_utc"], "ret", "cum_sum", "cum_prod", "peak", "drawdown")
+    """Curves of a thousandth of the returns: compounded in full, these tables' returns leave what doubles hold exactly."""
+    return rounded(portfolio.curves(_net(spark, d).withColumn("net", F.col("net") / 1000), "net"), ["date_utc"], "ret", "cum_sum", "cum_prod", "peak", "drawdown")
 
 
 @query(f"with {O.SIGNALS}, {O.RETURNS}, {_CURVES} select round(min((cum_prod - peak) / peak), 6) as max_drawdown from c2")
