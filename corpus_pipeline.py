@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; so do documents of which nothing is left."""
     done = line_dedup.dedup_lines(docs)
-    left = done.where((F.col("n_deleted") == 0) | F.rlike("text", F.lit(r"\w")))
+    left = done.where((F.col("n_deleted") == 0) | F.rlike("text", F.lit(line_dedup.WORD)))
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -19,12 +19,27 @@ from pyspark.sql import functions as F
 
 from .tables import bind, fresh, saved, text_of
 
+#: A letter, digit or underscore of any script; a line without one is not compared.
+WORD = r"[\p{L}\p{N}_]"
+#: Letters of scripts that write no spaces between words: Chinese and Japanese, of which two make a word,
+#: and Thai, Lao, Tibetan, Burmese, Khmer and their like, of which four do.
+_BY_TWO = r"\u3005-\u3007\u3040-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA000-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}"
+_BY_FOUR = r"\u0E00-\u109F\u1780-\u17FF\u1950-\u19DF\u1A20-\u1AAF\uA9E0-\uA9FF\uAA60-\uAADF"
+_SIGNS = rf"[^\s\p{{L}}\p{{N}}{_BY_TWO}{_BY_FOUR}]*"
+_WORDS = rf"[{_BY_TWO}]{{1,2}}{_SIGNS}|[{_BY_FOUR}]{{1,4}}{_SIGNS}|[^\s{_BY_TWO}{_BY_FOUR}]+"
+
 
 def _line_key(line: Column) -> Column:
     """A line without the white space at its ends."""
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
+def word_count(line: Column) -> Column:
+    """Words between white space; in scripts without spaces, by the number of letters."""
+    unspaced = F.rlike(line, F.lit(f"[{_BY_TWO}{_BY_FOUR}]"))
+    return F.when(unspaced, F.regexp_count(line, F.lit(_WORDS))).otherwise(F.regexp_count(line, F.lit(r"\S+")))
+
+
 def _patience(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, out: list[tuple[int, int, int]]) -> None:
     """Appends the aligned runs (start in a, start in b, lines) of a[a0:a1] and b[b0:b1]; 0 aligns with nothing."""
     todo = [(a0, a1, b0, b1)]
@@ -117,8 +132,8 @@ def line_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         docs.where(F.col(id_col).isNotNull())
         .select(
             F.col(id_col).alias("doc"),
-            F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(r"\w")), F.xxhash64(_line_key(x))).otherwise(F.lit(0))).alias("hashes"),
-            F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words"),
+            F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(WORD)), F.xxhash64(_line_key(x))).otherwise(F.lit(0))).alias("hashes"),
+            F.transform(lines, word_count).alias("words"),
         )
         .groupBy("doc").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
     )
@@ -170,7 +185,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of two documents the one of larger id is the later. Lines are compared without the white space
     at their ends; lines without a word are never deleted, nor are blocks of fewer than `min_words`
-    words, which recur by chance. A null text stays null and has no lines; a document all of whose
+    words, which recur by chance (see word_count() for scripts without spaces). A null text stays null and has no lines; a document all of whose
     lines go is left with an empty text. Rows of one id are one document and lose the same lines;
     rows without an id meet none and stay as they are. An empty table gives none; other columns
     stay, whatever their names but for n_lines and n_deleted, which are replaced.

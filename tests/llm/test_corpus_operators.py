@@ -142,6 +142,31 @@ def test_line_dedup_of_odd_rows(odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+NOT_LATIN = [
+    "привет мир это длинная строка", "αυτή είναι μια μεγάλη γραμμή", "هذا سطر طويل من خمس كلمات", "यह एक लंबी पंक्ति है यहाँ",
+    "这是一行没有空格的很长的文字", "これは空白のない長い行です", "นี่คือบรรทัดยาวที่ไม่มีช่องว่าง",
+]
+
+
+@pytest.mark.parametrize("line", NOT_LATIN)
+def test_lines_of_all_scripts_go(docs, line):
+    data = [(1, line), (2, f"own words of the second text\n{line}\n一二\n***"), (3, "一二\n***")]
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(docs(data)).collect()}
+    assert got == {1: (line, 0), 2: ("own words of the second text\n一二\n***", 1), 3: ("一二\n***", 0)}
+
+
+def test_words_of_a_line(spark):
+    lines = {"one  two\tthree ": 3, "a - b, c!": 4, "": 0, "你好，世界。": 2, "スーパー": 2, "abc 中文 x": 3, "ภาษาไทย": 2, "çà là": 2}
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r["line"]: r["n"] for r in df.select("line", line_dedup.word_count(F.col("line")).alias("n")).collect()} == lines
+
+
+def test_pipeline_keeps_what_is_left_in_any_script(spark, docs):
+    data = [(1, "an english line of more than five words"), (2, "an english line of more than five words\nпривет мир"), (3, "an english line of more than five words\n***")]
+    kept = corpus_pipeline.dedup_lines(spark, docs(data), "").collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: data[0][1], 2: "привет мир"}
+
+
 def test_raking_meets_the_marginals(spark):
     rng = random.Random(2)
     cells = [(s, lang, t, rng.randint(1, 5000)) for s in ("a", "b", "c", None) for lang in ("en", "de") for t in ("prose", "list")]
