@@ -1,9 +1,9 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through lines that occur in several of them: every document that
-holds such a line meets the earliest document that holds it, and, where the line is rare, the
-holder before it as well. That gives at most two pairs for each line of a document, however
-frequent the line. Each pair is aligned by patience diff, and the aligned blocks are deleted from
+Documents that overlap are found through lines that occur in several of them, and through runs of
+short lines that together have enough words: every document that holds such a line or run meets the
+earliest document that holds it, and, where it is rare, the holder before it as well. That gives at
+most six pairs for each line of a document, however frequent the line. Each pair is aligned by patience diff, and the aligned blocks are deleted from
 the later document. The earliest holder of a line never loses it, so no line is lost altogether.
 """
 
@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,11 +140,55 @@ def line_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def overlapping_pairs(index: DataFrame, *, rare: int = 50) -> DataFrame:
-    """doc, earlier: each document with the earliest holder of each of its shared lines and, for lines
-    that at most `rare` documents hold, with the holder before it.
+def _runs(hashes: np.ndarray, words: np.ndarray, rows: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and key of each least run of two lines or more that has `min_words` words, from its first line on.
+
+    `rows` is the document of each line. A run is of lines of one document that count, each of which has a word.
+    """
+    at = np.flatnonzero((hashes != 0) & (words < min_words))
+    key, sums = hashes[at].view(np.uint64), words[at].astype(np.int64)
+    places, keys = [], []
+    for k in range(1, min_words):
+        on = at + k < len(hashes)
+        at, key, sums = at[on], key[on], sums[on]
+        on = (rows[at] == rows[at + k]) & (hashes[at + k] != 0)
+        at, key, sums = at[on], key[on], sums[on]
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k].view(np.uint64)
+        sums = sums + words[at + k]
+        done = sums >= min_words
+        places.append(at[done])
+        keys.append(key[done])
+        at, key, sums = at[~done], key[~done], sums[~done]
+    return np.concatenate([np.empty(0, np.int64), *places]), np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+
+
+def run_keys(index: DataFrame, *, min_words: int = 5) -> DataFrame:
+    """doc, line: a key for each least run of short lines with `min_words` words, from a line on or back from it.
+
+    Each line of a block of that many words is in a run of one of the two kinds within the block.
+    """
+    kind = index.schema["doc"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            hashes, words = lists.flatten().to_numpy(zero_copy_only=False), batch.column("words").flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ahead, key = _runs(hashes, words, rows, min_words)
+            back, other = _runs(hashes[::-1].copy(), words[::-1].copy(), rows[::-1].copy(), min_words)
+            # ~: what is read backwards must not be taken for the same lines in the other order, read forwards
+            found = np.unique(np.stack([np.concatenate([rows[ahead], rows[::-1][back]]), np.concatenate([key, ~other])]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(found[0])), pa.array(found[1])], ["doc", "line"])
+
+    short = F.exists(F.arrays_zip("hashes", "words"), lambda x: (x["hashes"] != 0) & (x["words"] < min_words))
+    return index.where(short).select("doc", "hashes", "words").mapInArrow(keys, f"doc {kind}, line long")
+
+
+def overlapping_pairs(index: DataFrame, *, rare: int = 50, min_words: int = 5) -> DataFrame:
+    """doc, earlier: each document with the earliest holder of each of its shared lines and runs of lines
+    and, for those that at most `rare` documents hold, with the holder before it.
     """
-    held = index.select("doc", F.explode(F.array_remove(F.array_distinct("hashes"), 0)).alias("line"))
+    held = index.select("doc", F.explode(F.array_remove(F.array_distinct("hashes"), 0)).alias("line")).unionByName(run_keys(index, min_words=min_words))
     # written, so that the join below is of two exchanges, of which adaptive execution splits large partitions
     shared = saved(held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1"))
     hits = held.join(shared, "line")
@@ -193,7 +238,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     index = saved(line_index(docs, id_col=id_col, text_col=text_col))
     docs = docs.drop("n_lines", "n_deleted")
     doc, gone = fresh("doc", docs), fresh("gone", docs)
-    found = duplicated_lines(index, overlapping_pairs(index, rare=rare), min_words=min_words).select(F.col("doc").alias(doc), F.col("lines").alias(gone))
+    found = duplicated_lines(index, overlapping_pairs(index, rare=rare, min_words=min_words), min_words=min_words).select(F.col("doc").alias(doc), F.col("lines").alias(gone))
     text, lines = F.col(text_col), F.split(F.col(text_col), "\n")
     # deleted line numbers are sorted: what stays are the lines between them, cut out as slices
     between = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines)))

@@ -167,6 +167,44 @@ def test_pipeline_keeps_what_is_left_in_any_script(spark, docs):
     assert {r["doc_id"]: r["text"] for r in kept} == {1: data[0][1], 2: "привет мир"}
 
 
+def brute_line_dedup(data, min_words=5):
+    """Every document against every earlier one."""
+    lines, number = {i: t.split("\n") for i, t in data}, {}
+    hashes = {i: [number.setdefault(x.strip(), len(number) + 1) if re.search(r"\w", x) else 0 for x in v] for i, v in lines.items()}
+    out = {}
+    for i, mine in lines.items():
+        gone = set()
+        for j in lines:
+            if j < i:
+                for a, _, n in line_dedup.aligned_blocks(hashes[i], hashes[j]):
+                    if sum(len(x.split()) for x in mine[a : a + n]) >= min_words:
+                        gone |= set(range(a, a + n))
+        out[i] = "\n".join(x for k, x in enumerate(mine) if k not in gone)
+    return out
+
+
+def test_passages_of_short_lines_go(docs):
+    data = [(1, "a b c"), (2, "d e f"), (10, "a b c\nd e f"), (11, "a b c"), (12, "d e f"), (20, "a b c\nd e f")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(data)).collect()}
+    assert got == brute_line_dedup(data) and got[20] == "" and got[10] == data[2][1]
+
+
+@pytest.mark.parametrize("rare", [50, 3])
+def test_line_dedup_is_that_of_all_pairs(docs, rare):
+    rng = random.Random(11)
+    pool = [" ".join(f"{x}{k}" for k in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))) for x in "abcdefghijklmnopqrstuvwxyz"] + ["", "***"]
+    passages = [rng.sample(pool, rng.randint(2, 6)) for _ in range(40)]
+    data = []
+    for i in range(1, 401):
+        lines, taken = [], set()
+        for p in rng.sample(passages, 3):  # no line twice in a document, but for those without a word
+            lines += [x for x in p if x not in taken]
+            taken |= {x for x in p if x[:1].isalpha()}
+        data.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(data), rare=rare).collect()}
+    assert got == brute_line_dedup(data)
+
+
 def test_raking_meets_the_marginals(spark):
     rng = random.Random(2)
     cells = [(s, lang, t, rng.randint(1, 5000)) for s in ("a", "b", "c", None) for lang in ("en", "de") for t in ("prose", "list")]
