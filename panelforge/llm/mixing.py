@@ -9,6 +9,9 @@ are sampled, each by a hash of its id. Built-in functions only.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +53,28 @@ def _targets(cells: DataFrame, dimension: str, power: float, given: DataFrame |
     return saved(wanted.select("value", (F.col("w") / total).alias("share")))
 
 
-def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, rounds: int = 8, broadcast_values: int = 10_000) -> DataFrame:
+def _marginal_error(fitted: DataFrame, targets: dict[str, DataFrame], total: float) -> float:
+    """The largest relative error of a marginal of w against its target; of values with target 0 there is nothing."""
+    off = []
+    for d in DIMENSIONS:
+        sums = fitted.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("_sum"))
+        wanted = F.col("share") * total
+        off.append(
+            targets[d].where("share > 0").join(sums, F.col("_v").eqNullSafe(F.col("value")), "left")
+            .select(F.abs(F.coalesce("_sum", F.lit(0.0)) - wanted) / wanted)
+            .toDF("off")
+        )
+    return reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, rounds: int = 8, tolerance: float = 1e-4, max_rounds: int = 1000, broadcast_values: int = 10_000) -> DataFrame:
     """`cells` (source, lang, topic, n tokens) with w, the raked weight; w sums to the sum of n.
 
     `given` can hold target shares (value, share) of a dimension; values it doesn't name get none.
-    Each round is one plan over the cells, whose sums are aggregated before they are shuffled; the
+    At least `rounds` rounds are done, then as many as it takes until each marginal is within
+    `tolerance` of its target, relatively. Targets that no weights meet, as where the cells between them
+    are empty, are warned of with the error that is left: when 20 rounds haven't made it a thousandth
+    less, or after `max_rounds`. Each round is one plan over the cells, whose sums are aggregated before they are shuffled; the
     factors of a dimension of at most `broadcast_values` values are broadcast.
     """
     given = given or {}
@@ -64,12 +84,22 @@ def rake(cells: DataFrame, *, powers: dict[str, float] = POWERS, given: dict[str
     small = {d: is_small(targets[d], broadcast_values) for d in DIMENSIONS}
     loop = Rounds(cells.sparkSession)
     fitted = cells.withColumn("w", F.col("n").cast("double"))
-    for _ in range(rounds):
+    errors: list[float] = []
+    for k in range(max(rounds, max_rounds)):
         for d in DIMENSIONS:
             sums = fitted.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("_sum")).join(targets[d], F.col("_v").eqNullSafe(F.col("value")))
             factor = sums.select("_v", F.when(F.col("_sum") > 0, F.col("share") * float(total) / F.col("_sum")).otherwise(0.0).alias("_f"))
             fitted = fitted.join(F.broadcast(factor) if small[d] else factor, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("_f")).drop("_v", "_f")
         fitted = loop.write(fitted)
+        if k + 1 < rounds:
+            continue
+        errors.append(_marginal_error(fitted, targets, float(total)))
+        if errors[-1] <= tolerance:
+            break
+        if len(errors) > 20 and errors[-1] > 0.999 * errors[-21]:
+            break
+    if errors and errors[-1] > tolerance:
+        warnings.warn(f"mixing: after {k + 1} rounds a marginal is off its target by {errors[-1]:.2%}; the targets may not be feasible", stacklevel=2)
     return fitted
 
 

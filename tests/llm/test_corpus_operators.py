@@ -221,6 +221,26 @@ def test_raking_meets_the_marginals(spark):
             assert got[k] == pytest.approx(total * v / sum(powered.values()), rel=1e-3)
 
 
+def test_raking_goes_on_until_the_marginals_are_met(spark):
+    cells = [
+        (s, lang, "prose", n if lang == main else n // 50)
+        for s, main, n in (("hot", "en", 540_000), ("b", "de", 150_000), ("c", "de", 90_000), ("d", "en", 200_000)) for lang in ("en", "de")
+    ]
+    total, sums = sum(c[3] for c in cells), {}
+    for c in cells:
+        sums[c[0]] = sums.get(c[0], 0) + c[3]
+    powered = {k: v**0.5 for k, v in sums.items()}
+    got = {r["source"]: r["w"] for r in mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, n long")).groupBy("source").agg(F.sum("w").alias("w")).collect()}
+    for k, v in powered.items():
+        assert got[k] == pytest.approx(total * v / sum(powered.values()), rel=1e-3)
+
+
+def test_raking_reports_targets_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 900), ("b", "de", "prose", 100)], "source string, lang string, topic string, n long")
+    with pytest.warns(UserWarning, match="off its target"):
+        assert mixing.rake(cells).count() == 2
+
+
 def test_given_shares_and_the_sample(spark, sf, odd):
     given = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "value string, share double")}
     got = mixing.mix_sources(table(spark, sf, "documents"), keep=0.4, given=given)
