@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,20 +97,39 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_alignment_is_a_common_subsequence():
+def brute_blocks(mine, others, words, min_words=5):
+    """Lines of `mine` in a run of lines that count, of `min_words` words or more, that `others` has too."""
+    gone = set()
+    for a in range(len(mine)):
+        for b in range(len(others)):
+            n = 0
+            while a + n < len(mine) and b + n < len(others) and mine[a + n] == others[b + n] != 0:
+                n += 1
+            if sum(words[a : a + n]) >= min_words:
+                gone |= set(range(a, a + n))
+    return gone
+
+
+def test_alignment_finds_every_block():
     rng = random.Random(5)
-    for _ in range(300):
-        a, b = ([rng.randint(0, 12) for _ in range(rng.randint(0, 30))] for _ in range(2))
-        blocks = line_dedup.aligned_blocks(a, b)
-        seen_a = [i + k for i, _, n in blocks for k in range(n)]
-        seen_b = [j + k for _, j, n in blocks for k in range(n)]
-        assert len(set(seen_a)) == len(seen_a) and len(set(seen_b)) == len(seen_b)
-        assert all(a[i] == b[j] != 0 for i, j in zip(seen_a, seen_b, strict=True))
-        for x in set(a) & set(b) - {0}:  # all that both have is found, blocks that moved too
-            assert sum(a[i] == x for i in seen_a) == min(a.count(x), b.count(x))
-    unique_a, unique_b = [1, 2, 3, 4, 5, 6], [9, 1, 2, 8, 4, 5]
-    own = [(i, j, n) for i, j, n in line_dedup.aligned_blocks(unique_a, unique_b)]
-    assert own == [(m.a, m.b, m.size) for m in SequenceMatcher(None, unique_a, unique_b).get_matching_blocks() if m.size]
+    for k in range(400):
+        size = {i: rng.choice([1, 1, 2, 3, 6]) for i in range(13)}
+        a, b = ([rng.randint(0, 12 if k % 2 else 4) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        sides = [line_dedup.Lines.of(np.array(x, np.int64), np.array([size[i] for i in x], np.int64), 5) for x in (a, b)]
+        blocks = line_dedup.aligned_blocks(*sides)
+        assert all(a[i : i + n] == b[j : j + n] and 0 not in a[i : i + n] and sum(size[x] for x in a[i : i + n]) >= 5 for i, j, n in blocks)
+        assert {i + m for i, _, n in blocks for m in range(n)} == brute_blocks(a, b, [size[i] for i in a])
+
+
+def test_alignment_of_unique_lines_is_difflibs():
+    rng = random.Random(6)
+    for _ in range(100):
+        a = rng.sample(range(1, 60), 25)
+        b = [x for x in a if rng.random() < 0.8]
+        for _ in range(4):
+            b.insert(rng.randrange(len(b) + 1), rng.randint(100, 999))
+        sides = [line_dedup.Lines.of(np.array(x, np.int64), np.full(len(x), 9), 5) for x in (a, b)]
+        assert line_dedup.aligned_blocks(*sides) == [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
 
 
 def test_lines_go_from_the_later_document(docs):
@@ -168,41 +188,56 @@ def test_pipeline_keeps_what_is_left_in_any_script(spark, docs):
 
 
 def brute_line_dedup(data, min_words=5):
-    """Every document against every earlier one."""
-    lines, number = {i: t.split("\n") for i, t in data}, {}
-    hashes = {i: [number.setdefault(x.strip(), len(number) + 1) if re.search(r"\w", x) else 0 for x in v] for i, v in lines.items()}
+    """Every document, one for each text of an id, against every earlier one; the order of one id's texts is given."""
+    lines, number = {k: t.split("\n") for k, t in data}, {}
+    hashes = {k: [number.setdefault(x.strip(), len(number) + 1) if re.search(r"\w", x) else 0 for x in v] for k, v in lines.items()}
     out = {}
     for i, mine in lines.items():
-        gone = set()
-        for j in lines:
-            if j < i:
-                for a, _, n in line_dedup.aligned_blocks(hashes[i], hashes[j]):
-                    if sum(len(x.split()) for x in mine[a : a + n]) >= min_words:
-                        gone |= set(range(a, a + n))
+        words = [len(x.split()) for x in mine]
+        gone = set().union(*(brute_blocks(hashes[i], hashes[j], words, min_words) for j in lines if j < i))
         out[i] = "\n".join(x for k, x in enumerate(mine) if k not in gone)
     return out
 
 
+def by_text(spark, rows):
+    """(id, hash of the text) -> text before, in the order in which one id's texts count as earlier and later."""
+    df = spark.createDataFrame(rows, "id long, t string").select("id", F.xxhash64("t").alias("h"), "t")
+    return {(r["id"], r["h"]): r["t"] for r in df.collect()}
+
+
 def test_passages_of_short_lines_go(docs):
     data = [(1, "a b c"), (2, "d e f"), (10, "a b c\nd e f"), (11, "a b c"), (12, "d e f"), (20, "a b c\nd e f")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(data)).collect()}
     assert got == brute_line_dedup(data) and got[20] == "" and got[10] == data[2][1]
 
 
-@pytest.mark.parametrize("rare", [50, 3])
-def test_line_dedup_is_that_of_all_pairs(docs, rare):
+@pytest.mark.parametrize("repeats", [False, True])
+def test_line_dedup_is_that_of_all_pairs(spark, docs, repeats):
     rng = random.Random(11)
     pool = [" ".join(f"{x}{k}" for k in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))) for x in "abcdefghijklmnopqrstuvwxyz"] + ["", "***"]
     passages = [rng.sample(pool, rng.randint(2, 6)) for _ in range(40)]
     data = []
-    for i in range(1, 401):
-        lines, taken = [], set()
-        for p in rng.sample(passages, 3):  # no line twice in a document, but for those without a word
-            lines += [x for x in p if x not in taken]
-            taken |= {x for x in p if x[:1].isalpha()}
-        data.append((i, "\n".join(lines)))
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(data), rare=rare).collect()}
-    assert got == brute_line_dedup(data)
+    for i in range(1, 161):
+        lines = [x for p in rng.sample(passages, 3) for x in p]
+        if repeats:  # lines again, in any order, a hot line, and ids with several texts
+            lines += [rng.choice(lines) for _ in range(rng.randint(0, 8))] + ["a line that a third of all has"] * rng.choice([0, 0, 1, 3])
+        data.append((i if not repeats else rng.randint(1, 80), "\n".join(lines)))
+    before = by_text(spark, data)
+    expected = brute_line_dedup(list(before.items()))
+    got = line_dedup.dedup_lines(docs(data)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((k[0], expected[k]) for i, t in data for k in before if k[0] == i and before[k] == t)
+
+
+def test_no_unique_line_goes_where_texts_share_an_id(docs):
+    data = [(1, "alpha beta gamma delta epsilon zeta"), (9, "alpha beta gamma delta epsilon zeta"), (9, "totally different words in here now\nalpha beta gamma delta epsilon zeta"), (9, "alpha beta gamma delta epsilon zeta")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs(data)).collect())
+    assert got == [(1, data[0][1]), (9, ""), (9, ""), (9, "totally different words in here now")]
+
+
+def test_line_dedup_replaces_its_own_columns_and_keeps_others(docs):
+    df = docs([(1, "one two three four five"), (2, "one two three four five")]).withColumns({c: F.lit("x") for c in ("n_lines", "n_deleted", "key", "gone", "doc", "hashes", "words")})
+    got = line_dedup.dedup_lines(df)
+    assert {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["key"], r["gone"], r["doc"]) for r in got.collect()} == {1: (1, 0, "x", "x", "x"), 2: (1, 1, "x", "x", "x")}
 
 
 def test_raking_meets_the_marginals(spark):
