@@ -5,13 +5,16 @@
 2. Classes that agree in one band of four MinHash values meet in a bucket. A bucket is compared
    block by block: pairs are compared by more and more MinHash values, and a pair goes as soon as
    the posterior probability (uniform prior) that its similarity reaches the threshold is below the
-   tolerance. Of the pairs that stay, only a spanning forest of the block leaves the task.
+   tolerance. Of the pairs that stay, only a spanning forest of the block leaves the task; what the
+   block's least class is linked with needs no other link, so close copies cost one comparison each.
 3. The forests' connected components are the candidate groups. Each is compared block by block
    again, this time with the shingles: pruned in the same way, and verified exactly. What leaves a
    task is each class's number of links in the block, and a forest of them.
 
-A block has a bounded number of classes, so a bucket or group of any size is many small tasks, no
-pair is ever a row, and no link between different texts is given up for a cap.
+A block has a bounded number of classes and of shingles, so a bucket or group of any size is many
+small tasks, no pair is ever a row, and no link between different texts is given up for a cap. A
+group of n classes is n rows for each part of it: what is shuffled is the pairs that have to be
+counted, divided by the size of a part.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import saved, text_of
+from .tables import is_small, saved, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 128
 ROWS = 4  # MinHash values of a band: at a similarity of 0.8 a pair misses all 32 bands once in 2e7
 TOLERANCE = 1e-6
-BLOCK = 192  # classes of one side of a block
+BUCKET_PART = 2_048  # classes of a part of a bucket, of which signatures alone are sent
+GROUP_PART = 1_024  # classes of a part of a group, of which shingles are sent too
+PART_SHINGLES = 1 << 20  # shingles of a part of a group
 STEPS = (8, 16, 24, 32, 48, 64, 96, 128)  # MinHash values after which a pair may go
 _WORD = re.compile(r"\w+")
 
@@ -121,23 +126,30 @@ def surviving(left: np.ndarray, right: np.ndarray, same: bool, threshold: float,
     return i, j
 
 
-def _overlaps(sets: list[np.ndarray], others: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The exact sizes of the intersections of sets[i] and others[j]."""
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The exact sizes of the intersections of sets[i] and sets[j]."""
+    pairs = lambda: np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
     if len(i) <= 24:
-        return np.array([len(np.intersect1d(sets[a], others[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
-    # sets as 0/1 rows over their shingles, some thousand columns at a time: products count the common ones
-    tokens, column = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
-    row = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in [*sets, *others]])
+        return pairs()
+    # sets as 0/1 rows over their shingles: products count the common ones; what one set alone has adds nothing, what all have adds 1
+    tokens, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    some = (held > 1) & (held < len(sets))
+    x, y = np.unique(i), np.unique(j)
+    if 2.0 * len(x) * len(y) * some.sum() > 1e6 * len(i):  # few pairs of many shingles
+        return pairs()
+    stay = some[column]
+    row, column = row[stay], (np.cumsum(some) - 1)[column[stay]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    total = np.zeros((len(sets), len(others)), np.float32)
+    total = np.full((len(x), len(y)), (held == len(sets)).sum(), np.float32)
     width = 8192
-    for a in range(0, len(tokens), width):
+    for a in range(0, int(some.sum()), width):
         b, c = np.searchsorted(column, (a, a + width))
-        bits = np.zeros((len(sets) + len(others), min(width, len(tokens) - a)), np.float32)
+        bits = np.zeros((len(sets), width), np.float32)
         bits[row[b:c], column[b:c] - a] = 1
-        total += bits[: len(sets)] @ bits[len(sets) :].T
-    return total[i, j].astype(np.int64)
+        total += bits[x] @ bits[y].T
+    return total[np.searchsorted(x, i), np.searchsorted(y, j)].astype(np.int64)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -157,7 +169,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, digest (of the shingle set), n_shingles, sig (binary) of each row."""
+    """doc, h (hash of the text), rep (64-bit digest of the shingle set), n_shingles, sig (binary) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +177,23 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             digests, sizes, sigs = [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py())
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                digests.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True))
                 sizes.append(len(own))
                 sigs.append(signature(own).tobytes() if len(own) else b"")
-            arrays = [batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "digest", "n_shingles", "sig"])
+            arrays = [batch.column("doc"), batch.column("h"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "h", "rep", "n_shingles", "sig"])
 
-    return docs.select(docs[id_col].alias("doc"), text_of(text_col).alias("text")).mapInArrow(run, f"doc {kind}, digest binary, n_shingles int, sig binary")
+    text = text_of(text_col)
+    return docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, f"doc {kind}, h long, rep long, n_shingles int, sig binary")
 
 
-def _blocks(members: DataFrame, key: str, size: str) -> DataFrame:
+def _blocks(members: DataFrame, key: str, parts: Column) -> DataFrame:
     """Members dealt out to blocks: `blk` is one pair of parts of one key, `side` the part of the member.
 
-    A key of `size` members has ceil(size / BLOCK) parts by a hash of the member, and each member
-    goes to the blocks that pair its part with every part, so a block is never much over two parts.
+    A key has `parts` parts by a hash of the member, and each member goes to the blocks that pair
+    its part with every part.
     """
-    parts = F.ceil(F.col(size) / BLOCK).cast("int")
+    parts = F.ceil(parts).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit(11)), parts).cast("int")
     return (
         members.withColumn("_parts", parts).withColumn("side", part)
@@ -223,6 +236,33 @@ def _sides(lo: np.ndarray, hi: np.ndarray, side: np.ndarray) -> tuple[np.ndarray
     return np.flatnonzero(side == lo[0]), np.flatnonzero(side == hi[0]), False
 
 
+def _star(sigs: np.ndarray, hub: int) -> np.ndarray:
+    """Which rows pruning leaves as pairs of the row `hub`."""
+    on = np.ones(len(sigs), bool)
+    matched = np.zeros(len(sigs), np.int16)
+    done = 0
+    for n, least in zip(STEPS, least_matches(THRESHOLD, TOLERANCE), strict=True):
+        at = np.flatnonzero(on)
+        matched[at] += (sigs[at, done:n] == sigs[hub, done:n]).sum(1, dtype=np.int16)
+        on[at] = matched[at] >= least
+        done = n
+    return on
+
+
+def _block_edges(reps: np.ndarray, sigs: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A forest over the pairs of parts x and y that pruning leaves, and over those of the block's least class."""
+    hub = int(np.argmin(reps))
+    near = _star(sigs, hub)
+    a, b = [np.flatnonzero(near)], [np.full(near.sum(), hub)]
+    # two rows that are both linked with the hub need no link of their own
+    for left, right in [(x[~near[x]], y)] + ([] if same else [(x[near[x]], y[~near[y]])]):
+        if len(left) and len(right):
+            i, j = surviving(sigs[left], sigs[right], False, THRESHOLD, TOLERANCE)
+            a.append(left[i])
+            b.append(right[j])
+    return _forest(reps[np.concatenate(a)], reps[np.concatenate(b)])
+
+
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_block(batches):
         reps = table.column("rep").to_numpy()
@@ -234,9 +274,7 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if b - a == 2 and lo[a] == hi[a]:
                 twos.append(a)
             elif b - a > 1:
-                x, y, same = _sides(lo[a:b], hi[a:b], side[a:b])
-                i, j = surviving(sigs[a:b][x], sigs[a:b][y], same, THRESHOLD, TOLERANCE)
-                out += _forest(reps[a:b][x[i]], reps[a:b][y[j]])
+                out += _block_edges(reps[a:b], sigs[a:b], *_sides(lo[a:b], hi[a:b], side[a:b]))
         if twos:  # buckets of two, all at once
             at = np.array(twos)
             done = matched = 0
@@ -257,7 +295,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         .where("members > 1").groupBy("members", "whose", "least").agg(F.min("bucket").alias("bucket"))
     )
     members = held.join(buckets.select("bucket", "members"), "bucket").join(classes.select("rep", "sig"), "rep")
-    dealt = _blocks(members, "bucket", "members").select("blk", "lo", "hi", "side", "rep", "sig")
+    dealt = _blocks(members, "bucket", F.col("members") / BUCKET_PART).select("blk", "lo", "hi", "side", "rep", "sig")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_candidate_edges, "a long, b long")
 
@@ -277,9 +315,9 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = surviving(sigs[x], sigs[y], same, THRESHOLD, TOLERANCE)
             if not len(i):
                 continue
-            common = _overlaps([sets[k] for k in x], [sets[k] for k in y], i, j)
-            sizes = np.array([len(s) for s in sets])
             p, q = x[i], y[j]
+            common = _overlaps(sets, p, q)
+            sizes = np.array([len(s) for s in sets])
             linked = 5 * common >= 4 * (sizes[p] + sizes[q] - common)  # THRESHOLD, in whole numbers
             p, q = p[linked], q[linked]
             n = np.bincount(np.concatenate([p, q]), minlength=b - a)
@@ -291,9 +329,30 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = ["rep", "copies", "grp", "parts", "sig"]
     for batch in batches:
         sets = [shingles(x.as_py()).tobytes() for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "copies", "grp", "members", "sig")] + [pa.array(sets, pa.binary())], ["rep", "copies", "grp", "members", "sig", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(sets, pa.binary())], [*own, "shingles"])
+
+
+def _group_parts(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, grp, parts: the members of candidate groups, and in how many parts their group is compared."""
+    sized = groups.join(classes.select("rep", "n_shingles"), groups["node"] == classes["rep"]).select("rep", "grp", "n_shingles")
+    sums = sized.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = F.ceil(F.greatest(F.col("n") / GROUP_PART, F.col("s") / PART_SHINGLES)).cast("long")
+    large = saved(sums.select("grp", parts.alias("parts")).where("parts > 1"))
+    large = F.broadcast(large) if is_small(large, 100_000) else large
+    return sized.join(large, "grp", "left").select("rep", "grp", F.coalesce("parts", F.lit(1)).alias("parts"))
+
+
+def dealt_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the second comparison: each member of a candidate group, once for each part of its group."""
+    members = saved(_group_parts(groups, classes).join(classes.select("rep", "copies", "holder", "sig"), "rep"))
+    text = text_of(text_col)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.struct(docs[id_col].alias("doc"), F.xxhash64(text).alias("h")).alias("holder"), text.alias("text"))
+    texts = texts.join(members, "holder").dropDuplicates(["rep"]).select("rep", "copies", "grp", "parts", "sig", "text")
+    ready = texts.mapInArrow(_with_shingles, "rep long, copies long, grp long, parts long, sig binary, shingles binary")
+    return _blocks(ready, "grp", F.col("parts")).select("blk", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
 
 
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,42 +364,41 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     the least id of all documents that links lead to, directly or through others: the group of near
     duplicates. Texts of fewer than five words are compared as one shingle. Texts without words
     (null and empty ones too) have no shingles and link with nothing; such a document is a class of
-    its own. Ids are long integers; a row without one is left with a null class and no links. Rows
-    of one id count as copies. An empty table gives none; other columns aren't looked at. Shingles
-    are compared by 64-bit hashes. Two documents that agree in none of 32 bands can be missed, at a
+    its own. A row without an id is left with a null class and no links. Each row is a document:
+    rows of one id and text are copies of each other, rows of one id with other texts are compared
+    like any. An empty table gives none; other columns aren't looked at. Shingles are compared by
+    64-bit hashes, and so are their sets: of a billion different sets two are taken for one with a
+    probability of 3 in a hundred. Two documents that agree in none of 32 bands can be missed, at a
     similarity of 0.8 once in twenty million pairs, and pruning drops a true pair about as rarely
     as the tolerance of 1e-6.
     """
     found = saved(sketches(docs, id_col=id_col, text_col=text_col))
     worded = found.where("n_shingles > 0 and doc is not null")
-    classes = saved(worded.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    classes = saved(worded.groupBy("rep").agg(
+        F.min("doc").alias("least_doc"), F.first(F.struct("doc", "h")).alias("holder"), F.count("*").alias("copies"),
+        F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+    ))
     groups = components(candidate_pairs(classes)).withColumnRenamed("component", "grp")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    members = saved(groups.join(sizes, "grp").join(classes, groups["node"] == classes["rep"]).select("rep", "copies", "grp", "members", "sig"))
-    texts = docs.select(F.col(id_col).alias("rep"), text_of(text_col).alias("text"))
-    texts = texts.join(members, "rep").dropDuplicates(["rep"]).select("rep", "copies", "grp", "members", "sig", "text")
-    ready = texts.mapInArrow(_with_shingles, "rep long, copies long, grp long, members long, sig binary, shingles binary")
-    dealt = _blocks(ready, "grp", "members").select("blk", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
+    dealt = dealt_groups(docs, classes, groups, id_col=id_col, text_col=text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = saved(
         dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_exact_links, "rep long, n_classes long, n_documents long, root long")
     )
     counts = links.groupBy("rep").agg(F.sum("n_classes").alias("n_class_links"), F.sum("n_documents").alias("n_documents"))
     roots = components(links.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    by_class = (
-        classes.select("digest", "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    # tables that hot keys are joined with are written first: adaptive execution splits joins of two exchanges only
+    linked = roots.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least_doc"), "rep")
+    least = saved(linked.groupBy("component").agg(F.min("least_doc").alias("class_id")))
+    by_class = saved(
+        classes.select("rep", "least_doc", "copies").join(counts, "rep", "left")
+        .join(linked.join(least, "component").select("rep", "class_id"), "rep", "left")
     )
-    return (
-        found.select("doc", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("digest")).alias("digest"))
-        .join(by_class, "digest", "left")
-        .select(
-            F.col("doc").alias(id_col),
-            F.coalesce("component", "rep", "doc").alias("class_id"),
-            (F.coalesce("n_documents", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-            F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"),
-            F.coalesce("rep", "doc").alias("copy_id"),
-            F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        )
+    rep = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("rep")).alias("rep")
+    return found.select("doc", rep).join(by_class, "rep", "left").select(
+        F.col("doc").alias(id_col),
+        F.coalesce("class_id", "least_doc", "doc").alias("class_id"),
+        (F.coalesce("n_documents", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"),
+        F.coalesce("least_doc", "doc").alias("copy_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )

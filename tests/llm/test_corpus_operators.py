@@ -51,9 +51,10 @@ def brute_links(data):
     return links, group
 
 
-@pytest.mark.parametrize("block", [192, 3])
-def test_join_finds_all_links(docs, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks: groups go over many of them
+@pytest.mark.parametrize("part", [1_024, 3])
+def test_join_finds_all_links(docs, monkeypatch, part):
+    for name in ("BUCKET_PART", "GROUP_PART"):  # small parts: groups go over many blocks
+        monkeypatch.setattr(ngram_join, name, part)
     data = near_copies()
     links, group = brute_links(data)
     got = {r["doc_id"]: r for r in ngram_join.ngram_jaccard_join(docs(data)).collect()}
@@ -61,6 +62,47 @@ def test_join_finds_all_links(docs, monkeypatch, block):
     assert {i: r["class_id"] for i, r in got.items()} == group
 
 
+def test_rows_that_share_an_id_keep_their_links(docs):
+    base, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, base), (5, other), (6, base + " word"), (7, other + " word"), (7, other + " word"), (8, "own words")]
+    got = sorted((r["doc_id"], r["n_links"], r["n_class_links"], r["class_id"], r["copy_id"]) for r in ngram_join.ngram_jaccard_join(docs(rows)).collect())
+    # each row by itself: 5 twice, of which one has the link of 6, the other those of both rows 7
+    assert got == sorted([(5, 1, 1, 5, 5), (5, 2, 1, 5, 5), (6, 1, 1, 5, 6), (7, 2, 1, 5, 7), (7, 2, 1, 5, 7), (8, 0, 0, 8, 8)])
+
+
+def test_random_ids_with_several_texts(docs):
+    rng = random.Random(3)
+    data = [(rng.randint(1, 25), t) for _, t in near_copies()]
+    links, group = brute_links([(k, t) for k, (_, t) in enumerate(data)])
+    least = {}
+    for k, g in group.items():
+        least[g] = min(least.get(g, 10**9), data[k][0])
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"]) for r in ngram_join.ngram_jaccard_join(docs(data)).collect())
+    assert got == sorted((data[k][0], len(links[k]), least[group[k]]) for k in links)
+
+
+def test_a_large_group_is_dealt_in_few_copies(spark, docs):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    data = []
+    for i in range(2_000):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        data.append((i, " ".join(words)))
+    df = docs(data)
+    found = ngram_join.sketches(df)
+    classes = found.groupBy("rep").agg(F.first(F.struct("doc", "h")).alias("holder"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).cache()
+    groups = classes.select(F.col("rep").alias("node"), F.lit(1).cast("long").alias("grp"))
+    assert classes.count() == 2_000 and ngram_join.dealt_groups(df, classes, groups).count() == 2 * 2_000
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(20), np.arange(10, 40)))
+    assert ngram_join._overlaps(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+
+
 def test_join_on_the_tables(spark, sf):
     df = table(spark, sf, "documents")
     links, group = brute_links([(r["doc_id"], r["text"]) for r in df.collect()])
@@ -83,7 +125,7 @@ def test_pruning_keeps_pairs_at_the_threshold():
 
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(500, 500)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(x, i) for x in (1_000, 2_999) for i in range(1_001, 2_000)] + [(500, 500)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     root = {x: x for e in edges for x in e}
 
     def find(x):
