@@ -75,12 +75,13 @@ def _license_sql() -> str:
         x = f"regexp_replace({x}, {_sql_text(licenses.PUNCTUATION)}, ' ', 'g')"
         return f"trim(regexp_replace({x}, {_sql_text(licenses.SPACED_BREAK)}, chr(10), 'g'), ' ' || chr(10))"
 
-    def known(texts) -> str:
+    def known(texts, digests=()) -> str:
         rows = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in texts)
-        return f"select sha256(replace({canonical('body')}, chr(10), ' ')) as digest, min(license_id) as license_id from (values {rows}) as v(license_id, body) group by 1"
+        more = "".join(f" union all select '{b}', '{a}'" for a, b in digests)
+        return f"select digest, min(license_id) as license_id from (select sha256(replace({canonical('body')}, chr(10), ' ')) as digest, license_id from (values {rows}) as v(license_id, body){more}) group by 1"
 
     return f"""
-with whole as ({known(licenses.TEXTS)}), notice as ({known(licenses.NOTICES)}),
+with whole as ({known(licenses.TEXTS, licenses.DIGESTS)}), notice as ({known(licenses.NOTICES)}),
 forms as (select row_number() over () as r, doc_id, {canonical("coalesce(text, '')")} as form from documents),
 found as (
   select r, string_agg(distinct n.license_id, ',' order by n.license_id) as ids

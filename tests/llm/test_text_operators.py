@@ -1,6 +1,7 @@
 """Operators that look at each text by itself, against plain Python or their libraries."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -169,13 +170,51 @@ def test_licences(spark, docs, odd):
     mit = next(t for k, t in TEXTS if k == "MIT")
     shouted = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ,") + "\n\n\n"
     known = licenses.default_known(spark)
-    df = docs([(1, mit), (2, shouted), (3, mit + " and more"), (4, "Text.\nReleased under the MIT Licence\nLicensed under CC BY-NC 4.0.")])
+    notices = "Released under the MIT Licence\nLicensed under CC BY-NC 4.0."
+    data = [(1, mit), (2, shouted), (3, mit + " and more"), (4, f"Text.\n{notices}"), (5, "Text. Released under the MIT Licence Licensed under CC BY-NC 4.0."), (6, f"Text.\n\n{notices}")]
+    df = docs(data)
     got = rows(licenses.scan_licenses(df, *known))
-    assert [got[k]["license_id"] for k in (1, 2, 3, 4)] == ["MIT", "MIT", None, None]
-    assert got[4]["notice_ids"] == ["CC-BY-NC-4.0", "MIT"]
-    shuffled = rows(licenses.scan_licenses(df, *known, broadcast_rows=0, literal_rows=0))
-    assert shuffled == got
+    assert [got[k]["license_id"] for k in range(1, 7)] == ["MIT", "MIT", None, None, None, None]
+    # equal words with other line breaks: one whole text, other lines
+    assert got[4]["text_digest"] == got[5]["text_digest"] == got[6]["text_digest"]
+    assert [got[k]["notice_ids"] for k in (4, 5, 6)] == [["CC-BY-NC-4.0", "MIT"], [], ["CC-BY-NC-4.0", "MIT"]]
+    assert rows(licenses.scan_licenses(df, *known, broadcast_rows=0)) == got
+    assert rows(licenses.scan_licenses(df, *[k.drop("length") for k in known])) == got
     assert licenses.scan_licenses(odd, *known).where("license_id is not null").count() == 0
+    assert licenses.scan_licenses(odd.limit(0), *known).count() == 0
+    assert {r["notice_ids"] == [] for r in licenses.scan_licenses(df, known[0], known[1].limit(0)).collect()} == {True}
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_licences_of_repeated_and_shared_digests(spark, docs, broadcast_rows):
+    known = licenses.known_digests(spark, [("B", "one whole text"), ("A", "One whole text!"), ("B", "one whole text")])
+    notices = licenses.known_digests(spark, [("N", "a notice line"), ("M", "A notice, line"), ("N", "a notice line"), ("L", "another notice")])
+    df = docs([(1, "one whole text"), (2, "x\na notice line"), (2, "x\na notice line"), (3, "Another notice.\na notice line\na notice line")])
+    got = sorted((r["doc_id"], r["license_id"], r["notice_ids"]) for r in licenses.scan_licenses(df, known, notices, broadcast_rows=broadcast_rows).collect())
+    assert got == [(1, "A", []), (2, None, ["M", "N"]), (2, None, ["M", "N"]), (3, None, ["L", "M", "N"])]
+
+
+def test_spellings_and_planted_texts_of_all_known_licences(spark, docs):
+    known = licenses.default_known(spark)
+    rng = random.Random(2)
+    back = {b: a for a, b in licenses.SPELLINGS if b.strip().isalpha()}
+    data, expected = [], {}
+    for k, (name, text) in enumerate(TEXTS):
+        for b, a in back.items():
+            text = text.replace(b, a)
+        wrapped = "".join(rng.choice([" ", "\n", "  "]) if c == " " else c for c in text)
+        data.append((k, f"Copyright (c) 20{k:02d} Some One\n{wrapped}"))
+        expected[k] = name
+    got = rows(licenses.scan_licenses(docs(data), *known))
+    assert {k: r["license_id"] for k, r in got.items()} == expected
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="the system has no licence texts")
+def test_long_licence_texts_are_known(spark, docs):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    data = [(k, open(f"/usr/share/common-licenses/{x}").read().replace("license", "Licence")) for k, x in enumerate(names)]
+    got = rows(licenses.scan_licenses(docs(data), *licenses.default_known(spark)))
+    assert [got[k]["license_id"] for k in range(len(names))] == list(names.values())
 
 
 def test_urls(spark):
