@@ -104,8 +104,8 @@ from parsed left join rules on (host = rhost or ends_with(host, '.' || rhost)) a
 qualify row_number() over (partition by r order by length(rhost || rpath) desc nulls last) = 1"""
 
 
-def _mixing_sql(rounds: int = 8, keep: float = 0.5, seed: int = 17) -> str:
-    """mix_sources() with its default targets, unrolled."""
+def _mixing_sql(rounds: int = 60, keep: float = 0.5, seed: int = 17) -> str:
+    """mix_sources() with its default targets, by rounds that are many more than it takes to meet them."""
     ctes = ["""
 named as (
   select doc_id, source, lang,
@@ -114,30 +114,30 @@ named as (
     select doc_id, source, lang, length(t) as size, length(t) - length(replace(t, '|', '')) as bars, length(regexp_replace(t, '[^0-9]+', '', 'g')) as digits,
       length(t) - length(replace(t, chr(10), '')) as breaks, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as n_tokens
     from (select *, coalesce(text, '') as t from documents))),
-cells as (select source, lang, topic, sum(n_tokens)::double as n from named group by all having sum(n_tokens) > 0),
-total as (select sum(n) as n from cells)"""]
+cells as (select source, lang, topic, sum(n_tokens)::double as n from named group by all having sum(n_tokens) > 0)""",
+            f"total as (select {keep}::double * sum(n) as k from cells)"]
     for d in mixing.DIMENSIONS:
-        ctes.append(f"t_{d} as (select {d}, s / sum(s) over () as share from (select {d}, power(sum(n), {mixing.POWERS[d]}) as s from cells group by 1))")
-    last = "(select *, n as w from cells)"
-    for k in range(rounds):
-        for d in mixing.DIMENSIONS:
-            ctes.append(
-                f"r{k}_{d} as materialized (select c.source, c.lang, c.topic, c.n, c.w * t.share * (select n from total) / sum(c.w) over (partition by c.{d}) as w "
-                f"from {last} c join t_{d} t on c.{d} is not distinct from t.{d})"
-            )
-            last = f"r{k}_{d}"
-    ctes.append(f"s0 as (select {keep}::double as s)")
-    for k in range(6):
-        ctes.append(
-            f"s{k + 1} as materialized (select greatest(coalesce(({keep} * sum(n) - coalesce(sum(n) filter (w / n * s >= 1), 0)) / sum(w) filter (w / n * s < 1), max(s)), max(s)) as s "
-            f"from {last}, s{k})"
-        )
-    return f"""with {", ".join(ctes)}
-select doc_id, d.source, d.lang, d.topic, n_tokens, coalesce(round(case when n_tokens > 0 then w / n end, 6), 0) as rate,
-  coalesce(round(case when n_tokens > 0 then least(w / n * s, 1) end, 6), 0) as probability,
-  coalesce(n_tokens > 0 and ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double < least(w / n * s, 1), false) as sampled
-from named d cross join s6 left join {last} c
-  on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic = c.topic"""
+        # sorted by how soon their tokens are used up, values are full up to the first whose level leaves some
+        ctes.append(f"""
+w_{d} as (select {d}, n, s / sum(s) over () as share from (select {d}, sum(n) as n, power(sum(n), {mixing.POWERS[d]}) as s from cells group by 1)),
+l_{d} as (
+  select n / share as ratio, (k - coalesce(sum(n) over (order by n / share rows between unbounded preceding and 1 preceding), 0))
+    / sum(share) over (order by n / share rows between current row and unbounded following) as level from w_{d}, total),
+t_{d} as (select {d}, least(n, share * (select coalesce(arg_min(level, ratio) filter (level <= ratio), max(ratio)) from l_{d})) as target from w_{d})""")
+    step, columns = "rounds", "source, lang, topic, n"
+    for d in mixing.DIMENSIONS:
+        step = f"""
+(select k, {columns}, y * case when target > sx and so > 0 then 1 + (target - sx) / so when target <= sx and sx > 0 then target / sx else 1 end as y
+ from (
+  select k, {columns}, y, target, sum(least(n, y)) over (partition by {d}) as sx, sum(case when y < n then y else 0 end) over (partition by {d}) as so
+  from (select k, {", ".join("c." + c.strip() for c in columns.split(","))}, y, target from {step} c join t_{d} t on c.{d} is not distinct from t.{d})))"""
+    ctes.append(f"rounds as (select 0 as k, {columns}, n * {keep}::double as y from cells union all select k + 1, {columns}, y from {step} where k < {rounds})")
+    ctes.append(f"fitted as (select {columns}, least(n, y) / n as p from rounds where k = {rounds})")
+    return f"""with recursive {", ".join(ctes)}
+select doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(p, 0) / {keep}, 6) as rate, round(coalesce(p, 0), 6) as probability,
+  coalesce(('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{seed}'), 1, 13))::bigint / 4503599627370496.0::double < p, false) as sampled
+from named d left join fitted c
+  on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic = c.topic and n_tokens > 0"""
 
 
 def oracle_sql() -> dict[str, str]:

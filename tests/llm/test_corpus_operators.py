@@ -53,8 +53,8 @@ def brute_links(data):
 
 @pytest.mark.parametrize("part", [1_024, 3])
 def test_join_finds_all_links(docs, monkeypatch, part):
-    for name in ("BUCKET_PART", "GROUP_PART"):  # small parts: groups go over many blocks
-        monkeypatch.setattr(ngram_join, name, part)
+    monkeypatch.setattr(ngram_join, "BUCKET_PART", (part, 64, part))  # small parts: groups go over many blocks
+    monkeypatch.setattr(ngram_join, "GROUP_PART", part)
     data = near_copies()
     links, group = brute_links(data)
     got = {r["doc_id"]: r for r in ngram_join.ngram_jaccard_join(docs(data)).collect()}
@@ -282,47 +282,87 @@ def test_line_dedup_replaces_its_own_columns_and_keeps_others(docs):
     assert {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["key"], r["gone"], r["doc"]) for r in got.collect()} == {1: (1, 0, "x", "x", "x"), 2: (1, 1, "x", "x", "x")}
 
 
-def test_raking_meets_the_marginals(spark):
-    rng = random.Random(2)
-    cells = [(s, lang, t, rng.randint(1, 5000)) for s in ("a", "b", "c", None) for lang in ("en", "de") for t in ("prose", "list")]
-    df = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, n long"), rounds=12)
-    total = sum(c[3] for c in cells)
-    for d in mixing.DIMENSIONS:
+def marginals(cells, keep=0.5):
+    """(dimension, value) -> tokens and the share of them that is wanted, uncapped."""
+    out = {}
+    for k, d in enumerate(mixing.DIMENSIONS):
         sums = {}
         for c in cells:
-            key = c[mixing.DIMENSIONS.index(d)]
-            sums[key] = sums.get(key, 0) + c[3]
-        powered = {k: v ** mixing.POWERS[d] for k, v in sums.items()}
-        got = {r[d]: r["w"] for r in df.groupBy(d).agg(F.sum("w").alias("w")).collect()}
-        for k, v in powered.items():
-            assert got[k] == pytest.approx(total * v / sum(powered.values()), rel=1e-3)
+            sums[c[k]] = sums.get(c[k], 0) + c[3]
+        powered = {v: n ** mixing.POWERS[d] for v, n in sums.items()}
+        out |= {(d, v): (sums[v], keep * sum(sums.values()) * x / sum(powered.values())) for v, x in powered.items()}
+    return out
+
+
+CELLS = "source string, lang string, topic string, n long"
+
+
+@pytest.mark.parametrize("broadcast_cells", [100_000, 0])
+def test_raking_meets_the_marginals(spark, broadcast_cells):
+    rng = random.Random(2)
+    cells = [(s, lang, t, rng.randint(1, 5000)) for s in ("a", "b", "c", None) for lang in ("en", "de") for t in ("prose", "list")]
+    df, report = mixing.rake(spark.createDataFrame(cells, CELLS), broadcast_cells=broadcast_cells)
+    got = {(r["dimension"], r["value"]): r for r in report.collect()}
+    for key, (available, wanted) in marginals(cells).items():
+        assert wanted < available and got[key]["target"] == pytest.approx(wanted) and got[key]["expected"] == pytest.approx(wanted, rel=1e-6)
+    assert all(0 < r["x"] <= r["n"] for r in df.collect()) and df.count() == len(cells)
 
 
-def test_raking_goes_on_until_the_marginals_are_met(spark):
+def test_raking_cuts_cells_at_their_tokens_and_still_meets_the_marginals(spark):
+    """Sources coupled to languages, of which some cells would need more tokens than they have."""
     cells = [
-        (s, lang, "prose", n if lang == main else n // 50)
+        (s, lang, "prose", n if lang == main else n // 8)
         for s, main, n in (("hot", "en", 540_000), ("b", "de", 150_000), ("c", "de", 90_000), ("d", "en", 200_000)) for lang in ("en", "de")
     ]
-    total, sums = sum(c[3] for c in cells), {}
-    for c in cells:
-        sums[c[0]] = sums.get(c[0], 0) + c[3]
-    powered = {k: v**0.5 for k, v in sums.items()}
-    got = {r["source"]: r["w"] for r in mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, n long")).groupBy("source").agg(F.sum("w").alias("w")).collect()}
-    for k, v in powered.items():
-        assert got[k] == pytest.approx(total * v / sum(powered.values()), rel=1e-3)
+    df, report = mixing.rake(spark.createDataFrame(cells, CELLS))
+    assert any(r["x"] > 0.999 * r["n"] for r in df.collect())
+    for r in report.collect():
+        assert r["target"] == pytest.approx(r["wanted"]) and r["expected"] == pytest.approx(r["wanted"], rel=1e-6)
+
+
+def test_values_that_lack_tokens_are_taken_whole_and_reported(spark):
+    cells = [(s, lang, t, n) for s in "ab" for lang in ("en", "de") for t, n in (("prose", 10_000), ("list", 40))]
+    given = {"topic": spark.createDataFrame([("prose", 0.9), ("list", 0.1)], "value string, share double")}
+    df, report = mixing.rake(spark.createDataFrame(cells, CELLS), given=given)
+    got = {r["value"]: r for r in report.where("dimension = 'topic'").collect()}
+    assert got["list"]["wanted"] > got["list"]["available"] == got["list"]["target"] == 160 and got["list"]["expected"] == pytest.approx(160)
+    assert got["prose"]["expected"] == pytest.approx(0.5 * 40_160 - 160)
+    assert sum(r["x"] for r in df.collect()) == pytest.approx(0.5 * 40_160)
 
 
-def test_raking_reports_targets_that_cannot_be_met(spark):
-    cells = spark.createDataFrame([("a", "en", "prose", 900), ("b", "de", "prose", 100)], "source string, lang string, topic string, n long")
+def test_raking_reports_targets_that_cannot_be_met_together(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 900), ("b", "de", "prose", 100)], CELLS)
+    given = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.9), ("de", 0.1)], "value string, share double")}
     with pytest.warns(UserWarning, match="off its target"):
-        assert mixing.rake(cells).count() == 2
+        df, report = mixing.rake(cells, keep=0.1, given=given)
+    assert df.count() == 2 and max(abs(r["expected"] / r["target"] - 1) for r in report.collect()) > 0.1
+
+
+def test_expected_sample_has_the_target_shares(spark, sf):
+    mixed = mixing.mix_sources(table(spark, sf, "documents")).persist()
+    cells = [tuple(r) for r in mixed.where("n_tokens > 0").groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens")).collect()]
+    for (d, v), (available, wanted) in marginals(cells).items():
+        got = mixed.where(F.col(d).eqNullSafe(v)).agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0]
+        if wanted > available:
+            assert got == pytest.approx(available, rel=1e-3)
+        elif d != "topic":  # of which some lack tokens, so that others make up for them
+            assert got == pytest.approx(wanted, rel=1e-3)
+    mixed.unpersist()
+
+
+def test_mixing_replaces_its_own_columns(spark, docs):
+    df = docs([(k, "some words of prose " * 30) for k in range(20)]).withColumns({c: F.lit("x") for c in ("topic", "n_tokens", "rate", "probability", "sampled", "p", "off", "t_source", "_x")})
+    got = mixing.mix_sources(df)
+    assert len(got.columns) == len(df.columns) and {r["topic"] for r in got.collect()} == {"prose"} and {r["off"] for r in got.collect()} == {"x"}
+    by_column = mixing.mix_sources(df, topic=F.col("line"))
+    assert {r["topic"] for r in by_column.collect()} == {"x"}
 
 
 def test_given_shares_and_the_sample(spark, sf, odd):
     given = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "value string, share double")}
-    got = mixing.mix_sources(table(spark, sf, "documents"), keep=0.4, given=given)
-    sums = {r["lang"]: r["w"] for r in got.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("w")).collect()}
-    assert sums["fr"] == 0 and sums["es"] == 0 and sums["en"] == pytest.approx(sums["de"], rel=0.25)
+    got = mixing.mix_sources(table(spark, sf, "documents"), keep=0.1, given=given)
+    sums = {r["lang"]: r["w"] for r in got.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("w")).collect()}
+    assert sums["fr"] == 0 and sums["es"] == 0 and sums["en"] == pytest.approx(sums["de"], rel=1e-3)
     mixed = mixing.mix_sources(odd).collect()
     assert len(mixed) == odd.count() and not any(r["sampled"] for r in mixed if r["doc_id"] in (1, 2, 3))
     assert mixing.mix_sources(odd.limit(0)).count() == 0
