@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 HASHES = 128
 ROWS = 4  # MinHash values of a band: at a similarity of 0.8 a pair misses all 32 bands once in 2e7
 TOLERANCE = 1e-6
-BUCKET_PART = 2_048  # classes of a part of a bucket, of which signatures alone are sent
+BUCKET_PART = 256, 64, 4_096  # classes of a part of a bucket, of which signatures alone are sent: these at least, then a 64th of the bucket, up to the last
 GROUP_PART = 1_024  # classes of a part of a group, of which shingles are sent too
 PART_SHINGLES = 1 << 20  # shingles of a part of a group
 STEPS = (8, 16, 24, 32, 48, 64, 96, 128)  # MinHash values after which a pair may go
@@ -295,7 +295,9 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         .where("members > 1").groupBy("members", "whose", "least").agg(F.min("bucket").alias("bucket"))
     )
     members = held.join(buckets.select("bucket", "members"), "bucket").join(classes.select("rep", "sig"), "rep")
-    dealt = _blocks(members, "bucket", F.col("members") / BUCKET_PART).select("blk", "lo", "hi", "side", "rep", "sig")
+    least, parts, most = BUCKET_PART
+    size = F.least(F.greatest(F.col("members") / parts, F.lit(least)), F.lit(most))
+    dealt = _blocks(members, "bucket", F.col("members") / size).select("blk", "lo", "hi", "side", "rep", "sig")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_candidate_edges, "a long, b long")
 
