@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text: one on windows of ordinary texts, one on
-the byte runs that mark toxic texts (5-byte sequences far more frequent there). Each window of a
-text is compressed with the ordinary dictionary and with both joined; the bytes that the toxic part
-saves are the window's excess. A threshold on it is calibrated on ordinary windows of held-back
-training texts, and a logistic curve over what passes it turns a text's windows into a score.
-Training reads a bounded sample on the driver; scoring is one pass over all texts in Spark tasks.
+the byte runs of toxic texts that ordinary texts hardly have (5-byte sequences far more frequent
+there). The dictionary of toxic text is that part before the ordinary one: two that share no ordinary
+content differ by more bytes on ordinary windows than a toxic word saves. Each window of a text is
+compressed with either; the bytes that the toxic one saves are the window's excess. A threshold on it
+is calibrated on ordinary windows of held-back training texts, and a logistic curve over what passes
+it turns a text's windows into a score. Training reads a bounded sample on the driver; scoring is one
+pass over all texts in Spark tasks.
 """
 
 from __future__ import annotations
@@ -129,6 +131,7 @@ def train(
     *,
     ordinary_size: int = 32_768,
     toxic_size: int = 1_024,
+    spread: int = 2_000,
     false_windows: float = 0.002,
     least_g: float = 20.0,
     least_ratio: float = 15.0,
@@ -136,6 +139,8 @@ def train(
 ) -> Model:
     """A model of labelled texts: dictionaries from one half of them, threshold and curve from the other.
 
+    Of an ordinary text of more than `spread` characters, each n-th window trains the dictionary,
+    where n is its length by `spread`: so long texts don't outweigh all others.
     Without texts of one of the labels, or without marks, every score is the share of toxic texts
     (0 if there are none at all).
     """
@@ -153,7 +158,7 @@ def train(
         runs = [_runs(t, marks) for t in toxic]
         known = Counter(x for own in runs for x in own)
         samples = [b"".join(sorted(own, key=lambda x: (known[x], x))) for own in ({x for x in own if known[x] >= 3} for own in runs) if own]
-        base = [w for t in ordinary for w in windows_of(t)[:: max(1, len(t) // 2_000)]]
+        base = [w for t in ordinary for w in windows_of(t)[:: max(1, len(t) // spread)]]
         return Model(_dictionary(base, ordinary_size, 64), _dictionary(samples, toxic_size, 16)) if samples else None
 
     model = dictionaries(toxic[:a], ordinary[:b])
@@ -175,7 +180,8 @@ def train(
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Whether a row is kept out of training; one without an id isn't, but it has no label either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def training_texts(
