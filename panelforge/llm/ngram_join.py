@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import is_small, saved, text_of
+from .tables import fresh, is_small, saved, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -40,7 +40,7 @@ HASHES = 128
 ROWS = 4  # MinHash values of a band: at a similarity of 0.8 a pair misses all 32 bands once in 2e7
 TOLERANCE = 1e-6
 BUCKET_PART = 256, 64, 4_096  # classes of a part of a bucket, of which signatures alone are sent: these at least, then a 64th of the bucket, up to the last
-GROUP_PART = 1_024  # classes of a part of a group, of which shingles are sent too
+GROUP_PART = 192, 8, 1_024  # the same of a group, of which shingles are sent too: eight parts up to 8,192 classes
 PART_SHINGLES = 1 << 20  # shingles of a part of a group
 STEPS = (8, 16, 24, 32, 48, 64, 96, 128)  # MinHash values after which a pair may go
 _WORD = re.compile(r"\w+")
@@ -187,6 +187,12 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, f"doc {kind}, h long, rep long, n_shingles int, sig binary")
 
 
+def _part_size(n: Column, bounds: tuple[int, int, int]) -> Column:
+    """Members of a part of `n`: small parts where there are few, so that many tasks share them, larger ones where parts would be many."""
+    least, parts, most = bounds
+    return F.least(F.greatest(n / parts, F.lit(least)), F.lit(most))
+
+
 def _blocks(members: DataFrame, key: str, parts: Column) -> DataFrame:
     """Members dealt out to blocks: `blk` is one pair of parts of one key, `side` the part of the member.
 
@@ -295,9 +301,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         .where("members > 1").groupBy("members", "whose", "least").agg(F.min("bucket").alias("bucket"))
     )
     members = held.join(buckets.select("bucket", "members"), "bucket").join(classes.select("rep", "sig"), "rep")
-    least, parts, most = BUCKET_PART
-    size = F.least(F.greatest(F.col("members") / parts, F.lit(least)), F.lit(most))
-    dealt = _blocks(members, "bucket", F.col("members") / size).select("blk", "lo", "hi", "side", "rep", "sig")
+    dealt = _blocks(members, "bucket", F.col("members") / _part_size(F.col("members"), BUCKET_PART)).select("blk", "lo", "hi", "side", "rep", "sig")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_candidate_edges, "a long, b long")
 
@@ -341,7 +345,7 @@ def _group_parts(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """rep, grp, parts: the members of candidate groups, and in how many parts their group is compared."""
     sized = groups.join(classes.select("rep", "n_shingles"), groups["node"] == classes["rep"]).select("rep", "grp", "n_shingles")
     sums = sized.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    parts = F.ceil(F.greatest(F.col("n") / GROUP_PART, F.col("s") / PART_SHINGLES)).cast("long")
+    parts = F.ceil(F.greatest(F.col("n") / _part_size(F.col("n"), GROUP_PART), F.col("s") / PART_SHINGLES)).cast("long")
     large = saved(sums.select("grp", parts.alias("parts")).where("parts > 1"))
     large = F.broadcast(large) if is_small(large, 100_000) else large
     return sized.join(large, "grp", "left").select("rep", "grp", F.coalesce("parts", F.lit(1)).alias("parts"))
@@ -357,22 +361,10 @@ def dealt_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, *, id_c
     return _blocks(ready, "grp", F.col("parts")).select("blk", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id, n_links, n_class_links, copy_id, n_copies.
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, h (hash of the text) of each row, and of its class: rep, grp (of its group), least_doc, class_id, copies, and the links.
 
-    copy_id is the least id of the documents with the same shingle set, n_copies their number (the
-    document among them); n_class_links is the number of other shingle sets with a similarity of 0.8
-    or more, n_links that of other documents: those sets' documents, and the own copies. class_id is
-    the least id of all documents that links lead to, directly or through others: the group of near
-    duplicates. Texts of fewer than five words are compared as one shingle. Texts without words
-    (null and empty ones too) have no shingles and link with nothing; such a document is a class of
-    its own. A row without an id is left with a null class and no links. Each row is a document:
-    rows of one id and text are copies of each other, rows of one id with other texts are compared
-    like any. An empty table gives none; other columns aren't looked at. Shingles are compared by
-    64-bit hashes, and so are their sets: of a billion different sets two are taken for one with a
-    probability of 3 in a hundred. Two documents that agree in none of 32 bands can be missed, at a
-    similarity of 0.8 once in twenty million pairs, and pruning drops a true pair about as rarely
-    as the tolerance of 1e-6.
+    Rows without words or without an id have nulls in all but the first two.
     """
     found = saved(sketches(docs, id_col=id_col, text_col=text_col))
     worded = found.where("n_shingles > 0 and doc is not null")
@@ -393,10 +385,30 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = saved(linked.groupBy("component").agg(F.min("least_doc").alias("class_id")))
     by_class = saved(
         classes.select("rep", "least_doc", "copies").join(counts, "rep", "left")
-        .join(linked.join(least, "component").select("rep", "class_id"), "rep", "left")
+        .join(linked.join(least, "component").select("rep", "component", "class_id"), "rep", "left")
     )
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("rep")).alias("rep")
-    return found.select("doc", rep).join(by_class, "rep", "left").select(
+    return found.select("doc", "h", rep).join(by_class, "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, class_id, n_links, n_class_links, copy_id, n_copies.
+
+    copy_id is the least id of the documents with the same shingle set, n_copies their number (the
+    document among them); n_class_links is the number of other shingle sets with a similarity of 0.8
+    or more, n_links that of other documents: those sets' documents, and the own copies. class_id is
+    the least id of all documents that links lead to, directly or through others: the group of near
+    duplicates. Texts of fewer than five words are compared as one shingle. Texts without words
+    (null and empty ones too) have no shingles and link with nothing; such a document is a class of
+    its own. A row without an id is left with a null class and no links. Each row is a document:
+    rows of one id and text are copies of each other, rows of one id with other texts are compared
+    like any. An empty table gives none; other columns aren't looked at. Shingles are compared by
+    64-bit hashes, and so are their sets: of a billion different sets two are taken for one with a
+    probability of 3 in a hundred. Two documents that agree in none of 32 bands can be missed, at a
+    similarity of 0.8 once in twenty million pairs, and pruning drops a true pair about as rarely
+    as the tolerance of 1e-6.
+    """
+    return _grouped(docs, id_col, text_col).select(
         F.col("doc").alias(id_col),
         F.coalesce("class_id", "least_doc", "doc").alias("class_id"),
         (F.coalesce("n_documents", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
@@ -404,3 +416,23 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.coalesce("least_doc", "doc").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without near duplicates: of each group one row stays, that of the least id (of one id's texts, that of the least hash).
+
+    Groups are those of ngram_jaccard_join(): what links lead to through others goes too, so a
+    document that goes can be less like the one that stays than the threshold. Rows without words or
+    without an id are in no group and stay, repeated ones too. Columns stay, whatever their names.
+    """
+    rows = _grouped(docs, id_col, text_col).where("grp is not null").groupBy("doc", "h", "grp").agg(F.count("*").alias("n"))
+    rows = saved(rows)
+    first = saved(rows.groupBy("grp").agg(F.min(F.struct("doc", "h")).alias("first")))
+    first = rows.join(first, "grp").select(F.struct("doc", "h").alias("own"), (F.struct("doc", "h") == F.col("first")).alias("stays"), "n")
+    key, stays = fresh("own", docs), fresh("stays", docs)
+    marked = saved(first.where("not stays or n > 1").select(F.col("own").alias(key), F.col("stays").alias(stays)))
+    own = F.struct(docs[id_col].alias("doc"), F.xxhash64(text_of(text_col)).alias("h"))
+    out = docs.join(marked, own == marked[key], "left")
+    # of rows that are repeated one stays; all others are not shuffled for it
+    repeated = out.where(F.col(stays)).dropDuplicates([key]).select(*[docs[c] for c in docs.columns])
+    return out.where(F.col(stays).isNull()).select(*[docs[c] for c in docs.columns]).unionAll(repeated)

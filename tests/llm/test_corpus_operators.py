@@ -54,7 +54,7 @@ def brute_links(data):
 @pytest.mark.parametrize("part", [1_024, 3])
 def test_join_finds_all_links(docs, monkeypatch, part):
     monkeypatch.setattr(ngram_join, "BUCKET_PART", (part, 64, part))  # small parts: groups go over many blocks
-    monkeypatch.setattr(ngram_join, "GROUP_PART", part)
+    monkeypatch.setattr(ngram_join, "GROUP_PART", (part, 64, part))
     data = near_copies()
     links, group = brute_links(data)
     got = {r["doc_id"]: r for r in ngram_join.ngram_jaccard_join(docs(data)).collect()}
@@ -81,6 +81,16 @@ def test_random_ids_with_several_texts(docs):
     assert got == sorted((data[k][0], len(links[k]), least[group[k]]) for k in links)
 
 
+def test_one_of_each_group_stays(docs, odd):
+    base, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, base), (5, other), (6, base + " word"), (7, other + " word"), (7, other + " word"), (8, "own words"), (9, "own words"), (9, "own words"), (4, "x y"), (4, "x y")]
+    got = sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each_group(docs(rows)).collect())
+    assert got == sorted([(5, base), (5, other), (8, "own words"), (4, "x y")])
+    kept = ngram_join.one_of_each_group(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "8", "None"])
+    assert ngram_join.one_of_each_group(odd.limit(0)).count() == 0
+
+
 def test_a_large_group_is_dealt_in_few_copies(spark, docs):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
@@ -93,7 +103,7 @@ def test_a_large_group_is_dealt_in_few_copies(spark, docs):
     found = ngram_join.sketches(df)
     classes = found.groupBy("rep").agg(F.first(F.struct("doc", "h")).alias("holder"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).cache()
     groups = classes.select(F.col("rep").alias("node"), F.lit(1).cast("long").alias("grp"))
-    assert classes.count() == 2_000 and ngram_join.dealt_groups(df, classes, groups).count() == 2 * 2_000
+    assert classes.count() == 2_000 and ngram_join.dealt_groups(df, classes, groups).count() == 8 * 2_000
 
 
 def test_overlaps_are_exact():
