@@ -24,14 +24,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
-    found = ngram_join.ngram_jaccard_join(docs)
-    others = found.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row stays, that of the least id."""
+    return ngram_join.one_of_each_group(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares of sources, languages and topics."""
+    """A sample whose tokens have, in expectation, the target shares of sources, languages and topics, as far as they have so many."""
     return mixing.mix_sources(docs).where("sampled").select(*COLUMNS)
 
 
