@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field, fields
 
+from .operators.factors import FACTORS
+
 
 @dataclass
 class Data:
@@ -17,6 +19,7 @@ class Data:
 
 @dataclass
 class Search:
+    names: list[str] = field(default_factory=lambda: list(FACTORS))
     population: int = 100
     generations: int = 50
     mate: float = 0.5
@@ -34,6 +37,7 @@ class Backtest:
     oos_days: int = 180
     step_days: int = 365
     gap_threshold: float = 0.5
+    replicates: int = 1000
 
 
 @dataclass

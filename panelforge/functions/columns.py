@@ -11,14 +11,14 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def ticker():
-    """A ticker's rows in date order."""
-    return Window.partitionBy("ticker").orderBy("date_utc")
+def ticker(by=()):
+    """A ticker's rows in date order, apart for each value of `by`."""
+    return Window.partitionBy(*by, "ticker").orderBy("date_utc")
 
 
-def date():
-    """The rows of a date."""
-    return Window.partitionBy("date_utc")
+def date(by=()):
+    """The rows of a date, apart for each value of `by`."""
+    return Window.partitionBy(*by, "date_utc")
 
 
 def trailing(rows: int):
@@ -69,13 +69,13 @@ def ts_rank(x: Column, rows: int) -> Column:
 def cs_rank(x: Column, by=None) -> Column:
     """Average-tie rank by the number of values, in (0, 1].
 
-    The average of the ranks that tied values take is half of the first rank plus the last one, and
-    the last is counted from the other end: two sorts, but no exchange of its own.
+    Tied values take the average of their ranks: the first of them and half of how many more there
+    are. All three counts are frames over one sort, so a rank is one sort and one window.
     """
-    by = by or date()
-    n = F.count(x).over(by)
-    first, last = F.rank().over(by.orderBy(x.asc_nulls_last())), n + 1 - F.rank().over(by.orderBy(x.desc_nulls_last()))
-    return F.when(x.isNotNull(), (first + last) / 2 / n)
+    sorted_ = (by or date()).orderBy(x.asc_nulls_last())
+    n = F.count(x).over(sorted_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    peers = F.count(x).over(sorted_.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(sorted_) + (peers - 1) / 2) / n)
 
 
 def cs_zscore(x: Column) -> Column:

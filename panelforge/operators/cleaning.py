@@ -45,12 +45,15 @@ def top_universe(universe: DataFrame, n: int, *, by: str = "market_cap", tie: st
     return universe.orderBy(F.col(by).desc_nulls_last(), tie).limit(n)
 
 
-def last_wins(frames: list[DataFrame], *, order: str, required: list[str] = ()) -> DataFrame:
-    """Union of frames, the latest row by `order` for each key; rows without a required value go."""
+def last_wins(frames: list[DataFrame], *, order: str) -> DataFrame:
+    """Union of frames, for each key the latest known value by `order` of each column.
+
+    A column is NULL where no row of the key knows it; a row of which nothing is known goes.
+    """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    values = [c for c in rows.columns if c not in KEYS]
-    best = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*values), F.col(order)).alias("_r")).select(*KEYS, *[F.col(f"_r.{c}").alias(c) for c in values])
-    return best.dropna(subset=list(required)) if required else best
+    values = [c for c in rows.columns if c not in (*KEYS, order)]
+    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values]
+    return rows.groupBy(*KEYS).agg(*latest).dropna("all", subset=values)
 
 
 def first_wins(rows: DataFrame, keys: list[str], *, order: str) -> DataFrame:
@@ -96,10 +99,15 @@ def filled(panel: DataFrame, columns: list[str], most: int) -> DataFrame:
     return panel.withColumns({c: C.ffill_limited(F.col(c), most) for c in columns})
 
 
-def clean_panel(panel: DataFrame, *, funding_lag: int = 1, max_gap: int = 3) -> DataFrame:
-    """Harmonised tickers where there is a symbol column, funding lagged, all columns gap-filled."""
+def clean_panel(panel: DataFrame, *, funding_lag: int = 1, max_gap: int = 3, zone: str = "UTC") -> DataFrame:
+    """Harmonised tickers where there is a symbol column, days in UTC, funding lagged, all columns gap-filled.
+
+    A timestamp in date_utc is taken as local time of `zone`; dates stay as they are.
+    """
     if "symbol" in panel.columns and "ticker" not in panel.columns:
         panel = panel.withColumn("ticker", harmonised_symbol(F.col("symbol"))).drop("symbol")
+    if dict(panel.dtypes)["date_utc"] != "date":
+        panel = panel.withColumn("date_utc", utc_day(F.col("date_utc"), zone))
     if "funding_rate" in panel.columns:
         panel = lagged(panel, "funding_rate", funding_lag)
     return filled(panel, [c for c in panel.columns if c not in KEYS], max_gap)

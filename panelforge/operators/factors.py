@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,39 @@ def factor(panel: DataFrame, name: str) -> DataFrame:
     return with_factors(panel, [name]).select(*KEYS, name)
 
 
+def canonical(panel: DataFrame, column: str, name: str, *, category: str = "category", digits: int | None = None) -> DataFrame:
+    """`panel` with `name`: the column clipped to its quantiles, standardised, without its category's mean, ranked; each by date.
+
+    With `digits`, what lies between is rounded, so that ties don't depend on how sums are ordered.
+    """
+    settled = lambda x: x if digits is None else F.round(x, digits) + 0.0
+    out = panel.withColumn("_c", settled(C.cs_winsor(F.col(column)))).withColumn("_c", settled(C.cs_zscore(F.col("_c"))))
+    return out.withColumn("_c", settled(C.cs_neutralize(F.col("_c"), category))).withColumn(name, C.cs_rank(F.col("_c"))).drop("_c")
+
+
+def neutralised(panel: DataFrame, column: str, dummies: list[str], name: str) -> DataFrame:
+    """`panel` with `name`: the residuals of each date's least squares of a column on a constant and any dummies, overlapping ones too.
+
+    Unknown values are left out, unknown dummies count as 0; a date with fewer than two known values
+    has none. A date's sums of products are one aggregation, its few coefficients come from
+    their pseudo-inverse, so that dummies that depend on each other do no harm.
+    """
+    y, x = F.col(column).cast("double"), [F.lit(1.0), *[F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dummies]]
+    k = len(x)
+    known = panel.where(y.isNotNull())
+    sums = known.groupBy("date_utc").agg(
+        F.count("*").alias("_n"), F.array(*[F.sum(x[i] * x[j]) for i in range(k) for j in range(k)]).alias("_xx"), F.array(*[F.sum(x[i] * y) for i in range(k)]).alias("_xy")
+    )
+
+    @F.pandas_udf("array<double>")
+    def solved(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.pinv(np.reshape(a, (k, k)), hermitian=True) @ np.asarray(b) for a, b in zip(xx, xy, strict=True)])
+
+    fitted = sums.where("_n >= 2").select("date_utc", solved("_xx", "_xy").alias("_b"))
+    part = sum((F.get("_b", F.lit(i)) * x[i] for i in range(1, k)), F.get("_b", F.lit(0)) * x[0])
+    return panel.join(fitted, "date_utc", "left").withColumn(name, y - part).select(*panel.columns, name)
+
+
 def forward_return(panel: DataFrame, rows: int, name: str) -> DataFrame:
     """`panel` with the return over the next `rows` rows, between last known closes."""
     padded = panel.withColumn("_pad", C.padded(F.col("close")))

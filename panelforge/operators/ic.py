@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ LEAST = 10
 INFEASIBLE = (-99.0, -99.0, 0.0)
 
 
-def daily_ic(signals: DataFrame, ret: str, *, joint: bool = False, by: list[str] = ("formula",), least: int = LEAST) -> DataFrame:
+def daily_ic(signals: DataFrame, ret: str, *, joint: bool = False, ranked: bool = False, by: list[str] = ("formula",), least: int = LEAST) -> DataFrame:
     """by, date_utc, ic of long rows (by, date_utc, x, `ret`): the rank correlation of each date.
 
+    With `ranked`, `ret` already is the return's rank over its date.
+
     Each side is ranked over its own known values and pairs are matched after that, on dates with
     `least` known signals; with `joint`, pairs are matched first, and `least` counts pairs. Dates
     whose correlation isn't defined are left out. All formulas go through one exchange.
@@ -27,11 +31,19 @@ def daily_ic(signals: DataFrame, ret: str, *, joint: bool = False, by: list[str]
     if joint:
         rows = rows.where(F.col("x").isNotNull() & F.col("r").isNotNull())
     w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, "x", C.cs_rank(F.col("x"), w).alias("_a"), C.cs_rank(F.col("r"), w).alias("_b"))
-    daily = ranked.groupBy(*keys).agg(F.count("x").alias("n"), C.safe_corr(F.col("_a"), F.col("_b")).alias("ic"))
+    sides = rows.select(*keys, "x", C.cs_rank(F.col("x"), w).alias("_a"), (F.col("r") if ranked else C.cs_rank(F.col("r"), w)).alias("_b"))
+    daily = sides.groupBy(*keys).agg(F.count("x").alias("n"), C.safe_corr(F.col("_a"), F.col("_b")).alias("ic"))
     return daily.where((F.col("n") >= least) & F.col("ic").isNotNull()).drop("n")
 
 
+def wide_ic(wide: DataFrame, names: list[str], ret: str, least: int = LEAST) -> DataFrame:
+    """formula, date_utc, ic of the named columns: daily_ic() of all of them, for which the return is ranked once."""
+    from ..plans.batch import long_form
+
+    rows = wide.withColumn("_rank", C.cs_rank(F.col(ret)))
+    return daily_ic(long_form(rows, names, ["date_utc", "_rank"]), "_rank", ranked=True, least=least)
+
+
 def newey_west(daily: DataFrame, by: list[str] = ("formula",)) -> DataFrame:
     """by, n, mean_ic, se, stability of daily series: autocorrelation-robust standard errors.
 
@@ -55,18 +67,79 @@ def newey_west(daily: DataFrame, by: list[str] = ("formula",)) -> DataFrame:
     return out.withColumn("se", se).select(*by, "n", "mean_ic", "se", F.when(F.col("se") > 0, F.abs("mean_ic") / F.col("se")).otherwise(0.0).alias("stability"))
 
 
-def ic_decay(signals: DataFrame, ret: str, horizons: list[int]) -> DataFrame:
-    """formula, horizon, ic: mean rank correlation with the return `horizon` rows further on.
+def horizon_ic(signals: DataFrame, ret: str, horizons: list[int]) -> DataFrame:
+    """formula, horizon, date_utc, ic: rank correlations with the return `horizon` rows further on.
 
     `signals` has ticker too. All horizons are one pass: leads share the sort by ticker.
     """
     w = Window.partitionBy("formula", "ticker").orderBy("date_utc")
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(ret, h).over(w).alias("r")) for h in horizons])
-    rows = signals.select("formula", "date_utc", "x", pairs.alias("p")).select("formula", "date_utc", "x", F.explode("p").alias("p")).select("formula", "date_utc", "x", "p.horizon", "p.r")
-    daily = daily_ic(rows, "r", by=["formula", "horizon"])
-    wanted = rows.select("formula", "horizon").distinct()
-    means = daily.groupBy("formula", "horizon").agg(F.avg("ic").alias("ic"))
-    return wanted.join(means, ["formula", "horizon"], "left").select("formula", "horizon", F.coalesce("ic", F.lit(0.0)).alias("ic"))
+    rows = signals.select("formula", "date_utc", "x", pairs.alias("p")).select("formula", "date_utc", "x", F.explode("p").alias("p"))
+    return daily_ic(rows.select("formula", "date_utc", "x", "p.horizon", "p.r"), "r", by=["formula", "horizon"])
+
+
+def _all_horizons(signals: DataFrame, horizons: list[int]) -> DataFrame:
+    return signals.select("formula").distinct().select("formula", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
+
+
+def ic_decay(signals: DataFrame, ret: str, horizons: list[int]) -> DataFrame:
+    """formula, horizon, ic: the mean of horizon_ic(); 0 where no date has one."""
+    means = horizon_ic(signals, ret, horizons).groupBy("formula", "horizon").agg(F.avg("ic").alias("ic"))
+    return _all_horizons(signals, horizons).join(means, ["formula", "horizon"], "left").select("formula", "horizon", F.coalesce("ic", F.lit(0.0)).alias("ic"))
+
+
+def ic_decay_ci(signals: DataFrame, ret: str, horizons: list[int], *, replicates: int = 200, block: float = 10.0, seed: int = 42) -> DataFrame:
+    """formula, horizon, mean, lower, upper: ic_decay() with a 95 % interval of the stationary bootstrap.
+
+    A series of fewer than ten dates, or a constant one, has its mean three times; an empty one 0.
+    """
+    from .validation import bootstrap_ci
+
+    daily = horizon_ic(signals, ret, horizons)
+    found = bootstrap_ci(daily, ["formula", "horizon"], replicates=replicates, block=block, seed=seed)
+    means = daily.groupBy("formula", "horizon").agg(F.avg("ic").alias("_mean"))
+    out = _all_horizons(signals, horizons).join(found, ["formula", "horizon"], "left").join(means, ["formula", "horizon"], "left")
+    return out.select("formula", "horizon", *[F.coalesce(c, "_mean", F.lit(0.0)).alias(c) for c in ("mean", "lower", "upper")])
+
+
+def _rank_correlations(x: np.ndarray, left: int, least: int) -> np.ndarray:
+    """Rank correlations of the first `left` columns with the others, each pair over its own known rows; NaN where undefined."""
+    out = np.full((left, x.shape[1] - left), np.nan)
+    known = ~np.isnan(x)
+    _, kind = np.unique(known, axis=1, return_inverse=True)
+    kinds = kind.ravel()
+    for p in np.unique(kinds[:left]):
+        for q in np.unique(kinds[left:]):
+            a, b = np.flatnonzero(kinds[:left] == p), np.flatnonzero(kinds[left:] == q)
+            rows = known[:, a[0]] & known[:, left + b[0]]
+            if rows.sum() < least:
+                continue
+            part = pd.DataFrame(x[rows][:, [*a, *(left + b)]]).rank().to_numpy()
+            part = part - part.mean(0)
+            norm = np.sqrt((part**2).sum(0))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                got = (part[:, : len(a)].T @ part[:, len(a) :]) / np.outer(norm[: len(a)], norm[len(a) :])
+            out[np.ix_(a, b)] = np.where(np.outer(norm[: len(a)] > 0, norm[len(a) :] > 0), got, np.nan)
+    return out
+
+
+def _correlations(wide: DataFrame, names: list[str], others: list[str], least: int) -> DataFrame:
+    """a, b, corr (the absolute mean over dates) of all names with all others that share a date.
+
+    A date's rows are one group: its columns are ranked once, and only those of pairs whose known
+    rows differ are ranked again for the rows that both know.
+    """
+    left = len(names)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        got = _rank_correlations(rows.iloc[:, 1:].to_numpy(float), left, least)
+        i, j = np.nonzero(~np.isnan(got))
+        return pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "ic": got[i, j]})
+
+    columns = [F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate([*names, *others])]
+    daily = wide.select("date_utc", *columns).groupBy("date_utc").applyInPandas(run, "i int, j int, ic double")
+    named = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), F.col(k))
+    return daily.groupBy("i", "j").agg(F.abs(F.avg("ic")).alias("corr")).select(named(names, "i").alias("a"), named(others, "j").alias("b"), "corr")
 
 
 def signal_correlations(wide: DataFrame, pairs: list[tuple[str, str]], least: int = LEAST) -> DataFrame:
@@ -74,20 +147,16 @@ def signal_correlations(wide: DataFrame, pairs: list[tuple[str, str]], least: in
 
     Pairs are matched first; a date needs `least` of them; NULL if no date has them.
     """
-    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("r")) for a, b in pairs])
-    rows = wide.select("date_utc", F.explode(both).alias("p")).select("date_utc", "p.*")
-    daily = daily_ic(rows, "r", joint=True, by=["a", "b"], least=least)
-    means = daily.groupBy("a", "b").agg(F.abs(F.avg("ic")).alias("corr"))
-    return wide.sparkSession.createDataFrame(pairs, "a string, b string").join(means, ["a", "b"], "left")
+    found = _correlations(wide, list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs)), least)
+    return wide.sparkSession.createDataFrame(pairs, "a string, b string").join(found, ["a", "b"], "left")
 
 
 def diversity(wide: DataFrame, names: list[str], others: list[str], least: int = LEAST) -> DataFrame:
     """formula, diversity: 1 less the mean correlation with `others`; 1 where none is defined."""
-    pairs = [(a, b) for a in names for b in others]
-    if not pairs:
-        return wide.sparkSession.createDataFrame([(n, 1.0) for n in names], "formula string, diversity double")
-    found = signal_correlations(wide, pairs, least).groupBy(F.col("a").alias("formula")).agg((1 - F.avg("corr")).alias("diversity"))
     base = wide.sparkSession.createDataFrame([(n,) for n in names], "formula string")
+    if not names or not others:
+        return base.withColumn("diversity", F.lit(1.0))
+    found = _correlations(wide, names, others, least).groupBy(F.col("a").alias("formula")).agg((1 - F.avg("corr")).alias("diversity"))
     return base.join(found, "formula", "left").select("formula", F.coalesce("diversity", F.lit(1.0)).alias("diversity"))
 
 
@@ -102,18 +171,20 @@ class Fitness:
         return all(v > -99 for v in (self.rank_ic, self.stability, self.diversity))
 
 
-def composite_fitness(wide: DataFrame, ret: str, names: list[str], others: list[str]) -> DataFrame:
+def composite_fitness(wide: DataFrame, ret: str, names: list[str], others: list[str], return_dates: DataFrame | None = None) -> DataFrame:
     """formula, rank_ic, stability, diversity; the infeasible triple where a signal or all returns are unknown.
 
-    One batch for any number of formulas: long rows for the information coefficients, pairs for
-    the diversity.
+    The same where a signal is known on a date that `return_dates` (date_utc), if given, lacks: it
+    would look ahead. One batch for any number of formulas: long rows for the information
+    coefficients, dates for the diversity.
     """
-    from ..plans.batch import long_form
-
-    rows = long_form(wide, names, ["date_utc", ret])
-    known = rows.groupBy("formula").agg(F.count("x").alias("known"), F.count(ret).alias("known_r"))
-    parts = known.join(newey_west(daily_ic(rows, ret)), "formula", "left").join(diversity(wide, names, others), "formula", "left")
-    good = (F.col("known") > 0) & (F.col("known_r") > 0)
+    own = wide if return_dates is None else wide.join(return_dates.select("date_utc").distinct().withColumn("_dated", F.lit(True)), "date_utc", "left")
+    undated = F.lit(False) if return_dates is None else F.col("_dated").isNull()
+    counts = own.agg(F.count(ret).alias("_r"), *[F.count(n).alias(n) for n in names], *[F.count(F.when(undated, F.col(n))).alias(f"_ahead_{n}") for n in names])
+    pairs = F.array(*[F.struct(F.lit(n).alias("formula"), F.col(n).alias("known"), F.col(f"_ahead_{n}").alias("ahead")) for n in names])
+    known = counts.select("_r", F.explode(pairs).alias("p")).select("_r", "p.*")
+    parts = known.join(newey_west(wide_ic(wide, names, ret)), "formula", "left").join(diversity(wide, names, others), "formula", "left")
+    good = (F.col("known") > 0) & (F.col("_r") > 0) & (F.col("ahead") == 0)
     return parts.select(
         "formula",
         F.when(good, F.coalesce("mean_ic", F.lit(0.0))).otherwise(INFEASIBLE[0]).alias("rank_ic"),

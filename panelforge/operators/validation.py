@@ -19,7 +19,7 @@ EULER = 0.5772156649015329
 YEAR = 365
 
 
-def bootstrap_ci(daily: DataFrame, by: list[str] = ("formula",), *, value: str = "ic", replicates: int = 1000, block: float = 5.0, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_ci(daily: DataFrame, by: list[str] = ("formula",), *, value: str = "ic", replicates: int = 1000, block: float = 10.0, level: float = 0.95, seed: int = 42) -> DataFrame:
     """by, mean, lower, upper of daily series; each series is one group of as many rows as dates.
 
     Fewer than ten dates give nulls, a constant series its mean three times.
@@ -73,15 +73,23 @@ def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, exces
     return normal.cdf(sr / math.sqrt(variance) - best)
 
 
-def deflated_sharpe_of(daily: DataFrame, trials: int, ret: str = "ret") -> DataFrame:
-    """n, sharpe, skew, kurtosis, dsr of a daily series, by its own population moments."""
-    got = daily.agg(
+def deflated_sharpe_of(daily: DataFrame, trials: int, ret: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, n, sharpe, skew, kurtosis, dsr of daily series, by their own population moments; a row of moments for each comes to the driver."""
+    kinds = "".join(f"`{b}` {dict(daily.dtypes)[b]}, " for b in by)
+    got = daily.groupBy(*by).agg(
         F.count(ret).alias("n"), F.avg(ret).alias("m"), F.stddev_pop(ret).alias("s"), F.skewness(ret).alias("skew"), F.kurtosis(ret).alias("kurtosis")
-    ).first()
-    sharpe = got["m"] / got["s"] * math.sqrt(YEAR) if got["n"] >= 2 and got["s"] else 0.0
-    skew, kurtosis = got["skew"] or 0.0, got["kurtosis"] or 0.0
-    row = (got["n"], sharpe, skew, kurtosis, deflated_sharpe(sharpe, trials, got["n"], skew, kurtosis))
-    return daily.sparkSession.createDataFrame([row], "n long, sharpe double, skew double, kurtosis double, dsr double")
+    ).collect()
+    rows = []
+    for r in got:
+        sharpe = r["m"] / r["s"] * math.sqrt(YEAR) if r["n"] >= 2 and r["s"] else 0.0
+        skew, kurtosis = r["skew"] or 0.0, r["kurtosis"] or 0.0
+        rows.append((*[r[b] for b in by], r["n"], sharpe, skew, kurtosis, deflated_sharpe(sharpe, trials, r["n"], skew, kurtosis)))
+    return daily.sparkSession.createDataFrame(rows, kinds + "n long, sharpe double, skew double, kurtosis double, dsr double")
+
+
+def gaussian_deflated_sharpe(sharpe: float, trials: int, n: int) -> float:
+    """deflated_sharpe() of returns taken to be normal."""
+    return deflated_sharpe(sharpe, trials, n, 0.0, 0.0)
 
 
 def gap_alert(inside: float, outside: float, threshold: float = 0.5) -> tuple[bool, float]:
@@ -146,9 +154,19 @@ def split_sizes(spark: SparkSession, dates: DataFrame, groups: int, test_groups:
 
 
 def jaccard_stability(sets: DataFrame) -> DataFrame:
-    """jaccard: the mean pairwise Jaccard similarity of the sets of (id, items); 0 for fewer than two."""
-    a, b = sets.select(F.col("id").alias("i"), F.array_distinct("items").alias("x")), sets.select(F.col("id").alias("j"), F.array_distinct("items").alias("y"))
-    union = F.size(F.array_union("x", "y"))
-    pairs = a.join(b, F.col("i") < F.col("j"))
-    return pairs.agg(F.coalesce(F.avg(F.coalesce(F.try_divide(F.size(F.array_intersect("x", "y")), F.nullif(union, F.lit(0))), F.lit(0.0))), F.lit(0.0)).alias("jaccard"))
+    """jaccard: the mean pairwise Jaccard similarity of the sets of (id, items); 0 for fewer than two.
+
+    Pairs come from the items they share, aggregated to one row each; those that share none, and
+    pairs of empty sets, add 0. An item that n sets have makes n (n - 1) / 2 rows.
+    """
+    sets = sets.select("id", F.array_compact(F.array_distinct("items")).alias("items"))
+    items = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    a, b = items.select("item", F.col("id").alias("i"), F.col("n").alias("n_i")), items.select("item", F.col("id").alias("j"), F.col("n").alias("n_j"))
+    common = a.join(b, "item").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("both"))
+    total = common.agg(F.coalesce(F.sum(F.col("both") / (F.col("n_i") + F.col("n_j") - F.col("both"))), F.lit(0.0)).alias("total"))
+    n = F.col("n_sets")
+    return sets.agg(F.count("*").alias("n_sets")).join(total).select(F.coalesce(F.try_divide(F.col("total"), n * (n - 1) / 2), F.lit(0.0)).alias("jaccard"))
+
 
+def jaccard_pass(sets: DataFrame, threshold: float = 0.7) -> bool:
+    return jaccard_stability(sets).first()["jaccard"] >= threshold

@@ -117,6 +117,23 @@ def factor(name: str, digits: int = 6) -> str:
     return f"with {PANEL}, {ctes} select date_utc, ticker, round(x{len(FACTORS[name])}, {digits}) as value from {last}"
 
 
+def digits_of(name: str) -> int:
+    """Digits to which a factor is compared: small values to more, rounded inputs to their own."""
+    return 12 if name == "AMIHUD" else 8 if name.startswith("TAKER") else 6
+
+
+def all_factors() -> str:
+    """All factors side by side."""
+    first, *rest = FACTORS
+    joins = " ".join(f"join ({factor(n, digits_of(n))}) as q_{n} using (date_utc, ticker)" for n in rest)
+    return f"select date_utc, ticker, {', '.join(f'q_{n}.value as {n}' for n in FACTORS)} from ({factor(first, digits_of(first))}) as q_{first} {joins}"
+
+
+def formula_batch(trees: dict[str, tuple[Node, int]]) -> str:
+    """date_utc, ticker, formula, x of several formulas, each to its number of digits."""
+    return " union all ".join(f"select date_utc, ticker, '{k}' as formula, value as x from ({formula_query(t, n)})" for k, (t, n) in trees.items())
+
+
 def formula_query(tree: Node, digits: int) -> str:
     ctes, last, column = formula(tree)
     return f"with {PANEL}, {ctes} select date_utc, ticker, round({column}, {digits}) + 0.0 as value from {last}"
@@ -137,18 +154,32 @@ def daily_ic(x: str, r: str, joint: bool = False, least: int = 10, source: str =
   where n >= {least} and ic is not null)"""
 
 
-WEIGHTS = f"""
-lim as (select *, quantile_cont(s, 0.9) over {D} as hi, quantile_cont(s, 0.1) over {D} as lo from sig),
+
+
+def weights(source: str = "sig", by: str = "") -> str:
+    """CTEs that end in weights; `by` (ending in a comma) holds several portfolios apart."""
+    d = f"(partition by {by} date_utc)"
+    return f"""
+lim as (select *, quantile_cont(s, 0.9) over {d} as hi, quantile_cont(s, 0.1) over {d} as lo from {source}),
 side as (select *, coalesce(s >= hi, false) as up, coalesce(s <= lo, false) as down from lim),
 weights as (
-  select *, case when down then -1.0 / sum(down::int) over {D} when up then 1.0 / sum(up::int) over {D} else 0 end as w from side)"""
-RETURNS = f"""{WEIGHTS},
-ord as (select *, dense_rank() over (order by date_utc) as k from weights),
-moved as (select *, case when lag(k) over {T} = k - 1 then abs(w - lag(w) over {T}) end as d from ord),
-daily as (select date_utc, coalesce(sum(w * r1), 0) as ret, coalesce(sum(d), 0) as turnover from moved group by 1),
+  select *, case when down then -1.0 / sum(down::int) over {d} when up then 1.0 / sum(up::int) over {d} else 0 end as w from side)"""
+
+
+def returns(source: str = "sig", by: str = "") -> str:
+    """CTEs that end in net (by, date_utc, ret, turnover, net)."""
+    t = f"(partition by {by} ticker order by date_utc)"
+    of = f"partition by {by.rstrip(', ')} " if by else ""
+    return f"""{weights(source, by)},
+ord as (select *, dense_rank() over ({of}order by date_utc) as k from weights),
+moved as (select *, case when lag(k) over {t} = k - 1 then abs(w - lag(w) over {t}) end as d from ord),
+daily as (select {by} date_utc, coalesce(sum(w * r1), 0) as ret, coalesce(sum(d), 0) as turnover from moved group by all),
 net as (select *, ret - turnover * 10 / 1e4 as net from daily)"""
 
 
+WEIGHTS, RETURNS = weights(), returns()
+
+
 def hac(source: str) -> str:
     """CTE hac (n, mean_ic, se) of `source` (date_utc, ic)."""
     return f"""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.factors import FACTORS
 from ..operators.ic import INFEASIBLE, Fitness, composite_fitness
 from .batch import evaluate
-from .formula import Node, crossover, mutate, random_tree
+from .formula import MAX_NODES, Node, crossover, mutate, random_tree
 
 
 class FitnessCache:
@@ -137,7 +137,10 @@ def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFram
 
 @dataclass
 class Search:
-    """`panel` has the factors and the forward return `ret`; it is best persisted."""
+    """`panel` has the factors and the forward return `ret`; it is best persisted.
+
+    A formula that is known on a date which `return_dates`, if given, lacks is infeasible.
+    """
 
     panel: DataFrame
     ret: str
@@ -146,19 +149,22 @@ class Search:
     mate: float = 0.5
     change: float = 0.2
     seed: int = 42
+    most: int = MAX_NODES
+    return_dates: DataFrame | None = None
     names: list[str] = field(default_factory=lambda: list(FACTORS))
-    batch: int = 50
+    batch: int = 100
     cache: FitnessCache = field(default_factory=FitnessCache)
 
     def score(self, trees: list[Node], others: list[Node]) -> list[Fitness]:
-        """Fitness of all trees; what has none yet is evaluated in batches, with `others` for diversity."""
+        """Fitness of all trees; what has none yet is evaluated in batches, with all `others` for diversity."""
         todo = [t for t in dict.fromkeys(trees) if self.cache.get(t) is None]
+        against = {f"o{k}": t for k, t in enumerate(dict.fromkeys(others))}
         for a in range(0, len(todo), self.batch):
             part = todo[a : a + self.batch]
             names = {f"f{k}": t for k, t in enumerate(part)}
-            against = {f"o{k}": t for k, t in enumerate(dict.fromkeys(others))}
-            wide = evaluate(self.panel, names | against)
-            found = {r["formula"]: r for r in composite_fitness(wide, self.ret, list(names), list(against)).collect()}
+            wide = evaluate(self.panel, names | against).select("date_utc", self.ret, *names, *against).persist()
+            found = {r["formula"]: r for r in composite_fitness(wide, self.ret, list(names), list(against), self.return_dates).collect()}
+            wide.unpersist()
             for name, tree in names.items():
                 r = found.get(name)
                 values = (r["rank_ic"], r["stability"], r["diversity"]) if r else INFEASIBLE
@@ -174,12 +180,12 @@ class Search:
             children = list(trees)
             for i in range(0, len(children) - 1, 2):
                 if rng.random() < self.mate:
-                    children[i], children[i + 1] = crossover(rng, children[i], children[i + 1])
+                    children[i], children[i + 1] = crossover(rng, children[i], children[i + 1], self.most)
                 for j in (i, i + 1):
                     if rng.random() < self.change:
-                        children[j] = mutate(rng, children[j], self.names)
+                        children[j] = mutate(rng, children[j], self.names, self.most)
             both = trees + children
-            scores = fitness + self.score(children, trees[:16])
+            scores = fitness + self.score(children, trees)
             kept = select(both, scores, self.population)
             trees, fitness = [both[i] for i in kept], [scores[i] for i in kept]
         return [(trees[i], fitness[i]) for i in pareto(trees, fitness)]

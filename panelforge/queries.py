@@ -106,11 +106,11 @@ def p_daily_last(spark, d):
     return rounded(cleaning.daily_last(events, symbol="user", at="ts", value="value", tie="event_id"), ["ticker", "date_utc"], "value")
 
 
-_UNIVERSE = "select p_brand as symbol, round(sum(p_retailprice), 4) as market_cap, list(distinct p_type order by p_type) as categories from part where p_size > 10 group by 1"
+_UNIVERSE = "select p_brand as symbol, round(sum(p_retailprice), 4) as market_cap, list(distinct p_type order by p_type) as categories from part group by 1"
 
 
 def _universe(spark, d):
-    return table(spark, d, "part").where("p_size > 10").groupBy(F.col("p_brand").alias("symbol")).agg(
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(
         F.round(F.sum("p_retailprice"), 4).alias("market_cap"), F.array_sort(F.collect_set("p_type")).alias("categories"))
 
 
@@ -122,12 +122,13 @@ def p_top_universe(spark, d):
 @query(f"""
 with {O.PANEL}, a as (select date_utc, ticker, close, volume, 1 as k from panel), b as (select date_utc, ticker, close * 2, case when volume > 100 then volume end, 2 from panel where category = 'CAT1'),
 u as (select * from a union all select * from b)
-select date_utc, ticker, max_by(close, k) as close, arg_max_null(volume, k) as volume from u group by 1, 2 having arg_max_null(volume, k) is not null""")
+select date_utc, ticker, arg_max(close, k) filter (close is not null) as close, arg_max(volume, k) filter (volume is not null) as volume from u
+group by 1, 2 having count(close) + count(volume) > 0""")
 def p_last_wins(spark, d):
     p = brand_panel(spark, d).select("date_utc", "ticker", "close", "volume", "category")
     a = p.drop("category").withColumn("k", F.lit(1))
     b = p.where("category = 'CAT1'").select("date_utc", "ticker", (F.col("close") * 2).alias("close"), F.when(F.col("volume") > 100, F.col("volume")).alias("volume"), F.lit(2).alias("k"))
-    return cleaning.last_wins([a, b], order="k", required=["volume"]).drop("k")
+    return cleaning.last_wins([a, b], order="k")
 
 
 @query(f"""
@@ -216,6 +217,16 @@ def s_funding_rows(spark, d):
     return store.funding_rows(raw.withColumn("symbol", F.struct("symbol", "event_id"))).select("symbol.event_id", "funding_time", "funding_rate", "mark_price", "symbol.symbol")
 
 
+@query("""
+select event_id, epoch_us(ts) // 1000 as timestamp_ms, user_id::double as open, round(value, 4) + 1 as high, round(value, 4) - 1 as low, round(value, 4) as close, (user_id % 7)::double as volume,
+  date_trunc('millisecond', ts) as date_utc, upper(event_type) as symbol from events""")
+def s_ohlcv_rows(spark, d):
+    v = F.col("v").cast("double")
+    raw = _records(spark, d).select(F.col("ms").alias("timestamp_ms"), F.col("user_id").cast("string").alias("open"), (v + 1).alias("high"), (v - 1).alias("low"), F.col("v").alias("close"),
+                                    (F.col("user_id") % 7).cast("string").alias("volume"), F.struct("symbol", "event_id").alias("symbol"))
+    return rounded(store.ohlcv_rows(raw), ["symbol.event_id", "timestamp_ms", "open", "volume", "date_utc", "symbol.symbol"], "high", "low", "close", digits=4)
+
+
 @query("""
 select event_id, round(value, 4) as volume, case when round(value, 4) > 0 then round(user_id / round(value, 4), 6) end as taker_buy_ratio,
   case when round(value, 4) > 0 then round((2 * user_id - round(value, 4)) / round(value, 4), 6) end as taker_net_volume from events""")
@@ -250,7 +261,7 @@ def s_universe_rows(spark, d):
 # --- factors and formulas -----------------------------------------------------------------------
 
 for _name in factors.FACTORS:
-    _digits = 12 if _name == "AMIHUD" else 8 if _name.startswith("TAKER") else 6
+    _digits = O.digits_of(_name)
 
     def _run(spark, d, name=_name, digits=_digits):
         return rounded(factors.factor(brand_panel(spark, d), name).withColumnRenamed(name, "value"), ["date_utc", "ticker"], "value", digits=digits)
@@ -258,9 +269,10 @@ for _name in factors.FACTORS:
     named(f"f_{_name.lower()}", _run, O.factor(_name, _digits))
 
 
-@query()
+@query(O.all_factors())
 def f_all(spark, d):
-    return rounded(factors.with_factors(brand_panel(spark, d)), ["date_utc", "ticker"], *factors.FACTORS)
+    all_ = factors.with_factors(brand_panel(spark, d))
+    return all_.select("date_utc", "ticker", *[(F.round(x, O.digits_of(x)) + 0.0).alias(x) for x in factors.FACTORS])
 
 
 _BASE = ["close", "volume", "market_cap", "funding_rate", "oi_usd", "ls_ratio"]
@@ -270,9 +282,16 @@ FORMULAS = {
     **{f"g_{op}_{w}": f"{op}({c}, W_{w})" for op, c in (("ts_mean", "close"), ("ts_std", "close"), ("delta", "volume"), ("ts_rank", "volume")) for w in (7, 30, 90)},
     "g_nested": "zscore(delta(ts_std(rank(volume), W_30), W_14))", "g_deep": "winsor(div(sub(ts_mean(close, W_7), ts_mean(close, W_30)), ts_std(close, W_30)))",
 }
+
+
+def _digits_of(text: str) -> int:
+    """Exact for arithmetic on rounded columns, beyond the sums' noise for the rest."""
+    return 9 if parse(text, _BASE).op in BINARY else 7
+
+
 for _name, _text in FORMULAS.items():
 
-    _digits = 9 if parse(_text, _BASE).op in BINARY else 7  # exact in the one case, beyond the sums' noise in the other
+    _digits = _digits_of(_text)
 
     def _run(spark, d, text=_text, digits=_digits):
         return rounded(evaluate(brand_panel(spark, d), {"value": parse(text, _BASE)}), ["date_utc", "ticker"], "value", digits=digits)
@@ -288,20 +307,43 @@ def g_neutralize(spark, d):
 
 
 @query(f"""
-with {O.PANEL}, a as (select *, round({O.winsor('close')}, 10) as x from panel), b as (select *, round({O.zscore('x')}, 10) as z from a),
+with {O.PANEL}, a as (select *, round({O.winsor('close')}, 8) as x from panel), b as (select *, round({O.zscore('x')}, 8) as z from a),
 c as (select *, round(z - avg(z) over (partition by date_utc, category), 8) + 0.0 as n from b)
 select date_utc, ticker, round({O.rank('n')}, 6) as value from c""")
 def g_canonical(spark, d):
-    p = brand_panel(spark, d).withColumn("x", F.round(C.cs_winsor(F.col("close")), 10)).withColumn("z", F.round(C.cs_zscore(F.col("x")), 10))
-    p = p.withColumn("n", F.round(C.cs_neutralize(F.col("z")), 8) + 0.0).withColumn("value", C.cs_rank(F.col("n")))
-    return rounded(p, ["date_utc", "ticker"], "value")
+    return rounded(factors.canonical(brand_panel(spark, d), "close", "value", digits=8), ["date_utc", "ticker"], "value")
 
 
-@query()
+def _dummies(panel: DataFrame) -> DataFrame:
+    """Three dummies that overlap."""
+    n = F.substring("ticker", 7, 10).cast("int")
+    return panel.withColumns({"odd": (n % 2).cast("double"), "third": (n % 3 == 0).cast("double"), "cat1": (F.col("category") == "CAT1").cast("double")})
+
+
+_DUMMIES = "select *, (substr(ticker, 7)::int % 2)::double as odd, (substr(ticker, 7)::int % 3 = 0)::int::double as third, (category = 'CAT1')::int::double as cat1"
+
+
+@query(f"""
+with {O.PANEL}, p as ({_DUMMIES} from panel where ls_ratio is not null),
+a as (  -- without what each half of the first dummy has in common
+  select *, ls_ratio - avg(ls_ratio) over w as y, third - avg(third) over w as u, cat1 - avg(cat1) over w as v, count(*) over {O.D} as n from p window w as (partition by date_utc, odd)),
+b as (  -- without what goes with the second
+  select *, y - case when sum(u * u) over {O.D} > 1e-9 then sum(u * y) over {O.D} / sum(u * u) over {O.D} else 0 end * u as y2,
+    v - case when sum(u * u) over {O.D} > 1e-9 then sum(u * v) over {O.D} / sum(u * u) over {O.D} else 0 end * u as v2 from a),
+c as (select *, y2 - case when sum(v2 * v2) over {O.D} > 1e-9 then sum(v2 * y2) over {O.D} / sum(v2 * v2) over {O.D} else 0 end * v2 as y3 from b)
+select date_utc, ticker, round(y3, 7) + 0.0 as value from panel left join (select date_utc, ticker, y3 from c where n >= 2) using (date_utc, ticker)""")
+def g_neutralize_dummies(spark, d):
+    """Residuals of least squares on a constant and three overlapping dummies; the SQL takes one out after the other."""
+    return rounded(factors.neutralised(_dummies(brand_panel(spark, d)), "ls_ratio", ["odd", "third", "cat1"], "value"), ["date_utc", "ticker"], "value", digits=7)
+
+
+@query(O.formula_batch({k: (parse(v, _BASE), _digits_of(v)) for k, v in FORMULAS.items()}))
 def g_batch(spark, d):
     """All example formulas as one batch."""
     trees = {k: parse(v, _BASE) for k, v in FORMULAS.items()}
-    return rounded(long_form(evaluate(brand_panel(spark, d), trees), list(trees), ["date_utc", "ticker"]), ["date_utc", "ticker", "formula"], "x")
+    rows = long_form(evaluate(brand_panel(spark, d), trees), list(trees), ["date_utc", "ticker"])
+    exact = F.col("formula").isin([k for k, v in FORMULAS.items() if _digits_of(v) == 9])
+    return rows.select("date_utc", "ticker", "formula", (F.when(exact, F.round("x", 9)).otherwise(F.round("x", 7)) + 0.0).alias("x"))
 
 
 # --- returns and portfolios ---------------------------------------------------------------------
@@ -361,10 +403,18 @@ _CURVES = """c as (
 c2 as (select *, max(cum_prod) over (order by date_utc rows unbounded preceding) as peak from c)"""
 
 
-@query(f"with {O.SIGNALS}, {O.RETURNS}, {_CURVES.replace('net as ret, sum(net)', 'net / 1000 as ret, sum(net / 1000)').replace('product(1 + net)', 'product(1 + net / 1000)')} select date_utc, round(ret, 6) + 0.0 as ret, round(cum_sum, 6) + 0.0 as cum_sum, round(cum_prod, 6) as cum_prod, round(peak, 6) as peak, round((cum_prod - peak) / peak, 6) + 0.0 as drawdown from c2")
+def eight_digits(x: str):
+    """A number of any size to eight digits after the first, as text."""
+    return F.format_string("%.8e", F.col(x))
+
+
+@query(f"""
+with {O.SIGNALS}, {O.RETURNS}, {_CURVES}
+select date_utc, round(ret, 6) + 0.0 as ret, round(cum_sum, 6) + 0.0 as cum_sum, printf('%.8e', cum_prod) as cum_prod, printf('%.8e', peak) as peak, round((cum_prod - peak) / peak, 6) + 0.0 as drawdown from c2""")
 def r_curves(spark, d):
-    """Curves of a thousandth of the returns: compounded in full, these tables' returns leave what doubles hold exactly."""
-    return rounded(portfolio.curves(_net(spark, d).withColumn("net", F.col("net") / 1000), "net"), ["date_utc"], "ret", "cum_sum", "cum_prod", "peak", "drawdown")
+    """The curves of the full returns, which compound to numbers of any size."""
+    out = portfolio.curves(_net(spark, d), "net")
+    return rounded(out, ["date_utc", eight_digits("cum_prod").alias("cum_prod"), eight_digits("peak").alias("peak")], "ret", "cum_sum", "drawdown")
 
 
 @query(f"with {O.SIGNALS}, {O.RETURNS}, {_CURVES} select round(min((cum_prod - peak) / peak), 6) as max_drawdown from c2")
@@ -377,6 +427,13 @@ def r_exposure(spark, d):
     return rounded(portfolio.exposure(portfolio.with_weights(signals(spark, d), "s"), "weight"), ["category"], "exposure")
 
 
+@query(f"""
+with {O.SIGNALS}, {O.WEIGHTS}, x as ({_DUMMIES} from weights)
+select 'odd' as dummy, round(sum(w * odd), 6) + 0.0 as exposure from x union all select 'third', round(sum(w * third), 6) + 0.0 from x union all select 'cat1', round(sum(w * cat1), 6) + 0.0 from x""")
+def r_exposure_to(spark, d):
+    return rounded(portfolio.exposure_to(_dummies(portfolio.with_weights(signals(spark, d), "s")), "weight", ["odd", "third", "cat1"]), ["dummy"], "exposure")
+
+
 # --- information coefficients -------------------------------------------------------------------
 
 @query(f"with {O.SIGNALS}, {O.daily_ic('s', 'r7')} select date_utc, round(ic, 6) + 0.0 as ic from ic")
@@ -412,6 +469,12 @@ def i_decay(spark, d):
     return rounded(ic.ic_decay(one(signals(spark, d), "s"), "r7", _HORIZONS), ["horizon"], "ic")
 
 
+@query()
+def i_decay_ci(spark, d):
+    """The decay with bootstrap intervals; tests hold them against numpy."""
+    return rounded(ic.ic_decay_ci(one(signals(spark, d), "s"), "r7", _HORIZONS), ["horizon"], "mean", "lower", "upper")
+
+
 @query(f"with {O.SIGNALS}, {O.daily_ic('s', 'ls', joint=True)} select 's' as a, 'ls' as b, round(abs(avg(ic)), 6) as corr from ic")
 def i_signal_correlation(spark, d):
     return rounded(ic.signal_correlations(signals(spark, d), [("s", "ls")]), ["a", "b"], "corr")
@@ -457,21 +520,21 @@ def i_guard_envelope(spark, d):
 
 @query()
 def v_bootstrap_ci(spark, d):
-    return validation.bootstrap_ci(ic.daily_ic(one(signals(spark, d), "s"), "r7", joint=True), replicates=200)
+    return validation.bootstrap_ci(ic.daily_ic(one(signals(spark, d), "s"), "r7", joint=True))
 
 
 _PERM = f"""{O.SIGNALS}, f as (select date_utc, ticker, s as x, r1 as r, row_number() over (partition by date_utc order by ticker) as k from sig where s is not null and r1 is not null),
-m as (select date_utc, r, perm, row_number() over (partition by perm, date_utc order by md5('42|' || perm || '|' || date_utc::varchar || '|' || ticker)) as k from f, unnest(range(1, 21)) as u(perm)),
+m as (select date_utc, r, perm, row_number() over (partition by perm, date_utc order by md5('42|' || perm || '|' || date_utc::varchar || '|' || ticker)) as k from f, unnest(range(1, 101)) as u(perm)),
 p as (select m.perm, m.date_utc, f.x, m.r from m join f on m.date_utc = f.date_utc and m.k = f.k),
 pr as (select *, {O.rank('x', 'perm, date_utc')} as a, {O.rank('r', 'perm, date_utc')} as b from p),
 pi as (select perm, date_utc, count(*) as n, {O.corr('a', 'b')} as ic from pr group by 1, 2),
 pm as (select perm, avg(ic) as ic from pi where n >= 10 and ic is not null group by 1), {O.daily_ic('s', 'r1', joint=True)}, o as (select coalesce(avg(ic), 0) as observed from ic)"""
 
 
-@query(f"with {_PERM} select round(observed, 6) + 0.0 as observed, round(sum((abs(ic) >= abs(observed))::int) / 20.0, 6) as p_value from pm, o group by observed")
+@query(f"with {_PERM} select round(observed, 6) + 0.0 as observed, round(sum((abs(ic) >= abs(observed))::int) / 100.0, 6) as p_value from pm, o group by observed")
 def v_permutation(spark, d):
     rows = one(signals(spark, d), "s")
-    return rounded(validation.permutation_test(rows, "r1", permutations=20), [], "observed", "p_value")
+    return rounded(validation.permutation_test(rows, "r1"), [], "observed", "p_value")
 
 
 @query()
@@ -483,24 +546,34 @@ _WINDOWS = validation.walk_forward_windows(date(1995, 1, 2), date(2001, 11, 5),
 _SPANS = ", ".join(f"({k}, 'is', date '{a}', date '{b}'), ({k}, 'oos', date '{c}', date '{e}')" for k, a, b, c, e in _WINDOWS)
 
 
+#: Each span of a window as a backtest of its own, whose first date has no turnover.
+_SLICED = f"""spans as (select * from (values {_SPANS}) as v(window_id, segment, a, b)),
+sliced as (select sig.*, window_id, segment from sig join spans on date_utc >= a and date_utc < b), {O.returns("sliced", "window_id, segment, ")}"""
+
+
+def _sliced(spark, d):
+    by = ("window_id", "segment")
+    rows = validation.walk_forward(spark, signals(spark, d).select("date_utc", "ticker", "s", "r1"), _WINDOWS)
+    return portfolio.net_returns(portfolio.with_weights(rows, "s", by=by), "weight", "r1", 10.0, by=by)
+
+
 @query(f"""
-with {O.SIGNALS}, {O.RETURNS}, spans as (select * from (values {_SPANS}) as v(window_id, segment, a, b)),
-j as (select window_id, segment, net from net join spans on date_utc >= a and date_utc < b),
-g as (select window_id, segment, count(*) as n, case when count(*) > 5 and stddev_pop(net) > 0 then avg(net) / stddev_pop(net) * sqrt(365) else 0 end as sharpe from j group by 1, 2)
+with {O.SIGNALS}, {_SLICED},
+g as (select window_id, segment, count(*) as n, case when count(*) > 5 and stddev_pop(net) > 0 then avg(net) / stddev_pop(net) * sqrt(365) else 0 end as sharpe from net group by 1, 2)
 select window_id, segment, n, round(sharpe, 6) as sharpe from g""")
 def v_walk_forward(spark, d):
-    daily = validation.walk_forward(spark, _net(spark, d), _WINDOWS)
+    daily = _sliced(spark, d)
     s = F.when(F.count("*") > 5, portfolio.sharpe(F.col("net"))).otherwise(0.0)
     return rounded(daily.groupBy("window_id", "segment").agg(F.count("*").alias("n"), s.alias("sharpe")), ["window_id", "segment", "n"], "sharpe")
 
 
 @query(f"""
-with {O.SIGNALS}, {O.RETURNS}, spans as (select * from (values {_SPANS}) as v(window_id, segment, a, b)),
-g as (select window_id, segment, case when count(*) > 5 and stddev_pop(net) > 0 then avg(net) / stddev_pop(net) * sqrt(365) else 0 end as s from net join spans on date_utc >= a and date_utc < b group by 1, 2),
+with {O.SIGNALS}, {_SLICED},
+g as (select window_id, segment, case when count(*) > 5 and stddev_pop(net) > 0 then avg(net) / stddev_pop(net) * sqrt(365) else 0 end as s from net group by 1, 2),
 p as (select window_id, max(s) filter (segment = 'is') as i, max(s) filter (segment = 'oos') as o from g group by 1)
 select window_id, abs(i - o) / abs(i) > 0.5 as alert, round(abs(i - o) / abs(i), 6) as gap from p""")
 def v_gap_alert(spark, d):
-    daily = validation.walk_forward(spark, _net(spark, d), _WINDOWS)
+    daily = _sliced(spark, d)
     s = lambda seg: F.when(F.count(F.when(F.col("segment") == seg, 1)) > 5, portfolio.sharpe(F.when(F.col("segment") == seg, F.col("net")))).otherwise(0.0)
     pair = daily.groupBy("window_id").agg(s("is").alias("i"), s("oos").alias("o"))
     gap = F.try_divide(F.abs(F.col("i") - F.col("o")), F.abs(F.col("i")))
@@ -520,10 +593,12 @@ def v_cpcv(spark, d):
 
 
 @query("""
-with s as (select l_suppkey as id, list_distinct(list(l_partkey % 50)) as items from lineitem where l_suppkey <= 20 group by 1)
-select round(avg(len(list_intersect(a.items, b.items)) / len(list_distinct(list_concat(a.items, b.items)))), 6) as jaccard from s a join s b on a.id < b.id""")
+with i as (select distinct l_suppkey as id, l_partkey as item from lineitem), s as (select id, count(*) as n from i group by 1),
+p as (select a.id as i, b.id as j, count(*) as n_both from i a join i b on a.item = b.item and a.id < b.id group by 1, 2)
+select round(sum(n_both / (x.n + y.n - n_both)) / (select count(*) * (count(*) - 1) / 2 from s), 6) as jaccard from p join s x on x.id = p.i join s y on y.id = p.j""")
 def v_jaccard(spark, d):
-    sets = table(spark, d, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 50).alias("items"))
+    """Of the parts that suppliers deliver."""
+    sets = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("items"))
     return rounded(validation.jaccard_stability(sets), [], "jaccard")
 
 
@@ -571,14 +646,11 @@ def report_ensemble_ic(spark, d):
 @query(f"""
 with {O.SIGNALS}, k as (select date_utc, s, r7 as r, count(*) over {O.D} as n, list_sort(list_distinct([{_EDGES}])) as e from sig where s is not null),
 dd as (select date_utc, greatest(len(list_filter(e, lambda v: v < s)) - 1, 0) + 1 as decile, avg(r) as ret from k where n >= 10 and len(e) > 1 group by 1, 2)
-select date_utc, decile, round(sum(ln(1 + coalesce(ret, 0))) over (partition by decile order by date_utc rows unbounded preceding), 6) + 0.0 as log_cum from dd""")
+select date_utc, decile, printf('%.8e', product(1 + coalesce(ret, 0)) over (partition by decile order by date_utc rows unbounded preceding)) as cum_prod from dd""")
 def report_decile_curves(spark, d):
-    """The logarithm of each bucket's compounded return."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("decile").orderBy("date_utc").rowsBetween(Window.unboundedPreceding, 0)
-    rows = portfolio.decile_returns(signals(spark, d), "s", "r7").withColumn("decile", F.col("decile").cast("long"))
-    return rounded(rows.withColumn("log_cum", F.sum(F.ln(1 + F.coalesce("ret", F.lit(0.0)))).over(w)), ["date_utc", "decile"], "log_cum")
+    """Each bucket's compounded return."""
+    rows = portfolio.decile_returns(signals(spark, d), "s", "r7").select("date_utc", F.col("decile").cast("long").alias("decile"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return portfolio.curves(rows, "ret", by=("decile",)).select("date_utc", "decile", eight_digits("cum_prod").alias("cum_prod"))
 
 
 @query()

@@ -6,41 +6,61 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class MarketStore:
-    """A table of observations partitioned by source, symbol and day, below `root` (any path Spark reads)."""
+    """A table of observations partitioned by source, symbol and day, below `root` (any path Spark reads).
+
+    A store starts empty: what isn't there yet reads as no rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _stored(self, source: str) -> DataFrame | None:
+        path = f"{self.root}/observations"
+        return self.spark.read.option("basePath", path).parquet(f"{path}/source={source}") if path_exists(self.spark, f"{path}/source={source}") else None
+
     def store(self, rows: DataFrame, source: str, *, at: str, symbol: str = "symbol") -> None:
-        """Adds rows; days that are there already are replaced, others stay."""
-        out = rows.withColumns({"source": F.lit(source), "symbol": F.col(symbol), "day": F.to_date(at)})
+        """Adds rows, one for each symbol and instant; days that are there already are replaced, others stay."""
+        out = rows.withColumns({"source": F.lit(source), "symbol": F.col(symbol), "day": F.to_date(at)}).dropDuplicates(["symbol", at])
         (
             out.repartition("source", "symbol", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("source", "symbol", "day").parquet(f"{self.root}/observations")
         )
 
     def load_range(self, source: str, start: str, end: str, symbol: str | None = None) -> DataFrame:
-        """Rows of the days from `start` to `end`; only those partitions are read."""
-        rows = self.spark.read.parquet(f"{self.root}/observations").where(F.col("source") == source)
+        """Rows of the days from `start` to `end`; only those partitions are read. An unknown source has no rows, and no columns but the keys."""
+        rows = self._stored(source)
+        if rows is None:
+            return self.spark.createDataFrame([], "source string, symbol string, day date")
         rows = rows.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         return rows if symbol is None else rows.where(F.col("symbol") == symbol)
 
-    def missing(self, source: str, start: str, end: str, *, ttl_hours: int = 24) -> DataFrame:
-        """symbol, day that are neither stored nor marked as empty within the last `ttl_hours`."""
-        present = self.spark.read.parquet(f"{self.root}/observations").where(F.col("source") == source).select("symbol", "day").distinct()
+    def missing(self, source: str, start: str, end: str, symbols: list[str] | DataFrame | None = None, *, ttl_hours: int = 24) -> DataFrame:
+        """symbol, day that are neither stored nor marked as empty within the last `ttl_hours`.
+
+        `symbols` are the wanted ones, a list or a table of symbol; without them, those that are stored.
+        """
+        stored = self._stored(source)
+        present = self.spark.createDataFrame([], "symbol string, day date") if stored is None else stored.select(F.col("symbol").cast("string").alias("symbol"), "day").distinct()
+        if symbols is None:
+            symbols = present.select("symbol")
+        elif not isinstance(symbols, DataFrame):
+            symbols = self.spark.createDataFrame([(x,) for x in symbols], "symbol string")
         days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")
-        gaps = present.select("symbol").distinct().select("symbol", days).join(present, ["symbol", "day"], "left_anti")
-        try:
-            marks = self.spark.read.parquet(f"{self.root}/empty_days")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        gaps = symbols.select("symbol").distinct().select("symbol", days).join(present, ["symbol", "day"], "left_anti")
+        if not path_exists(self.spark, f"{self.root}/empty_days"):
             return gaps
+        marks = self.spark.read.parquet(f"{self.root}/empty_days")
         fresh = marks.where((F.col("source") == source) & (F.col("marked_at") > F.current_timestamp() - F.make_interval(hours=F.lit(ttl_hours))))
         return gaps.join(fresh.select("symbol", "day"), ["symbol", "day"], "left_anti")
 
@@ -48,34 +68,52 @@ class MarketStore:
         """Records (symbol, day) for which a source confirmed that there is nothing."""
         days.select("symbol", "day", F.lit(source).alias("source"), F.current_timestamp().alias("marked_at")).write.mode("append").parquet(f"{self.root}/empty_days")
 
-    def fill(self, source: str, start: str, end: str, read, *, at: str, symbol: str = "symbol") -> int:
+    def fill(self, source: str, start: str, end: str, read, *, at: str, symbol: str = "symbol", symbols: list[str] | DataFrame | None = None) -> int:
         """Reads what is missing by `read(days)` (days: symbol, day), stores it, and marks days that had nothing.
 
         Returns the number of days that were missing. If `read` fails, nothing is marked, so that
         only confirmed gaps are.
         """
-        gaps = self.missing(source, start, end).persist()
+        gaps = self.missing(source, start, end, symbols).persist()
         try:
             n = gaps.count()
             if n:
                 rows = read(gaps).persist()
                 found = rows.select(F.col(symbol).alias("symbol"), F.to_date(at).alias("day")).distinct()
                 self.mark_empty(gaps.join(found, ["symbol", "day"], "left_anti"), source)
-                self.store(rows, source, at=at, symbol=symbol)
+                if not rows.isEmpty():
+                    self.store(rows, source, at=at, symbol=symbol)
                 rows.unpersist()
             return n
         finally:
             gaps.unpersist()
 
     def availability(self, source: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/observations").where(F.col("source") == source)
+        rows = self._stored(source)
+        if rows is None:
+            return self.spark.createDataFrame([], "symbol string, first_day date, last_day date, n_rows long")
         return rows.groupBy("symbol").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_rows"))
 
+    def symbol_available(self, source: str, symbol: str) -> bool:
+        return path_exists(self.spark, f"{self.root}/observations/source={source}/symbol={symbol}")
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def clear_source(self, source: str) -> None:
+        """Forgets all rows of a source; its marks of empty days run out by themselves."""
+        self._delete(f"{self.root}/observations/source={source}")
+
     def write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/tables/{name}")
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/tables/{name}")
+    def exists(self, name: str) -> bool:
+        return path_exists(self.spark, f"{self.root}/tables/{name}")
+
+    def read(self, name: str) -> DataFrame | None:
+        """The table of that name; None if there is none."""
+        return self.spark.read.parquet(f"{self.root}/tables/{name}") if self.exists(name) else None
 
 
 def ohlcv_rows(raw: DataFrame) -> DataFrame:
@@ -128,30 +166,51 @@ def synthetic_panel(spark: SparkSession, *, tickers: int = 50, days: int = 365,
         return F.randn(seed + k)
 
     base = spark.range(tickers * days, numPartitions=4).select(
-        F.date_add(F.lit(start).cast("date"), (F.col("id") / tickers).cast("int")).alias("date_utc"),
-        F.concat(F.lit("TICKER_"), F.lpad((F.col("id") % tickers).cast("string"), 3, "0")).alias("ticker"),
-    )
-    buy, sell = 1 + F.rand(seed + 30), 1 + F.rand(seed + 31)
-    return base.select(
+        "id", F.date_add(F.lit(start).cast("date"), (F.col("id") / tickers).cast("int")).alias("date_utc"),
+        F.concat(F.lit("TICKER_"), F.lpad((F.col("id") % tickers).cast("string"), 3, "0")).alias("ticker"), (noise(20) * 0.02).alias("_step"),
+    )
+    # the walk goes over all tickers of a date, then of the next: steps within a date, and the sums of the dates before
+    within = Window.partitionBy("date_utc").orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("date_utc").rowsBetween(Window.unboundedPreceding, -1)
+    sums = base.groupBy("date_utc").agg(F.sum("_step").alias("_sum")).select("date_utc", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    walked = base.withColumn("_walk", F.sum("_step").over(within)).join(sums, "date_utc")
+    buy, sell = 1e6 + 9.9e7 * F.rand(seed + 30), 1e6 + 9.9e7 * F.rand(seed + 31)
+    return walked.select(
         "date_utc", "ticker", *[noise(k).alias(f"factor_{k:02d}") for k in range(16)],
-        (100 * F.exp(noise(20) * 0.02)).alias("close"), (1e6 + 9.9e7 * F.rand(seed + 21)).alias("volume"), (1e8 + 9.9e9 * F.rand(seed + 22)).alias("market_cap"),
+        (100 * F.exp(F.col("_walk") + F.col("_before"))).alias("close"), (1e6 + 9.9e7 * F.rand(seed + 21)).alias("volume"), (1e8 + 9.9e9 * F.rand(seed + 22)).alias("market_cap"),
         (noise(23) * 0.001).alias("funding_rate"), (buy / (buy + sell)).alias("taker_buy_ratio"), ((buy - sell) / (buy + sell)).alias("taker_net_volume"),
         (1e7 + 9.9e8 * F.rand(seed + 24)).alias("oi_usd"), (0.3 + 0.4 * F.rand(seed + 25)).alias("ls_ratio"),
         F.get(F.array(*[F.lit(c) for c in ("DeFi", "L1", "L2", "Meme", "Gaming")]), (F.rand(seed + 26) * 5).cast("int")).alias("category"),
     )
 
 
-def metadata(config: dict, *, seed: int, generations: int, population: int, revision: str = "") -> dict:
+def metadata(config: dict, *, seed: int, generations: int, population: int, revision: str = "unknown", cost_bps: float = 0.0) -> dict:
     """What belongs beside a result: seed, sizes, units, time, and a digest of the sorted configuration."""
-    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    returns = "daily, net of transaction costs" if cost_bps > 0 else "daily, gross"
     return {
-        "seed": seed, "n_gen": generations, "pop_size": population, "annualization": 365, "created_utc": datetime.now(UTC).isoformat(),
-        "config_sha256": digest, "git_sha": revision, "units": {"returns": "fraction", "turnover": "sum of absolute weight changes"},
+        "seed": seed, "n_gen": generations, "pop_size": population, "annualization_factor": 365, "timestamp": datetime.now(UTC).isoformat(),
+        "config_hash": digest, "git_sha": revision, "units": {"sharpe": "annualized (sqrt(365))", "ic": "daily rank IC (Spearman)", "returns": returns},
     }
 
 
 def write_report(rows: DataFrame, path: str, meta: dict | None = None) -> None:
-    """A CSV with a header, and its metadata as JSON beside it; nothing but the empty CSV for no rows."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV with a header, and its metadata as JSON in the folder it is in; nothing but the empty CSV for no rows."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
     if meta is not None and not rows.isEmpty():
-        rows.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
+        spark = rows.sparkSession
+        spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rsplit('/', 1)[0]}/meta.json")
+
+
+def write_front(spark: SparkSession, front: list[tuple[str, float, float, float]], folder: str, meta: dict | None = None) -> None:
+    """pareto_front.csv: formula and its three objectives, a row for each formula of the front."""
+    rows = spark.createDataFrame(front, "formula string, f1_rank_ic double, f2_stability double, f3_diversity double")
+    write_report(rows.coalesce(1), f"{folder}/pareto_front.csv", meta)
+
+
+def write_diagnostics(report: DataFrame, folder: str, meta: dict | None = None) -> None:
+    """diagnostics.csv and full_report.csv: a row of measures for each formula, to four digits."""
+    kinds = dict(report.dtypes)
+    rows = report.select(*[F.round(c, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in report.columns]).coalesce(1)
+    write_report(rows, f"{folder}/diagnostics.csv", meta)
+    write_report(rows, f"{folder}/full_report.csv")

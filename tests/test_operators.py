@@ -1,7 +1,11 @@
 """Known answers of the panel operators."""
 
+import json
 import math
+import os
 import random
+import subprocess
+import sys
 from datetime import date, timedelta
 
 import pytest
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.config import Config
 from panelforge.functions import columns as C
-from panelforge.operators import cleaning, ic, portfolio, validation
+from panelforge.operators import cleaning, factors, ic, portfolio, validation
 from panelforge.operators.panel import BloatLimitExceeded, InvalidFormulaError, LookaheadBiasError
 from panelforge.plans import formula as P
 from panelforge.plans import runner, search
@@ -123,6 +127,7 @@ def test_deflated_sharpe():
 def test_gap_alert():
     assert validation.gap_alert(2.0, 0.5)[0] and not validation.gap_alert(2.0, 1.8)[0]
     assert validation.gap_alert(0, 1.0) == (True, math.inf)
+    assert validation.gaussian_deflated_sharpe(1.5, 10, 300) == validation.deflated_sharpe(1.5, 10, 300)
 
 
 @pytest.mark.parametrize("groups, k, n", [(10, 2, 45), (5, 2, 10), (6, 3, 20), (8, 2, 28)])
@@ -140,8 +145,11 @@ def test_walk_forward_windows():
 
 
 def test_jaccard(spark):
-    of = lambda *sets: validation.jaccard_stability(spark.createDataFrame(list(enumerate(map(list, sets))), "id int, items array<string>")).first()[0]
-    assert of("ab", "ab") == 1 and of("ab", "cd") == 0 and of("ab") == 0
+    sets = lambda *xs: spark.createDataFrame(list(enumerate(map(list, xs))), "id int, items array<string>")
+    of = lambda *xs: validation.jaccard_stability(sets(*xs)).first()[0]
+    assert of("ab", "ab") == 1 and of("ab", "cd") == 0 and of("ab") == 0 and of("", "") == 0
+    assert of("abc", "abd", "", "aab") == pytest.approx((2 / 4 + 2 / 3 + 2 / 3) / 6)
+    assert validation.jaccard_pass(sets("abcd", "abcd", "abcd")) and not validation.jaccard_pass(sets("ab", "bc"))
 
 
 def test_lookahead_guards(spark):
@@ -180,9 +188,127 @@ def test_filling_stores_what_comes_and_marks_what_does_not(spark, tmp_path):
     assert s.load_range("oi", "2024-01-01", "2024-01-03").count() == 2
 
 
+def test_an_empty_store_is_filled(spark, tmp_path):
+    s = store.MarketStore(spark, str(tmp_path / "new"))
+    assert s.load_range("oi", "2024-01-01", "2024-01-03").count() == 0 and s.availability("oi").count() == 0
+    assert s.missing("oi", "2024-01-01", "2024-01-03").count() == 0  # nothing is wanted yet
+    calls = []
+
+    def read(days):
+        calls.append(sorted((r["symbol"], str(r["day"])) for r in days.collect()))
+        return days.where("symbol <> 'NEW' or day = date '2024-01-02'").select("symbol", F.col("day").cast("timestamp").alias("at"), F.lit(2.0).alias("v"))
+
+    assert s.fill("oi", "2024-01-01", "2024-01-02", read, at="at", symbols=["BTC", "ETH"]) == 4
+    assert s.fill("oi", "2024-01-01", "2024-01-03", read, at="at", symbols=["BTC", "NEW"]) == 4  # a new symbol, and a new day
+    assert calls[1] == [("BTC", "2024-01-03"), ("NEW", "2024-01-01"), ("NEW", "2024-01-02"), ("NEW", "2024-01-03")]
+    assert s.fill("oi", "2024-01-01", "2024-01-03", read, at="at", symbols=["BTC", "NEW"]) == 0
+    assert s.fill("funding", "2024-01-01", "2024-01-01", read, at="at", symbols=["BTC"]) == 1  # a new source
+    assert s.symbol_available("oi", "NEW") and not s.symbol_available("funding", "NEW")
+    s.clear_source("oi")
+    assert s.availability("oi").count() == 0 and s.availability("funding").count() == 1
+    assert not s.exists("u") and s.read("u") is None
+    s.write("u", spark.range(3))
+    assert s.exists("u") and s.read("u").count() == 3
+
+
+def test_a_failed_read_marks_nothing(spark, tmp_path):
+    s = store.MarketStore(spark, str(tmp_path / "x"))
+    with pytest.raises(RuntimeError):
+        s.fill("oi", "2024-01-01", "2024-01-02", lambda days: (_ for _ in ()).throw(RuntimeError()), at="at", symbols=["BTC"])
+    assert s.missing("oi", "2024-01-01", "2024-01-02", ["BTC"]).count() == 2
+
+
+def test_stored_instants_are_unique(spark, tmp_path):
+    s = store.MarketStore(spark, str(tmp_path / "d"))
+    s.store(spark.createDataFrame([("BTC", DAY, 1.0)] * 3, "symbol string, at date, v double"), "oi", at="at")
+    assert s.load_range("oi", "2024-01-01", "2024-01-01").count() == 1
+
+
 def test_synthetic_panel(spark):
     df = store.synthetic_panel(spark, tickers=5, days=10)
     assert df.count() == 50 and df.select("ticker").distinct().count() == 5
+    walk = [math.log(r["close"] / 100) for r in df.orderBy("date_utc", "ticker").collect()]
+    steps = [b - a for a, b in zip([0.0, *walk], walk, strict=False)]
+    assert max(map(abs, steps)) < 0.1 and max(map(abs, walk)) > 2 * max(map(abs, steps)) / 3  # small steps that add up
+    again = store.synthetic_panel(spark, tickers=5, days=10)
+    assert sorted(r["close"] for r in again.collect()) == sorted(r["close"] for r in df.collect())
+
+
+def test_last_known_values_win_by_column(spark):
+    schema = "date_utc date, ticker string, close double, volume double, k int"
+    a = spark.createDataFrame([(DAY, "A", 1.0, 5.0, 1), (DAY, "B", None, None, 1), (DAY, "C", 3.0, None, 1)], schema)
+    b = spark.createDataFrame([(DAY, "A", 2.0, None, 2)], schema)
+    got = {r["ticker"]: (r["close"], r["volume"]) for r in cleaning.last_wins([a, b], order="k").collect()}
+    assert got == {"A": (2.0, 5.0), "C": (3.0, None)}
+
+
+def test_residuals_of_overlapping_dummies_are_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for day in range(3):
+        for t in range(12 if day else 1):
+            rows.append((DAY + timedelta(days=day), f"T{t}", None if t == 3 else float(rng.normal()), *(float(x) for x in rng.integers(0, 2, 3)), 1.0))
+    df = spark.createDataFrame(rows, "date_utc date, ticker string, x double, a double, b double, c double, always double")
+    got = {(r["date_utc"], r["ticker"]): r["r"] for r in factors.neutralised(df, "x", ["a", "b", "c", "always"], "r").collect()}
+    for day in range(3):
+        own = [r for r in rows if r[0] == DAY + timedelta(days=day) and r[2] is not None]
+        if len(own) < 2:
+            assert all(got[r[0], r[1]] is None for r in own)
+            continue
+        x = np.array([[1, *r[3:]] for r in own])
+        y = np.array([r[2] for r in own])
+        residual = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert [got[r[0], r[1]] for r in own] == pytest.approx(residual.tolist(), abs=1e-9)
+    assert got[DAY + timedelta(days=1), "T3"] is None
+
+
+def test_pair_correlations_are_those_of_joint_ranks(spark):
+    rng = random.Random(8)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", *(None if rng.random() < 0.1 * d else round(rng.gauss(0, 1), 1) for _ in range(5))) for d in range(5) for t in range(20)]
+    wide = spark.createDataFrame(rows, "date_utc date, ticker string, a double, b double, c double, d double, e double")
+    pairs = [(x, y) for x in "abc" for y in "cde"]
+    got = {(r["a"], r["b"]): r["corr"] for r in ic.signal_correlations(wide, pairs, 10).collect()}
+    for x, y in pairs:
+        both = wide.select("date_utc", F.lit("f").alias("formula"), F.col(x).alias("x"), F.col(y).alias("r"))
+        expected = ic.daily_ic(both, "r", joint=True).agg(F.abs(F.avg("ic"))).first()[0]
+        assert got[x, y] == pytest.approx(expected)
+
+
+def test_decay_intervals_are_the_bootstraps(spark):
+    import numpy as np
+
+    from panelforge.operators.resample import bootstrap_indices
+
+    rng = random.Random(5)
+    rows = [("f", DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 1)) for d in range(25) for t in range(12)]
+    df = spark.createDataFrame(rows, "formula string, date_utc date, ticker string, x double, r double")
+    got = {r["horizon"]: r for r in ic.ic_decay_ci(df, "r", [1, 3, 20, 30]).collect()}
+    plain = {r["horizon"]: r["ic"] for r in ic.ic_decay(df, "r", [1, 3, 20, 30]).collect()}
+    for h in (1, 3):
+        series = np.array([r["ic"] for r in ic.horizon_ic(df, "r", [h]).orderBy("date_utc").collect()])
+        means = series[bootstrap_indices(len(series), 200, 10.0, 42)].mean(1)
+        assert (got[h]["mean"], got[h]["lower"], got[h]["upper"]) == pytest.approx((series.mean(), *np.percentile(means, [2.5, 97.5])))
+        assert plain[h] == pytest.approx(series.mean())
+    assert got[20]["lower"] == got[20]["upper"] == got[20]["mean"] == pytest.approx(plain[20])  # five dates
+    assert tuple(got[30][k] for k in ("mean", "lower", "upper")) == (0, 0, 0)
+
+
+def test_spans_of_windows_start_without_turnover(spark):
+    rng = random.Random(2)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 0.01)) for d in range(30) for t in range(10)]
+    df = spark.createDataFrame(rows, "date_utc date, ticker string, s double, r double")
+    windows = validation.walk_forward_windows(DAY, DAY + timedelta(days=30), inside=10, outside=5, step=10, embargo=1)
+    by = ("window_id", "segment")
+    spans = portfolio.with_weights(validation.walk_forward(spark, df, windows), "s", by=by)
+    got = {(*[r[b] for b in by], r["date_utc"]): r["net"] for r in portfolio.net_returns(spans, "weight", "r", 10.0, by=by).collect()}
+    for k, a, b, c, e in windows:
+        for segment, x, y in (("is", a, b), ("oos", c, e)):
+            alone = df.where(F.col("date_utc").between(F.lit(x), F.lit(y - timedelta(days=1))))
+            for r in portfolio.net_returns(portfolio.with_weights(alone, "s"), "weight", "r", 10.0).collect():
+                assert got.pop((k, segment, r["date_utc"])) == pytest.approx(r["net"])
+    assert not got
 
 
 def test_streamed_days_equal_batch_days(spark, tmp_path):
@@ -237,14 +363,78 @@ def test_configuration():
         Config.of({"search": {"nope": 1}})
 
 
+def test_formulas_that_look_ahead_are_infeasible(spark):
+    rng = random.Random(1)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for d in range(14) for t in range(12)]
+    df = spark.createDataFrame(rows, "date_utc date, ticker string, MOM_1D double, VOL_30D double, r double")
+    days = df.select("date_utc").distinct()
+    trees = [P.parse("rank(MOM_1D)"), P.parse("ts_mean(VOL_30D, W_7)")]
+    ok = search.Search(df, "r", return_dates=days).score(trees, [P.Node("MOM_1D")])
+    assert all(f.feasible for f in ok)
+    early = search.Search(df, "r", return_dates=days.where(F.col("date_utc") > F.lit(DAY))).score(trees, [P.Node("MOM_1D")])
+    assert [f.feasible for f in early] == [False, True]  # the mean over seven days isn't known on the first
+
+
+def test_children_are_scored_against_the_whole_population(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search.Search, "score", lambda self, trees, others: seen.append(len(others)) or [ic.Fitness(0.1, 0.1, 0.1)] * len(trees))
+    search.Search(None, "r", population=40, generations=2).run()
+    assert seen == [16, 40, 40]
+
+
+def test_settings_reach_the_run(spark, sf):
+    from panelforge.operators.panel import brand_panel
+
+    c = Config.of({"data": {"start": "1996-01-01", "end": "1996-12-31", "universe_size": 6, "max_gap": 1}})
+    got = runner.prepared(brand_panel(spark, sf), c)
+    days = got.agg(F.min("date_utc"), F.max("date_utc"), F.count_distinct("ticker")).first()
+    assert str(days[0]) >= "1996-01-01" and str(days[1]) <= "1996-12-31" and days[2] == 6
+    assert ic.unlagged_first_rows(got, "funding_rate").isEmpty()
+    unlagged = runner.prepared(brand_panel(spark, sf), Config.of({"data": {"funding_lag": 0}}))
+    with pytest.raises(LookaheadBiasError):
+        runner.find(unlagged, Config())
+
+
+def test_the_whole_run_writes_its_reports(spark, tmp_path):
+    from panelforge.__main__ import main
+
+    (tmp_path / "c.yaml").write_text("data: {start: '2023-01-01', end: '2023-12-31', is_end: '2023-08-01', universe_size: 30}\nsearch: {population: 4, generations: 1, names: [MOM_1D, VOL_30D]}\n"
+                                     "backtest: {is_days: 60, oos_days: 20, step_days: 30, replicates: 50}\n")
+    main(["--synthetic", "--config", str(tmp_path / "c.yaml"), "--output", str(tmp_path / "out"), "--seed", "3"], spark)
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / "out" / name))
+    front, report = read("pareto_front.csv"), read("diagnostics.csv")
+    assert front.columns == ["formula", "f1_rank_ic", "f2_stability", "f3_diversity"] and front.count() == report.count() == read("full_report.csv").count() > 0
+    assert {"ic_1d", "ic_7d", "ic_30d", "ic_ci_lower", "ic_ci_upper", "dsr_pvalue", "is_oos_gap", "gap_alert"} <= set(report.columns)
+    meta = json.loads(spark.read.text(str(tmp_path / "out" / "meta.json")).first()[0])
+    assert meta["seed"] == 3 and meta["pop_size"] == 4 and len(meta["config_hash"]) == 16 and "net" in meta["units"]["returns"]
+
+
+def test_an_empty_report_has_no_metadata(spark, tmp_path):
+    store.write_front(spark, [], str(tmp_path / "o"), {"seed": 1})
+    assert not store.path_exists(spark, str(tmp_path / "o" / "meta.json"))
+
+
+def test_queries_without_the_optional_part():
+    """Where one of its dependencies is absent, the other queries are served."""
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['{0}'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for absent in ("zstandard", "panelforge.llm"):
+        out = subprocess.run([sys.executable, "-c", code.format(absent)], capture_output=True, text=True, cwd=root, check=True).stdout.split()
+        assert int(out[0]) > 90 and out[1] == "False" and int(out[2]) > 80
+
+
 def test_measures_of_given_formulas(spark, sf):
     from panelforge.operators.panel import brand_panel
 
     front = [(P.parse("zscore(MOM_7D)"), ic.Fitness(0.1, 1.0, 1.0))]
     got = runner.measure(brand_panel(spark, sf), front, Config())
     row = got.report.first()
-    assert row["formula"] == "zscore(MOM_7D)" and row["max_drawdown"] <= 0 and 0 <= row["dsr"] <= 1
+    assert row["formula"] == "zscore(MOM_7D)" and row["max_drawdown"] <= 0 and 0 <= row["dsr_pvalue"] <= 1
     assert got.returns.count() > 300
+    # several formulas in one plan give what each gives alone
+    more = [*front, (P.parse("rank(LS_RATIO)"), ic.Fitness(0.2, 1.0, 1.0))]
+    both = {r["formula"]: r for r in runner.measure(brand_panel(spark, sf), more, Config()).report.collect()}
+    assert list(both["zscore(MOM_7D)"])[1:] == pytest.approx(list(row)[1:], nan_ok=True)
 
 
 def test_tournaments_prefer_fit_and_small_trees():
