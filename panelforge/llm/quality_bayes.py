@@ -133,7 +133,7 @@ def classify_quality(
     host, path = F.split_part(site, F.lit("/"), F.lit(1)), F.concat_ws("\x00", site, F.coalesce(F.col(path_col).cast("string"), F.lit("")))
     mine = docs.select(F.col(text_col).alias("text"), host.alias("host"), path.alias("path"))
     scored = with_statistics(mine, repeats=False).select("host", "path", (1 / (1 + F.exp(-(model.evidence() + model.base)))).alias("p"))
-    sites = site_posteriors(scored).drop("host")
+    sites = saved(site_posteriors(scored).drop("host"))  # so that adaptive execution can split a hot path where they aren't broadcast
     sites = F.broadcast(sites) if is_small(sites, broadcast_sites) else sites
     row, key = fresh("row", docs), fresh("path", docs)
     packed = docs.select(F.struct(*docs.columns).alias(row), F.col(text_col).alias("_text"), path.alias(key))

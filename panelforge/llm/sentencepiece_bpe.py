@@ -134,14 +134,14 @@ class Encoder:
         n = len(text)
         # of the pieces that end at one place of the reversed text, the shortest comes last
         longest = dict([(n - 1 - end, piece) for end, piece in reversed(list(self.automaton.iter(text[::-1])))])
-        failed = 0  # the bitfield of positions from which the rest can't be reached
+        failed: bytearray | None = None  # the bitfield of positions from which the rest can't be reached, once there is one
         out: list[str] = []
         at, piece, left = 0, longest[0], None
         fits, shorter = self.fits, self.shorter
         while at < n:
             while piece is not None:
                 end = at + len(piece)
-                if not (failed and failed >> end & 1):
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     if left is None:
                         break
                     fit = fits.get(left + " " + piece)  # no piece has a plain space
@@ -149,7 +149,9 @@ class Encoder:
                         break
                 piece = shorter[piece]
             if piece is None:  # no way on from here: the piece before must be another
-                failed |= 1 << at
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 back = out.pop()
                 at -= len(back)
                 piece, left = shorter[back], out[-1] if out else None

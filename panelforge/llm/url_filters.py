@@ -36,11 +36,13 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """Every `suffix + prefix` of the URL that has a rule's number of labels and characters."""
-    n_labels = F.size(F.split(host, r"\."))
-    suffixes = F.array(*[F.when(n_labels >= n, F.substring_index(host, ".", -n)) for n in labels])
-    prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    pairs = F.transform(F.array_compact(suffixes), lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p)))
-    return F.flatten(pairs)
+    # as filtered lists of numbers: the plan is as small for hundreds of lengths as for one
+    n_labels, n_path = F.size(F.split(host, r"\.")), F.length(path)
+    own = lambda numbers, most: F.filter(F.array(*map(F.lit, numbers)), lambda n: n <= most)
+    parts = F.reverse(F.split(host, r"\."))
+    suffixes = F.transform(own(labels, n_labels), lambda n: F.array_join(F.reverse(F.slice(parts, F.lit(1), n)), "."))
+    prefixes = F.transform(own(lengths, n_path), lambda n: F.substr(path, F.lit(1), n))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
 def judge_urls(

@@ -1,6 +1,7 @@
 """Operators that look at each text by itself, against plain Python or their libraries."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -167,6 +168,154 @@ def test_quality_posteriors(spark, sf, odd):
     assert all(r["quality_score"] == pytest.approx(0.5) for r in unlabelled)
 
 
+@pytest.mark.parametrize("broadcast_sites", [100_000, 0])
+def test_quality_scores_are_those_of_plain_python(spark, sf, broadcast_sites):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    sample = quality_rules.labelled_sample(docs, labels, label=F.when(F.col("quality").isin(0, 1), F.col("quality")), max_rows=20_000)
+    base = quality_bayes.fit(quality_rules.with_statistics(sample, repeats=False)).base
+    got = quality_bayes.classify_quality(docs, labels, broadcast_sites=broadcast_sites).collect()
+    own = [1 / (1 + math.exp(-(r["evidence"] + base))) for r in got]
+    host = [(r["source"] or "").split("/")[0] for r in got]
+    path = [((r["source"] or ""), r["lang"]) for r in got]
+
+    def sums(keys):
+        out = {}
+        for k, p in zip(keys, own, strict=True):
+            n, s = out.get(k, (0, 0.0))
+            out[k] = n + 1, s + p
+        return out
+
+    def strength(mean, spread, groups, total):
+        noise = mean * (1 - mean)
+        return min(max(noise / max(spread - noise * groups / total, noise * 1e-4, 1e-9) - 1, 2.0), 10_000.0)
+
+    hosts, paths, n = sums(host), sums(path), len(got)
+    mean = (sum(own) + 0.5) / (n + 1)
+    a = strength(mean, sum(k * (s / k - mean) ** 2 for k, s in hosts.values()) / n, len(hosts), n)
+    of_host = {h: (a * mean + s) / (a + k) for h, (k, s) in hosts.items()}
+    b = strength(mean, sum(k * (s / k - of_host[x[0].split("/")[0]]) ** 2 for x, (k, s) in paths.items()) / n, len(paths), n)
+    for r, p, h, x in zip(got, own, host, path, strict=True):
+        k, s = paths[x]
+        prior = (b * of_host[h] + max(s - p, 0.0)) / (b + k - 1)
+        score = 1 / (1 + math.exp(-(r["evidence"] + math.log(prior / (1 - prior)))))
+        assert (r["host_posterior"], r["path_posterior"], r["quality_score"]) == pytest.approx((of_host[h], prior, score), rel=1e-6)
+        assert r["kept"] == (r["quality_score"] >= 0.5)
+
+
+def test_bad_sites_pull_their_documents_down(spark, docs):
+    """The same text gets a lower score on a site of bad documents than on one of good ones."""
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["house", "tree", "river", "walks", "under", "seven"]) for _ in range(80))
+    bad = lambda: " ".join(rng.choice(["###", "$$$ %%%", "BUY!!!", "999 999", "***"]) for _ in range(80))
+    unsure = "### house tree $$$ river walks BUY!!! under seven " * 9
+    rows = [(k, good() if k % 4 else bad(), "fine/a") for k in range(0, 200)] + [(k, bad() if k % 4 else good(), "poor/a") for k in range(200, 400)] + [(900, unsure, "fine/a"), (901, unsure, "poor/a")]
+    df = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("$" not in t and "#" not in t)) for i, t, _ in rows[:-2]], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_bayes.classify_quality(df, labels).collect()}
+    assert got[900]["evidence"] == got[901]["evidence"]
+    odds = {k: math.log(got[k]["quality_score"] / (1 - got[k]["quality_score"])) for k in (900, 901)}
+    assert odds[900] > odds[901] + 1
+    assert got[900]["host_posterior"] > 0.6 > 0.4 > got[901]["host_posterior"]
+
+
+def brute_rules(rows, bins=24, max_rules=8, max_conditions=3, min_precision=0.97, min_covered=10):
+    """Sequential covering in plain Python; rows: (statistics, rejected, grow)."""
+    cuts = {}
+    for x in quality_rules.STATISTICS:
+        found = set()
+        for y in (True, False):
+            values = sorted(r[0][x] for r in rows if r[1] == y)
+            found |= {values[max(math.ceil(i / bins * len(values)) - 1, 0)] for i in range(1, bins)}
+        cuts[x] = sorted(found)
+    fits = lambda conditions, r: all(r[0][x] >= c if up else r[0][x] <= c for x, up, c in conditions)
+    count = lambda rs: (sum(r[1] for r in rs), sum(not r[1] for r in rs))
+    rules, left = [], rows
+    for _ in range(max_rules):
+        grown, conditions = [r for r in left if r[2]], []
+        p, n = count(grown)
+        while p and n and len(conditions) < max_conditions:
+            best, gain_of_best = None, 1e-9
+            for x, its in cuts.items():
+                for c in its:
+                    for up in (True, False):
+                        a, b = count([r for r in grown if fits([(x, up, c)], r)])
+                        if a and a + b < p + n and (gain := a * (math.log2(a / (a + b)) - math.log2(p / (p + n)))) > gain_of_best:
+                            best, gain_of_best = (x, up, c), gain
+            if best is None:
+                break
+            conditions.append(best)
+            grown = [r for r in grown if fits([best], r)]
+            p, n = count(grown)
+        if not conditions:
+            break
+        tried = []
+        for k in range(1, len(conditions) + 1):
+            p, n = count([r for r in left if not r[2] and fits(conditions[:k], r)])
+            tried.append(((p - n) / (p + n) if p + n else -1.0, -k, p / (p + n) if p + n else 0.0))
+        worth, k, precision = max(tried)
+        rule = conditions[:-k]
+        p, n = count([r for r in left if fits(rule, r)])
+        if precision < min_precision or p < min_covered or p < min_precision * (p + n):
+            break
+        rules.append(rule)
+        left = [r for r in left if not fits(rule, r)]
+    return rules
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_learned_lists_are_those_of_plain_python(spark, seed):
+    rng = random.Random(seed)
+    data = []
+    for i in range(400):
+        row = {x: round(rng.random(), 3) for x in quality_rules.STATISTICS}
+        bad = row["symbol_rate"] > 0.75 or row["mean_word"] < 0.3 and row["upper_rate"] > 0.5 or row["n_words"] > 0.9
+        data.append((i, int(bad), *row.values()))
+    sample = spark.createDataFrame(data, "doc_id long, rejected int, " + ", ".join(f"{x} double" for x in quality_rules.STATISTICS))
+    grow = {r["doc_id"]: r["g"] for r in sample.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("g")).collect()}
+    expected = brute_rules([(dict(zip(quality_rules.STATISTICS, r[2:], strict=True)), bool(r[1]), grow[r[0]]) for r in data])
+    got = [[(c.statistic, c.at_least, c.threshold) for c in r.conditions] for r in quality_rules.learn_rules(sample)]
+    assert got == expected and len(got) >= (2 if seed == 1 else 0)
+
+
+def test_empty_tables_and_clashing_columns(spark, odd, docs, sf):
+    labels = table(spark, sf, "labels")
+    none = odd.limit(0)
+    assert sentencepiece_bpe.encode_documents(none, MODEL).count() == 0
+    assert flac_media.read_media(flac_media.write_media(none)).count() == 0
+    assert quality_rules.filter_by_rules(none, labels).count() == 0
+    clash = docs([(1, "some words here"), (2, None)]).withColumns({c: F.lit("x") for c in (
+        "ids", "n_tokens", "media", "n_bytes", "kept", "rule", "n_words", "evidence", "quality_score", "row", "path", "host", "_text", "_form", "_id", "text_digest", "notice_ids", "symbol_rate")})
+    assert {r["doc_id"]: r["n_tokens"] for r in sentencepiece_bpe.encode_documents(clash, MODEL).collect()}[2] == 0
+    assert flac_media.read_media(flac_media.write_media(clash)).count() == 2
+    assert {r["n_words"] for r in quality_rules.filter_by_rules(clash, labels).collect()} == {0, 3}
+    scored = quality_bayes.classify_quality(clash, labels)
+    assert len(scored.columns) == len(set(scored.columns)) and {r["row"] for r in scored.collect()} == {"x"} and scored.schema["quality_score"].dataType.simpleString() == "double"
+    assert licenses.scan_licenses(clash, *licenses.default_known(spark)).count() == 2
+
+
+def test_a_long_text_without_spaces_is_encoded_whole():
+    import sentencepiece
+
+    rng = random.Random(12)
+    text = "".join(rng.choice("aeinrstlo") for _ in range(60_000))
+    assert sentencepiece_bpe.encoder(MODEL).encode(text) == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+
+
+def test_rules_of_many_shapes(spark):
+    rng = random.Random(4)
+    part = lambda n: "".join(rng.choice("ab/") for _ in range(n))
+    rules = [(".".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 4))), "/" + part(rng.randint(0, 12)), rng.choice(["allow", "block"])) for _ in range(300)]
+    urls = ["http://" + ".".join(rng.choice(["a", "b"]) for _ in range(rng.randint(1, 5))) + "/" + part(rng.randint(0, 15)) for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = {}
+    for h, p, v in rules:
+        verdicts[h, p] = max(v, verdicts.get((h, p), ""))
+    for r in url_filters.judge_urls(pages, url_filters.rule_table(spark, rules)).collect():
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in verdicts.items() if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        best = max(fits, default=None)
+        assert (r["rule"], r["verdict"]) == ((best[2], best[3]) if best else (None, "allow"))
+
+
 def test_sparse_sites_shrink_to_their_prior(spark):
     data = [("big", "big", 0.2)] * 200 + [("fine", "fine", 0.9)] * 200 + [("tiny", "tiny", 0.0)]
     got = rows(quality_bayes.site_posteriors(spark.createDataFrame(data, "host string, path string, p double")), "host")
