@@ -9,9 +9,11 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +127,27 @@ def pareto(trees: list[Node], fitness: list[Fitness]) -> list[int]:
 
 
 def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """The rows of `scores` that no other dominates."""
+    """The rows of `scores` that no other dominates; an unknown objective is dominated by none and dominates none.
+
+    Each task first leaves out what rows of its own dominate, a thousand at a time; only what stays is
+    compared with each other.
+    """
+    def own_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in (b.slice(k, 1_000) for b in batches for k in range(0, b.num_rows, 1_000)):
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            points = np.stack([both.column(o).to_numpy().astype(float) for o in objectives], axis=1)
+            new = len(both) - batch.num_rows
+            # rows held so far don't dominate each other
+            beaten = np.zeros(len(both), bool)
+            for a, b in ((points, points[new:]), (points[new:], points)):
+                better = (a[:, None] >= b[None]).all(2) & (a[:, None] > b[None]).any(2)
+                beaten[len(both) - len(b) :] |= better.any(0)
+            held = both.filter(pa.array(~beaten)).combine_chunks()
+        yield from held.to_batches() if held is not None else []
+
+    scores = scores.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
+    scores = scores.mapInArrow(own_front, scores.schema)
     other = scores.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
     worse = [F.col(f"_{o}") >= F.col(o) for o in objectives]
     strict = [F.col(f"_{o}") > F.col(o) for o in objectives]

@@ -111,6 +111,29 @@ def test_fronts_and_selection():
     assert 3 not in search.select(trees, fit, 4) and search.select(trees, fit, 5)[-1] == 3
 
 
+def test_pareto_front_of_a_table(spark):
+    rng = random.Random(4)
+    rows = [(i, round(rng.random(), 2), round(rng.random(), 2), None if i % 97 == 5 else round(rng.random(), 2)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double").repartition(3)
+    beats = lambda x, y: None not in x + y and all(p >= q for p, q in zip(x, y, strict=True)) and x != y
+    points = {r[1:] for r in rows}
+    expected = sorted(r[0] for r in rows if not any(beats(p, r[1:]) for p in points))
+    assert sorted(r["k"] for r in search.pareto_front(df, "k", ["a", "b", "c"]).collect()) == expected
+
+
+def test_deflated_sharpe_of_a_series(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0.002, 0.01, 120)
+    df = spark.createDataFrame([("f", float(v)) for v in x], "formula string, ret double")
+    got = validation.deflated_sharpe_of(df, 50, by=("formula",)).first()
+    z = (x - x.mean()) / x.std()
+    sharpe = x.mean() / x.std() * math.sqrt(365)
+    assert (got["n"], got["sharpe"], got["skew"], got["kurtosis"]) == pytest.approx((120, sharpe, (z**3).mean(), (z**4).mean() - 3))
+    assert got["dsr"] == pytest.approx(validation.deflated_sharpe(sharpe, 50, 120, (z**3).mean(), (z**4).mean() - 3))
+
+
 def test_cache_forgets_the_oldest():
     cache = search.FitnessCache(2)
     for n in ("MOM_1D", "MOM_7D", "MOM_30D"):
