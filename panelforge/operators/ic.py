@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .panel import KEYS, LookaheadBiasError
+from .resample import rank_correlations
 
 LEAST = 10
 INFEASIBLE = (-99.0, -99.0, 0.0)
@@ -102,27 +103,6 @@ def ic_decay_ci(signals: DataFrame, ret: str, horizons: list[int], *, replicates
     return out.select("formula", "horizon", *[F.coalesce(c, "_mean", F.lit(0.0)).alias(c) for c in ("mean", "lower", "upper")])
 
 
-def _rank_correlations(x: np.ndarray, left: int, least: int) -> np.ndarray:
-    """Rank correlations of the first `left` columns with the others, each pair over its own known rows; NaN where undefined."""
-    out = np.full((left, x.shape[1] - left), np.nan)
-    known = ~np.isnan(x)
-    _, kind = np.unique(known, axis=1, return_inverse=True)
-    kinds = kind.ravel()
-    for p in np.unique(kinds[:left]):
-        for q in np.unique(kinds[left:]):
-            a, b = np.flatnonzero(kinds[:left] == p), np.flatnonzero(kinds[left:] == q)
-            rows = known[:, a[0]] & known[:, left + b[0]]
-            if rows.sum() < least:
-                continue
-            part = pd.DataFrame(x[rows][:, [*a, *(left + b)]]).rank().to_numpy()
-            part = part - part.mean(0)
-            norm = np.sqrt((part**2).sum(0))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                got = (part[:, : len(a)].T @ part[:, len(a) :]) / np.outer(norm[: len(a)], norm[len(a) :])
-            out[np.ix_(a, b)] = np.where(np.outer(norm[: len(a)] > 0, norm[len(a) :] > 0), got, np.nan)
-    return out
-
-
 def _correlations(wide: DataFrame, names: list[str], others: list[str], least: int) -> DataFrame:
     """a, b, corr (the absolute mean over dates) of all names with all others that share a date.
 
@@ -132,7 +112,7 @@ def _correlations(wide: DataFrame, names: list[str], others: list[str], least: i
     left = len(names)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = _rank_correlations(rows.iloc[:, 1:].to_numpy(float), left, least)
+        got = rank_correlations(rows.iloc[:, 1:].to_numpy(float), left, least)
         i, j = np.nonzero(~np.isnan(got))
         return pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "ic": got[i, j]})
 

@@ -1,8 +1,9 @@
-"""Resampling of short series; imported by tasks, so free of Spark."""
+"""What tasks compute on a series, or on a date's rows; imported by them, so free of Spark."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 
 def bootstrap_indices(n: int, replicates: int, block: float, seed: int) -> np.ndarray:
@@ -15,3 +16,24 @@ def bootstrap_indices(n: int, replicates: int, block: float, seed: int) -> np.nd
     since = position - np.maximum.accumulate(np.where(anew, position, 0), axis=1)
     begun = np.take_along_axis(starts, position - since, axis=1)
     return (begun + since) % n
+
+
+def rank_correlations(x: np.ndarray, left: int, least: int) -> np.ndarray:
+    """Rank correlations of the first `left` columns with the others, each pair over its own known rows; NaN where undefined."""
+    out = np.full((left, x.shape[1] - left), np.nan)
+    known = ~np.isnan(x)
+    _, kind = np.unique(known, axis=1, return_inverse=True)
+    kinds = kind.ravel()
+    for p in np.unique(kinds[:left]):
+        for q in np.unique(kinds[left:]):
+            a, b = np.flatnonzero(kinds[:left] == p), np.flatnonzero(kinds[left:] == q)
+            rows = known[:, a[0]] & known[:, left + b[0]]
+            if rows.sum() < least:
+                continue
+            part = pd.DataFrame(x[rows][:, [*a, *(left + b)]]).rank().to_numpy()
+            part = part - part.mean(0)
+            norm = np.sqrt((part**2).sum(0))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                got = (part[:, : len(a)].T @ part[:, len(a) :]) / np.outer(norm[: len(a)], norm[len(a) :])
+            out[np.ix_(a, b)] = np.where(np.outer(norm[: len(a)] > 0, norm[len(a) :] > 0), got, np.nan)
+    return out

@@ -653,7 +653,11 @@ def report_decile_curves(spark, d):
     return portfolio.curves(rows, "ret", by=("decile",)).select("date_utc", "decile", eight_digits("cum_prod").alias("cum_prod"))
 
 
-@query()
+@query(f"""
+with {O.SIGNALS}, {O.daily_ic('s', 'r7')}, {O.hac('ic')}, {O.RETURNS}, {_CURVES}, {_DECAY}
+select 'f' as formula, round(mean_ic, 6) + 0.0 as mean_ic, round(case when se > 0 then abs(mean_ic) / se else 0 end, 6) as stability,
+  (select round(avg(net) / stddev_pop(net) * sqrt(365), 6) from net) as sharpe, (select round(avg(turnover), 6) from net) as turnover,
+  (select round(min((cum_prod - peak) / peak), 6) from c2) as max_drawdown, {", ".join(f"(select round(coalesce(avg(ic), 0), 6) + 0.0 from ic{h}) as ic_{h}" for h in _HORIZONS)} from hac2""")
 def report_summary(spark, d):
     """One row of measures of a formula: information coefficients, risk, decay and validation."""
     s = signals(spark, d)

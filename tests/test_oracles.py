@@ -30,6 +30,6 @@ def test_query_gives_what_its_sql_gives(spark, duck, sf, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(expected.columns, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["f_all", "g_batch", "v_bootstrap_ci", "v_deflated_sharpe", "report_summary"])
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - {"e_search"}))
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
