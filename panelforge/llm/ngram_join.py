@@ -40,7 +40,7 @@ HASHES = 128
 ROWS = 4  # MinHash values of a band: at a similarity of 0.8 a pair misses all 32 bands once in 2e7
 TOLERANCE = 1e-6
 BUCKET_PART = 256, 64, 4_096  # classes of a part of a bucket, of which signatures alone are sent: these at least, then a 64th of the bucket, up to the last
-GROUP_PART = 192, 8, 1_024  # the same of a group, of which shingles are sent too: eight parts up to 8,192 classes
+GROUP_PART = 160, 10, 1_024  # the same of a group, of which shingles are sent too: ten parts up to 10,240 classes
 PART_SHINGLES = 1 << 20  # shingles of a part of a group
 STEPS = (8, 16, 24, 32, 48, 64, 96, 128)  # MinHash values after which a pair may go
 _WORD = re.compile(r"\w+")
@@ -197,7 +197,8 @@ def _blocks(members: DataFrame, key: str, parts: Column) -> DataFrame:
     """Members dealt out to blocks: `blk` is one pair of parts of one key, `side` the part of the member.
 
     A key has `parts` parts by a hash of the member, and each member goes to the blocks that pair
-    its part with every part.
+    its part with every part. `slot` numbers a key's blocks one after the other, from a place by the
+    key on, so that the blocks of a large one go to as many partitions as there are.
     """
     parts = F.ceil(parts).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit(11)), parts).cast("int")
@@ -206,6 +207,7 @@ def _blocks(members: DataFrame, key: str, parts: Column) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other"))
         .withColumn("blk", F.xxhash64(key, "lo", "hi"))
+        .withColumn("slot", F.pmod(F.xxhash64(key) % (1 << 30) + F.col("hi").cast("long") * (F.col("hi") + 1) / 2 + F.col("lo"), F.lit(1 << 30)).cast("int"))
         .drop("_parts", "_other")
     )
 
@@ -301,9 +303,9 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         .where("members > 1").groupBy("members", "whose", "least").agg(F.min("bucket").alias("bucket"))
     )
     members = held.join(buckets.select("bucket", "members"), "bucket").join(classes.select("rep", "sig"), "rep")
-    dealt = _blocks(members, "bucket", F.col("members") / _part_size(F.col("members"), BUCKET_PART)).select("blk", "lo", "hi", "side", "rep", "sig")
+    dealt = _blocks(members, "bucket", F.col("members") / _part_size(F.col("members"), BUCKET_PART)).select("slot", "blk", "lo", "hi", "side", "rep", "sig")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_candidate_edges, "a long, b long")
+    return dealt.repartitionById(n, "slot").drop("slot").sortWithinPartitions("blk").mapInArrow(_candidate_edges, "a long, b long")
 
 
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +360,7 @@ def dealt_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, *, id_c
     texts = docs.where(F.col(id_col).isNotNull()).select(F.struct(docs[id_col].alias("doc"), F.xxhash64(text).alias("h")).alias("holder"), text.alias("text"))
     texts = texts.join(members, "holder").dropDuplicates(["rep"]).select("rep", "copies", "grp", "parts", "sig", "text")
     ready = texts.mapInArrow(_with_shingles, "rep long, copies long, grp long, parts long, sig binary, shingles binary")
-    return _blocks(ready, "grp", F.col("parts")).select("blk", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
+    return _blocks(ready, "grp", F.col("parts")).select("slot", "blk", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -376,7 +378,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = dealt_groups(docs, classes, groups, id_col=id_col, text_col=text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = saved(
-        dealt.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_exact_links, "rep long, n_classes long, n_documents long, root long")
+        dealt.repartitionById(n, "slot").drop("slot").sortWithinPartitions("blk").mapInArrow(_exact_links, "rep long, n_classes long, n_documents long, root long")
     )
     counts = links.groupBy("rep").agg(F.sum("n_classes").alias("n_class_links"), F.sum("n_documents").alias("n_documents"))
     roots = components(links.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))

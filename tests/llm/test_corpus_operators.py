@@ -103,7 +103,11 @@ def test_a_large_group_is_dealt_in_few_copies(spark, docs):
     found = ngram_join.sketches(df)
     classes = found.groupBy("rep").agg(F.first(F.struct("doc", "h")).alias("holder"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")).cache()
     groups = classes.select(F.col("rep").alias("node"), F.lit(1).cast("long").alias("grp"))
-    assert classes.count() == 2_000 and ngram_join.dealt_groups(df, classes, groups).count() == 8 * 2_000
+    dealt = ngram_join.dealt_groups(df, classes, groups)
+    assert classes.count() == 2_000 and dealt.count() == 10 * 2_000
+    # the 55 blocks of its ten parts go to as many partitions
+    tasks = [r["count"] for r in dealt.groupBy(F.pmod("slot", F.lit(211))).count().collect()]
+    assert len(tasks) == 55 and max(tasks) < 2 * 260
 
 
 def test_overlaps_are_exact():
