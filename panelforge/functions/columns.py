@@ -69,13 +69,13 @@ def ts_rank(x: Column, rows: int) -> Column:
 def cs_rank(x: Column, by=None) -> Column:
     """Average-tie rank by the number of values, in (0, 1].
 
-    Tied values take the average of their ranks: the first of them and half of how many more there
-    are. All three counts are frames over one sort, so a rank is one sort and one window.
+    Tied values take the average of the first and the last of their ranks, and the last is how many
+    values there are up to them: both grow along one sort.
     """
-    sorted_ = (by or date()).orderBy(x.asc_nulls_last())
-    n = F.count(x).over(sorted_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    peers = F.count(x).over(sorted_.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.when(x.isNotNull(), (F.rank().over(sorted_) + (peers - 1) / 2) / n)
+    by = by or date()
+    up_to = by.orderBy(x.asc_nulls_last())
+    last = F.count(x).over(up_to.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(up_to) + last) / 2 / F.count(x).over(by))
 
 
 def cs_zscore(x: Column) -> Column:
@@ -84,7 +84,8 @@ def cs_zscore(x: Column) -> Column:
 
 def cs_winsor(x: Column, low: float = 0.01, high: float = 0.99) -> Column:
     """Clipped to the date's linearly interpolated quantiles."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.percentile(x, F.lit(low)).over(date())), F.percentile(x, F.lit(high)).over(date())))
+    limits = F.percentile(x, F.array(F.lit(low), F.lit(high))).over(date())  # one pass for both
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.get(limits, F.lit(0))), F.get(limits, F.lit(1))))
 
 
 def cs_neutralize(x: Column, category: str = "category") -> Column:

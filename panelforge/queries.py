@@ -614,9 +614,9 @@ def e_pareto(spark, d):
 
 @query()
 def e_search(spark, d):
-    """A short seeded search; its Pareto front."""
+    """A seeded search of fewer formulas and generations than the defaults of Search, for its time; its Pareto front."""
     panel = factors.with_factors(factors.forward_return(brand_panel(spark, d), 7, "r7")).persist()
-    front = search.Search(panel, "r7", population=8, generations=1).run()
+    front = search.Search(panel, "r7", population=30, generations=3, return_dates=panel.select("date_utc").distinct()).run()
     panel.unpersist()
     rows = [(str(t), f.rank_ic, f.stability, f.diversity) for t, f in front]
     return rounded(spark.createDataFrame(rows, "formula string, rank_ic double, stability double, diversity double"), ["formula"], "rank_ic", "stability", "diversity")
