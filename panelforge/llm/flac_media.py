@@ -393,7 +393,8 @@ def write_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty, whose payload is UNIT zero bytes. Repeated rows stay repeated, an
     empty table gives none, other columns aren't looked at. A worker holds the blocks of a few MB
-    of text, or of one text, at a time.
+    of text, or of one text, at a time. A text of some 950 MB or more raises a ValueError: the
+    format's seek table can't hold a point for each of its blocks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

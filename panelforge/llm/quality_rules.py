@@ -235,7 +235,9 @@ def filter_by_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """One row per document: id, the counts, base_failed, rule (the first that fits, or null), kept.
 
     Rules are learned from `labels` (quality 0: reject, 1: keep) on at most `max_sample` labelled
-    documents. A null or empty text has no words and so fails the base rules. Without labels the
+    documents, with the limits of learn_rules(): by default at most 8 rules of at most 3 conditions
+    each, whose thresholds are 23 quantiles of either label (`max_rules`, `max_conditions`, `bins`).
+    A null or empty text has no words and so fails the base rules. Without labels the
     base rules alone decide. Repeated rows come out repeatedly; other columns aren't looked at.
     """
     sample = labelled_sample(docs, labels, label=F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0), max_rows=max_sample, id_col=id_col, text_col=text_col)
