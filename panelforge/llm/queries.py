@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, sentencepiece_bpe, toxicity, url_filters
+from . import flac_media, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filters
 from .tables import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -59,7 +59,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op4_quality_bayes, op5_mixing, op6_license_scan, op7_ngram_jaccard, op8_url_filters, op9_quality_rules, op10_line_dedup)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op4_quality_bayes, op5_mixing, op6_license_scan, op7_ngram_jaccard, op8_url_filters, op9_quality_rules, op10_line_dedup, op12_secret_scan)}
 
 
 def _sql_text(x: str) -> str:
@@ -140,5 +151,43 @@ from named d left join fitted c
   on d.source is not distinct from c.source and d.lang is not distinct from c.lang and d.topic = c.topic and n_tokens > 0"""
 
 
+def _secret_sql() -> str:
+    """scan_secrets(): the entropy of each window by itself, and runs of windows joined as islands."""
+    kinds = [*zip(secrets.BASE_KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX), strict=True), *((c.kind, c.pattern) for c in secrets.CLASSES)]
+    places = " union all ".join(
+        f"select r, {k} as number, '{kind}' as kind, unnest(list_zip(string_split_regex(t, {_sql_text(p)})[1:len(found)], found)) as z, generate_subscripts(found, 1) as k "
+        f"from (select r, t, regexp_extract_all(t, {_sql_text(p)}) as found from texts)"
+        for k, (kind, p) in enumerate(kinds)
+    )
+    assign = f"length(regexp_extract(found, {_sql_text(secrets.ASSIGN)}, 1)) >= {secrets.LEAST_VALUE}"
+    windows = " union all ".join(
+        f"select r, number, kind, start, k, w, {c.window} as size from (select *, unnest(range(0, length(found) - {c.window} + 1)) as w from placed where kind = '{c.kind}') "
+        f"where regexp_matches(found, {_sql_text(secrets.MIXED)}) and not regexp_matches(found, {_sql_text('|'.join(secrets.ALLOWED))}) "
+        f"and list_aggregate(string_split(substr(found, w + 1, {c.window}), ''), 'entropy') > {c.bits}"
+        for c in secrets.CLASSES
+    )
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, number, stop) {where}, '')"
+    return f"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+placed as (
+  select r, number, kind, k, z[2] as found, sum(length(z[1]) + length(z[2])) over (partition by r, number order by k) - length(z[2]) as start from ({places})),
+windows as ({windows}),
+islands as (
+  select *, sum(anew) over (partition by r, number, k order by w) as island
+  from (select *, case when w <= lag(w) over (partition by r, number, k order by w) + size then 0 else 1 end as anew from windows)),
+spans as (
+  select r, number, kind, start, start + length(found) as stop from placed where number < {len(secrets.BASE_KINDS)} and (kind <> 'assign' or {assign})
+  union all select r, number, kind, start + min(w), start + max(w) + any_value(size) from islands group by r, number, kind, k, start, island),
+own as (
+  select * from spans s where number < {len(secrets.BASE_KINDS)}
+    or not exists (select 1 from spans o where o.r = s.r and o.number < s.number and o.start <= s.start and o.stop >= s.stop)),
+by_row as (
+  select r, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.BASE_KINDS)},
+    {listed(f"filter (number < {len(secrets.BASE_KINDS)})")} as base, {listed("")} as spans
+  from own group by r)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in secrets.BASE_KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join by_row using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _mixing_sql(), "op6_license_scan": _license_sql(), "op8_url_filters": _url_sql()}
+    return {"op5_mixing": _mixing_sql(), "op6_license_scan": _license_sql(), "op8_url_filters": _url_sql(), "op12_secret_scan": _secret_sql()}
