@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filters
+from . import centroids, flac_media, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filters, whitening
 from .tables import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -59,6 +59,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["base"])
@@ -70,7 +75,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op4_quality_bayes, op5_mixing, op6_license_scan, op7_ngram_jaccard, op8_url_filters, op9_quality_rules, op10_line_dedup, op12_secret_scan)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_flac_media, op4_quality_bayes, op5_mixing, op6_license_scan, op7_ngram_jaccard, op8_url_filters, op9_quality_rules, op10_line_dedup, op11_whitening, op12_secret_scan, op13_centroids)}
 
 
 def _sql_text(x: str) -> str:
