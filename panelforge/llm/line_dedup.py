@@ -3,9 +3,11 @@
 What two documents can share are blocks of lines with enough words. Each line with enough words by
 itself, and each least run of lines that has them together, is a key; every document that holds a
 key meets the earliest document that holds it, so pairs are linear in lines, however frequent a
-line is. Each pair is aligned by patience diff over its runs, and the aligned blocks are deleted
-from the later document. The earliest holder of a line never loses it, so no line is lost
-altogether, and meeting all earlier documents would delete nothing more.
+line is. Rare keys find the documents that overlap; a hot one adds no more than one pair a document.
+Each pair is aligned by patience diff over its runs, and the aligned blocks, and nothing else, are
+deleted from the later document; blocks that cross an alignment, since they were moved or are
+repeated, are found by aligning what is left anew. The earliest holder of a line never loses it, so no
+line is lost altogether, and aligning with all earlier documents would delete nothing more.
 """
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ def word_count(line: Column) -> Column:
     return F.when(unspaced, F.regexp_count(line, F.lit(_WORDS))).otherwise(F.regexp_count(line, F.lit(r"\S+")))
 
 
-#: Rounds of patience diff for a pair; what still crosses after them is aligned run by run.
-ROUNDS = 6
+#: Alignments of a pair, one after the other, each of what the ones before have left. A pair that takes
+#: more, as a list and the same list reversed, is left to alignments of one run each.
+ROUNDS = 64
 
 
 def _patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -93,23 +96,28 @@ def _patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places (in a, in b) of a's symbols that b has; 0 is none.
+    """Places (in a, in b) of the symbols that alignments of a with b have in common; 0 is none.
 
     Blocks that were moved or repeated cross an alignment, so what it leaves of a is aligned with
-    the whole of b again.
+    the whole of b again, until an alignment finds nothing more.
     """
     at_a, at_b = np.flatnonzero((a != 0) & np.isin(a, b)).tolist(), np.flatnonzero((b != 0) & np.isin(b, a)).tolist()
     mine, others = a[at_a].tolist(), b[at_b].tolist()
     out: list[tuple[int, int]] = []
-    for _ in range(ROUNDS):
-        if not at_a:
-            break
-        found = _patience(mine, others)
+    for k in range(ROUNDS + 1):
+        if k < ROUNDS:
+            found = _patience(mine, others)
+        else:
+            first = {x: j for j, x in reversed(list(enumerate(others)))}
+            found = [(i, first[x]) for i, x in enumerate(mine)]
         out += [(at_a[i], at_b[j]) for i, j in found]
         gone = {i for i, _ in found}
         at_a, mine = [x for i, x in enumerate(at_a) if i not in gone], [x for i, x in enumerate(mine) if i not in gone]
-    first = {x: at_b[j] for j, x in reversed(list(enumerate(others)))}
-    return out + [(i, first[x]) for i, x in zip(at_a, mine, strict=True)]
+        if not found or not at_a:
+            break
+        left = set(mine)
+        at_b, others = [j for j, x in zip(at_b, others, strict=True) if x in left], [x for x in others if x in left]
+    return out
 
 
 def aligned_blocks(mine: Lines, others: Lines) -> list[tuple[int, int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,17 @@ def bind(value: Column, body) -> Column:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where spark.checkpoint.dir is unset (tests, one machine), one in the warehouse."""
+    """The session's checkpoint folder, spark.checkpoint.dir.
+
+    Where that is unset, tasks that are threads of the driver share one in the warehouse; on a cluster it
+    must be set, since a folder of one machine isn't shared.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/checkpoints")
     return context.getCheckpointDir()
 
 

@@ -188,6 +188,100 @@ def test_alignment_of_unique_lines_is_difflibs():
         assert line_dedup.aligned_blocks(*sides) == [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
 
 
+def plain_patience(a, b):
+    """Places of the textbook's patience diff, by recursion: equal ends, the longest chain of symbols that are once
+    on either side (of the first ones, where none is), and what lies between its links.
+    """
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    anchors = once or [(i, b.index(x)) for i, x in enumerate(a) if x in b and a.index(x) == i]
+    chains = []
+    for i, j in anchors:
+        chains.append(max((c for c in chains if c[-1][1] < j), key=len, default=[]) + [(i, j)])
+    chain = max(chains, key=len, default=[])
+    if not once or not chain:
+        return chain
+    out, i0, j0 = [], 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        out += [(i0 + x, j0 + y) for x, y in plain_patience(a[i0:i], b[j0:j])] + ([(i, j)] if i < len(a) else [])
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def plain_aligned_lines(mine, others, words, min_words=5):
+    """Lines of `mine` in runs that patience diffs of runs, each of what is left, align with `others`."""
+    def runs(x, size):
+        out = []
+        for k in range(len(x)):
+            n = 1
+            while k + n <= len(x) and x[k + n - 1] and sum(size[k : k + n]) < min_words:
+                n += 1
+            whole = k + n <= len(x) and all(x[k : k + n])
+            out.append(tuple(x[k : k + n]) if whole else None)
+        return out
+
+    def size_of(x):
+        return [words[i] for i in x]
+
+    gone = set()
+    for turn in (lambda x: x, lambda x: x[::-1]):
+        a, b = turn(mine), turn(others)
+        ra, rb = runs(a, size_of(a)), runs(b, size_of(b))
+        both = {*ra} & {*rb} - {None}
+        left, rb = [k for k, r in enumerate(ra) if r in both], [r for r in rb if r in both]
+        while left:
+            found = {left[i] for i, _ in plain_patience([ra[k] for k in left], rb)}
+            if not found:
+                break
+            for k in found:
+                gone |= set(turn(range(len(mine)))[k : k + len(ra[k])])
+            left = [k for k in left if k not in found]
+    return gone
+
+
+def test_alignment_is_that_of_plain_patience():
+    rng = random.Random(15)
+    for k in range(300):
+        size = {i: rng.choice([1, 2, 3, 6]) for i in range(13)} | {0: 0}
+        a = [rng.randint(0, 12 if k % 2 else 5) for _ in range(rng.randint(0, 25))]
+        b = rng.sample(a, len(a)) if k % 3 == 0 else a[10:] + a[:10] if k % 3 == 1 else [rng.randint(0, 12) for _ in range(20)]
+        sides = [line_dedup.Lines.of(np.array(x, np.int64), np.array([size[i] for i in x], np.int64), 5) for x in (a, b)]
+        got = {i + m for i, _, n in line_dedup.aligned_blocks(*sides) for m in range(n)}
+        assert got == plain_aligned_lines(a, b, size)
+
+
+def test_one_alignment_is_that_of_plain_patience():
+    rng = random.Random(16)
+    for _ in range(500):
+        a, b = ([rng.randint(1, 9) for _ in range(rng.randint(0, 18))] for _ in range(2))
+        got = sorted(line_dedup._patience(a, b))
+        assert len({i for i, _ in got}) == len(got) and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))  # rising in both
+        x, y = (rng.sample(range(1, 25), 18) for _ in range(2))
+        assert len(line_dedup._patience(x, y)) == len(plain_patience(x, y))  # no ties but among chains of one length
+
+
+@pytest.mark.parametrize("n", [30, 200])
+def test_reversed_lists_align_run_by_run(n):
+    x = np.arange(1, n + 1)
+    sides = [line_dedup.Lines.of(y, np.full(n, 9), 5) for y in (x, x[::-1].copy())]
+    assert sorted(line_dedup.aligned_blocks(*sides)) == [(i, n - 1 - i, 1) for i in range(n)]
+
+
+def test_nothing_goes_but_by_alignment(docs, monkeypatch):
+    data = [(1, "one two three four five\nsix seven eight nine ten"), (2, "six seven eight nine ten\nan own line of this document\none two three four five")]
+    assert {r["doc_id"]: r["n_deleted"] for r in line_dedup.dedup_lines(docs(data)).collect()} == {1: 0, 2: 2}
+    sides = [line_dedup.Lines.of(np.array(x), np.full(len(x), 9), 5) for x in ([1, 2, 3, 4], [9, 1, 2, 4, 3])]
+    assert sum(n for *_, n in line_dedup.aligned_blocks(*sides)) == 4
+    monkeypatch.setattr(line_dedup, "_patience", lambda a, b: [])
+    assert line_dedup.aligned_blocks(*sides) == []
+
+
 def test_lines_go_from_the_later_document(docs):
     passage = "a passage of more than five words that repeats\nand its second line with many words too"
     data = [(1, f"first opening line is here now\n{passage}\nend"), (2, f"second document starts with this line\n{passage}"), (3, passage), (4, "short\nend"), (5, "first opening line is here now  \nits own words follow in here")]
@@ -244,13 +338,13 @@ def test_pipeline_keeps_what_is_left_in_any_script(spark, docs):
 
 
 def brute_line_dedup(data, min_words=5):
-    """Every document, one for each text of an id, against every earlier one; the order of one id's texts is given."""
+    """Every document, one for each text of an id, aligned with every earlier one by a plain patience diff; the order of one id's texts is given."""
     lines, number = {k: t.split("\n") for k, t in data}, {}
     hashes = {k: [number.setdefault(x.strip(), len(number) + 1) if re.search(r"\w", x) else 0 for x in v] for k, v in lines.items()}
     out = {}
     for i, mine in lines.items():
-        words = [len(x.split()) for x in mine]
-        gone = set().union(*(brute_blocks(hashes[i], hashes[j], words, min_words) for j in lines if j < i))
+        words = {h: len(x.split()) for j in lines for h, x in zip(hashes[j], lines[j], strict=True)}
+        gone = set().union(*(plain_aligned_lines(hashes[i], hashes[j], words, min_words) for j in lines if j < i))
         out[i] = "\n".join(x for k, x in enumerate(mine) if k not in gone)
     return out
 

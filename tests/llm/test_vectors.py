@@ -176,3 +176,21 @@ def test_screening_spares_distances(vectors, monkeypatch):
 def test_centroid_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert clusters(queries.op13_centroids(spark, sf)) == brute_clusters(rows, 16, 3, 64)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from panelforge.llm import tables
+
+    made = []
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else "w"))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables._shared_folder(session(master))
+    assert tables._shared_folder(session("yarn", "hdfs://x")) == "hdfs://x"
+    made.clear()
+    assert tables._shared_folder(session("local[4]")) == "w/checkpoints"
