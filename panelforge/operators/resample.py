@@ -6,18 +6,6 @@ import numpy as np
 import pandas as pd
 
 
-def bootstrap_indices(n: int, replicates: int, block: float, seed: int) -> np.ndarray:
-    """Stationary bootstrap: each position goes on from the one before, or starts anew with probability 1 / block."""
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n, (replicates, n))
-    anew = rng.random((replicates, n)) < 1.0 / block
-    anew[:, 0] = True
-    position = np.arange(n)
-    since = position - np.maximum.accumulate(np.where(anew, position, 0), axis=1)
-    begun = np.take_along_axis(starts, position - since, axis=1)
-    return (begun + since) % n
-
-
 def rank_correlations(x: np.ndarray, left: int, least: int) -> np.ndarray:
     """Rank correlations of the first `left` columns with the others, each pair over its own known rows; NaN where undefined."""
     out = np.full((left, x.shape[1] - left), np.nan)

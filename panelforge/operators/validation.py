@@ -7,38 +7,59 @@ from datetime import date, timedelta
 from itertools import combinations
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ic import daily_ic
-from .resample import bootstrap_indices
 
 EULER = 0.5772156649015329
 YEAR = 365
 
 
-def bootstrap_ci(daily: DataFrame, by: list[str] = ("formula",), *, value: str = "ic", replicates: int = 1000, block: float = 10.0, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """by, mean, lower, upper of daily series; each series is one group of as many rows as dates.
+def uniform(*parts: Column | int | str) -> Column:
+    """A number from 0 to below 1 by an MD5 of the parts: the same in every run, and in SQL."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
-    Fewer than ten dates give nulls, a constant series its mean three times.
+
+def bootstrap_means(daily: DataFrame, by: list[str] = ("formula",), *, value: str = "ic", replicates: int = 1000, block: float = 10.0, seed: int = 42) -> DataFrame:
+    """by, replicate, mean: means of series drawn anew by the stationary bootstrap.
+
+    A drawn series is blocks: one begins at the first position, and at any other with a probability
+    of 1 / `block`, and is the series from a random day on, around its end. So a block's sum is a difference
+    of two running sums, and only the rows at which a block begins are shuffled, a tenth of all
+    positions of all replicates.
     """
-    kinds = ", ".join(f"`{b}` {dict(daily.dtypes)[b]}" for b in by)
+    series = Window.partitionBy(*by)
+    in_order = series.orderBy("date_utc")
+    at = daily.select(*by, "date_utc", F.col(value).cast("double").alias("_v")).select(
+        *by, (F.row_number().over(in_order) - 1).alias("_t"), F.count("*").over(series).alias("_n"), F.sum("_v").over(series).alias("_total"),
+        F.coalesce(F.sum("_v").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
+    )
+    many = at.select(*by, "_t", "_n", "_total", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    begun = many.where((F.col("_t") == 0) | (uniform(seed, "anew", F.col("replicate"), F.col("_t")) < 1 / block))
+    until = F.lead("_t", 1).over(Window.partitionBy(*by, "replicate").orderBy("_t"))
+    begun = begun.withColumn("_from", F.floor(uniform(seed, "from", F.col("replicate"), F.col("_t")) * F.col("_n")).cast("int"))
+    blocks = begun.withColumn("_to", F.col("_from") + F.coalesce(until, F.col("_n")) - F.col("_t"))
+    sums = lambda t, name: at.select(*by, F.col("_t").alias(t), F.col("_before").alias(name))
+    blocks = blocks.withColumn("_end", (F.col("_to") % F.col("_n")).cast("int")).join(sums("_from", "_less"), [*by, "_from"]).join(sums("_end", "_more"), [*by, "_end"])
+    own = F.col("_more") - F.col("_less") + F.when(F.col("_to") >= F.col("_n"), F.col("_total")).otherwise(0.0)
+    return blocks.groupBy(*by, "replicate").agg((F.sum(own) / F.first("_n")).alias("mean"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("date_utc")[value].to_numpy(float)
-        if len(x) < 10:
-            found = (None, None, None)
-        elif x.std() == 0:
-            found = (x.mean(),) * 3
-        else:
-            means = x[bootstrap_indices(len(x), replicates, block, seed)].mean(1)
-            tail = (1 - level) / 2 * 100
-            found = (x.mean(), *np.percentile(means, [tail, 100 - tail]))
-        return pd.DataFrame([[*rows[list(by)].iloc[0], *found]], columns=[*by, "mean", "lower", "upper"])
 
-    return daily.select(*by, "date_utc", value).groupBy(*by).applyInPandas(run, f"{kinds}, mean double, lower double, upper double")
+def bootstrap_ci(daily: DataFrame, by: list[str] = ("formula",), *, value: str = "ic", replicates: int = 1000, block: float = 10.0, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, mean, lower, upper of daily series, by bootstrap_means().
+
+    Fewer than ten dates give nulls, a constant series its mean three times.
+    """
+    v = F.col(value).cast("double")
+    own = daily.groupBy(*by).agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), (F.min(v) == F.max(v)).alias("_constant"))
+    tail = (1 - level) / 2
+    limits = bootstrap_means(daily, by, value=value, replicates=replicates, block=block, seed=seed)
+    limits = limits.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("_limits"))
+    known = F.col("_n") >= 10
+    limit = lambda k: F.when(known & F.col("_constant"), F.col("_mean")).when(known, F.get("_limits", F.lit(k)))
+    return own.join(limits, list(by)).select(*by, F.when(known, F.col("_mean")).alias("mean"), limit(0).alias("lower"), limit(1).alias("upper"))
 
 
 def permutation_test(signals: DataFrame, ret: str, *, permutations: int = 100, seed: int = 42) -> DataFrame:
@@ -146,11 +167,51 @@ def purged_splits(n: int, groups: int, test_groups: int, *, purge: int = 0, emba
     return out
 
 
+def split_spans(spark: SparkSession, dates: DataFrame, groups: int, test_groups: int, *, purge: int = 0, embargo: int = 0) -> DataFrame:
+    """split_id, group, role, first, last: the rows first to last - 1 that each split takes of each group of dates.
+
+    What is left out are the ends of a training group: `purge` rows before a test group, `embargo`
+    rows after one. Splits and groups are parameters, so they bound the table; the number of dates is
+    one row.
+    """
+    if not 0 < test_groups < groups or purge < 0 or embargo < 0:
+        raise ValueError("needs 0 < test groups < groups, and no negative purge or embargo")
+    rows = [(k, g, g in chosen, g - 1 in chosen, g + 1 in chosen) for k, chosen in enumerate(combinations(range(groups), test_groups)) for g in range(groups)]
+    table = spark.createDataFrame(rows, "split_id int, group int, test boolean, after boolean, before boolean")
+    total = dates.agg(F.count_distinct("date_utc").alias("n"))
+    bound = lambda g: F.floor(g * F.col("n") / groups)
+    first, last = bound(F.col("group")), bound(F.col("group") + 1)
+    shrunk = table.join(F.broadcast(total)).select(
+        "split_id", "group", F.when(F.col("test"), "test").otherwise("train").alias("role"),
+        (first + F.when(~F.col("test") & F.col("after"), embargo).otherwise(0)).alias("first"), (last - F.when(~F.col("test") & F.col("before"), purge).otherwise(0)).alias("last"),
+    )
+    return shrunk.where(F.col("first") < F.col("last"))
+
+
+def split_dates(dates: DataFrame, groups: int, test_groups: int, *, purge: int = 0, embargo: int = 0) -> DataFrame:
+    """split_id, date_utc, role (train or test): the combinatorial purged splits of a table's dates.
+
+    Dates and spans meet by the group that a date is in, which its number tells.
+    """
+    spans = split_spans(dates.sparkSession, dates, groups, test_groups, purge=purge, embargo=embargo)
+    # numbers go over all dates: as many rows as there are dates
+    numbered = dates.select("date_utc").distinct().withColumn("i", F.row_number().over(Window.orderBy("date_utc")) - 1)
+    n = dates.agg(F.count_distinct("date_utc").alias("_n"))
+    grouped = numbered.join(F.broadcast(n)).withColumn("group", F.floor(((F.col("i") + 1) * groups - 1) / F.col("_n")).cast("int"))
+    return grouped.join(F.broadcast(spans), "group").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last"))).select("split_id", "date_utc", "role")
+
+
 def split_sizes(spark: SparkSession, dates: DataFrame, groups: int, test_groups: int, *, purge: int, embargo: int) -> DataFrame:
     """split_id, n_train, n_test of the dates of a table."""
-    n = dates.select("date_utc").distinct().count()
-    rows = [(k, len(a), len(b)) for k, a, b in purged_splits(n, groups, test_groups, purge=purge, embargo=embargo)]
-    return spark.createDataFrame(rows, "split_id int, n_train long, n_test long")
+    spans = split_spans(spark, dates, groups, test_groups, purge=purge, embargo=embargo)
+    size = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("last") - F.col("first"))), F.lit(0)).cast("long")
+    return spans.groupBy("split_id").agg(size("train").alias("n_train"), size("test").alias("n_test"))
+
+
+def split_measures(daily: DataFrame, splits: DataFrame, value: str = "ic", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, split_id, role, n, mean, ratio (the mean by its deviation; NULL where that is 0) of daily series over each split's dates, all in one plan."""
+    rows = daily.join(splits, "date_utc").groupBy(*by, "split_id", "role")
+    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.try_divide(F.avg(value), F.nullif(F.stddev_pop(value), F.lit(0.0))).alias("ratio"))
 
 
 def jaccard_stability(sets: DataFrame) -> DataFrame:

@@ -18,11 +18,16 @@ from .formula import Node
 from .search import Search
 
 
+#: Horizons, in days, whose decay is in the report.
+REPORTED = (1, 7, 30)
+
+
 @dataclass
 class Result:
     front: list[tuple[Node, ic.Fitness]]
     report: DataFrame  # a row of measures for each formula
     returns: DataFrame  # formula, date_utc, ret, turnover, net
+    decay: DataFrame  # formula, horizon, ic, and mean, that of all formulas at the horizon
 
 
 def prepared(panel: DataFrame, config: Config) -> DataFrame:
@@ -94,9 +99,10 @@ def measure(panel: DataFrame, front: list[tuple[Node, ic.Fitness]], config: Conf
     b, spark = config.backtest, panel.sparkSession
     trees = {f"f{k}": t for k, (t, _) in enumerate(front)}
     schema = "formula string, rank_ic double, stability double, diversity double, sharpe double, max_drawdown double, turnover double"
-    schema += "".join(f", ic_{h}d double" for h in b.decay_horizons) + ", ic_ci_lower double, ic_ci_upper double, dsr_pvalue double, is_oos_gap double, gap_alert boolean"
+    schema += "".join(f", ic_{h}d double" for h in REPORTED) + ", ic_ci_lower double, ic_ci_upper double, dsr_pvalue double, is_oos_gap double, gap_alert boolean"
+    curve = "formula string, horizon int, ic double, mean double"
     if not trees:
-        return Result(front, spark.createDataFrame([], schema), spark.createDataFrame([], "formula string, date_utc date, ret double, turnover double, net double"))
+        return Result(front, *[spark.createDataFrame([], x) for x in (schema, "formula string, date_utc date, ret double, turnover double, net double", curve)])
     wide = labelled(factors.with_factors(panel), b.horizon)
     signals = long_form(evaluate(wide, trees), list(trees), ["date_utc", "ticker", "fwd", "fwd_1"]).persist()
     of = ("formula",)
@@ -107,8 +113,8 @@ def measure(panel: DataFrame, front: list[tuple[Node, ic.Fitness]], config: Conf
         risk = {r["formula"]: r for r in risk.join(portfolio.max_drawdown(daily, "net", of), "formula").collect()}
         trials = config.search.population * config.search.generations + len(front)
         dsr = {r["formula"]: r["dsr"] for r in validation.deflated_sharpe_of(daily, trials, "net", of).collect()}
-        interval = {r["formula"]: r for r in validation.bootstrap_ci(ic.daily_ic(signals, "fwd"), replicates=b.replicates).collect()}
-        decay = {(r["formula"], r["horizon"]): r["ic"] for r in ic.ic_decay(signals, "fwd", b.decay_horizons).collect()}
+        interval = {r["formula"]: r for r in validation.bootstrap_ci(ic.daily_ic(signals, "fwd", joint=True), replicates=b.replicates).collect()}
+        decay = {(r["formula"], r["horizon"]): r["ic"] for r in ic.ic_decay(signals, "fwd", sorted({*b.decay_horizons, *REPORTED})).collect()}
         gaps = _window_gaps(spark, signals, config, {n: risk[n]["sharpe"] for n in trees})
     finally:
         signals.unpersist()
@@ -117,11 +123,13 @@ def measure(panel: DataFrame, front: list[tuple[Node, ic.Fitness]], config: Conf
         r, ci, (alert, gap) = risk[name], interval.get(name), gaps[name]
         rows.append((
             str(tree), fitness.rank_ic, fitness.stability, fitness.diversity, r["sharpe"], r["max_drawdown"], r["turnover"],
-            *[decay.get((name, h), 0.0) for h in b.decay_horizons], ci and ci["lower"], ci and ci["upper"], dsr[name], gap, alert,
+            *[decay.get((name, h), 0.0) for h in REPORTED], ci and ci["lower"], ci and ci["upper"], dsr[name], gap, alert,
         ))
     named = F.broadcast(spark.createDataFrame([(n, str(t)) for n, t in trees.items()], "_name string, formula string"))
     returns = daily.withColumnRenamed("formula", "_name").join(named, "_name").select("formula", "date_utc", "ret", "turnover", "net")
-    return Result(front, spark.createDataFrame(rows, schema), returns)
+    curves = spark.createDataFrame([(str(trees[n]), h, v) for (n, h), v in decay.items() if h in b.decay_horizons], "formula string, horizon int, ic double")
+    curves = curves.join(F.broadcast(curves.groupBy("horizon").agg(F.avg("ic").alias("mean"))), "horizon").select("formula", "horizon", "ic", "mean")
+    return Result(front, spark.createDataFrame(rows, schema), returns, curves)
 
 
 def run(panel: DataFrame, config: Config, output: str | None = None) -> Result:
@@ -132,7 +140,7 @@ def run(panel: DataFrame, config: Config, output: str | None = None) -> Result:
     finally:
         ready.unpersist()
     if output is not None:
-        meta = store.metadata(config.as_dict(), seed=config.seed, generations=config.search.generations, population=config.search.population, cost_bps=config.backtest.cost_bps)
+        meta = store.metadata(config.as_dict(), revision=store.revision(), seed=config.seed, generations=config.search.generations, population=config.search.population, cost_bps=config.backtest.cost_bps)
         store.write_front(panel.sparkSession, [(str(t), f.rank_ic, f.stability, f.diversity) for t, f in result.front], output, meta)
         store.write_diagnostics(result.report, output, meta)
     return result

@@ -10,7 +10,7 @@ import hashlib
 import random
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.factors import FACTORS
 from ..operators.ic import INFEASIBLE, Fitness, composite_fitness
+from ..sources.shared import Rounds
 from .batch import evaluate
 from .formula import MAX_NODES, Node, crossover, mutate, random_tree
 
@@ -157,11 +158,96 @@ def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFram
     return scores.join(other, both & some, "left_anti").select(key, *objectives)
 
 
+class SubtreeStore:
+    """Columns of evaluated subtrees, by SHA-256 of the subtree, beside the keys and columns of a panel.
+
+    `most` of them are kept from one batch of formulas to the next, those that were used last; only
+    nodes that aren't there are computed, over the few columns that they need, and joined to the others
+    by the panel's keys. Each batch's table is written in the shared folder, which cuts its lineage,
+    and replaces the one before.
+    """
+
+    KEYS = ("date_utc", "ticker")
+
+    def __init__(self, panel: DataFrame, ret: str, most: int = 1_000):
+        self.panel, self.ret, self.most = panel, ret, most
+        self.computed = 0  # nodes, over all batches
+        self._kept: OrderedDict[str, Node] = OrderedDict()
+        self._rounds: Rounds | None = None
+        self._table: DataFrame | None = None
+
+    @staticmethod
+    def name(tree: Node) -> str:
+        """The column of a subtree; a panel's own column keeps its name."""
+        return f"n_{hashlib.sha256(str(tree).encode()).hexdigest()[:32]}" if tree.args else tree.op
+
+    def _over_kept(self, tree: Node) -> Node:
+        """The tree with columns in place of the subtrees that are kept."""
+        if self.name(tree) in self._kept:
+            return Node(self.name(tree))
+        return replace(tree, args=tuple(map(self._over_kept, tree.args)))
+
+    def _down_to_kept(self, tree: Node) -> Iterator[Node]:
+        """Nodes that evaluating the tree takes, down to those that are kept."""
+        if tree.args:
+            yield tree
+            if self.name(tree) not in self._kept:
+                for a in tree.args:
+                    yield from self._down_to_kept(a)
+
+    def columns(self, trees: list[Node]) -> DataFrame:
+        """The panel's keys and return, and the column name(t) of each tree, as a table that later calls may replace."""
+        wanted = dict.fromkeys(n for t in trees for n in self._down_to_kept(t))
+        new = {self.name(n): self._over_kept(n) for n in wanted if self.name(n) not in self._kept}
+        if new:
+            self._add(new, wanted, {self.name(t) for t in trees if t.args})
+        for n in [*wanted, *(t for t in trees if t.args)]:
+            if self.name(n) in self._kept:
+                self._kept.move_to_end(self.name(n))
+        leaves = list(dict.fromkeys(t.op for t in trees if not t.args))
+        return self._with_panel(leaves).select(*self.KEYS, self.ret, *dict.fromkeys(map(self.name, trees)))
+
+    def _with_panel(self, columns: list[str]) -> DataFrame:
+        """The table with some columns of the panel's."""
+        if self._table is None:
+            return self.panel.select(*self.KEYS, self.ret, *[c for c in columns if c != self.ret])
+        more = [c for c in columns if c not in self._table.columns]
+        return self._table.join(self.panel.select(*self.KEYS, *more), [*self.KEYS]) if more else self._table
+
+    def _add(self, new: dict[str, Node], wanted: dict[Node, None], roots: set[str]) -> None:
+        """Computes nodes and writes the table anew; nothing is kept of nodes that fail."""
+        needed = dict.fromkeys(c for t in new.values() for c in t.columns)
+        source = self._with_panel([c for c in needed if c not in self._kept])
+        found = evaluate(source.select(*self.KEYS, *needed), new).select(*self.KEYS, *new)
+        kept = self._kept.copy()
+        for n in wanted:
+            kept[self.name(n)] = n
+            kept.move_to_end(self.name(n))
+        # the roots at hand stay, whatever `most` is
+        for name in [k for k in kept if k not in roots][: max(0, len(kept) - self.most)]:
+            del kept[name]
+        old = self._with_panel([]).select(*self.KEYS, self.ret, *[k for k in kept if k not in new])
+        self._rounds = self._rounds or Rounds(self.panel.sparkSession)
+        self._table = self._rounds.write(old.join(found.select(*self.KEYS, *[k for k in kept if k in new]), [*self.KEYS]))
+        self._kept, self.computed = kept, self.computed + len(new)
+
+    def __len__(self) -> int:
+        return len(self._kept)
+
+    def clear(self) -> None:
+        """Forgets all columns and deletes their table."""
+        self._kept.clear()
+        self._table = None
+        if self._rounds is not None:
+            self._rounds.clear()
+
+
 @dataclass
 class Search:
-    """`panel` has the factors and the forward return `ret`; it is best persisted.
+    """`panel` has the factors and the forward return `ret`, one row for each date and ticker; it is best persisted.
 
-    A formula that is known on a date which `return_dates`, if given, lacks is infeasible.
+    A formula that is known on a date which `return_dates`, if given, lacks is infeasible, as is one
+    that can't be evaluated.
     """
 
     panel: DataFrame
@@ -176,25 +262,59 @@ class Search:
     names: list[str] = field(default_factory=lambda: list(FACTORS))
     batch: int = 100
     cache: FitnessCache = field(default_factory=FitnessCache)
+    failed: set[Node] = field(default_factory=set)
+    store: SubtreeStore | None = None
+
+    def __post_init__(self):
+        if self.store is None:
+            self.store = SubtreeStore(self.panel, self.ret)
 
     def score(self, trees: list[Node], others: list[Node]) -> list[Fitness]:
-        """Fitness of all trees; what has none yet is evaluated in batches, with all `others` for diversity."""
+        """Fitness of all trees; what has none yet is evaluated in batches, with all `others` for diversity but those that failed."""
         todo = [t for t in dict.fromkeys(trees) if self.cache.get(t) is None]
-        against = {f"o{k}": t for k, t in enumerate(dict.fromkeys(others))}
+        against = [t for t in dict.fromkeys(others) if t not in self.failed]
+        found: dict[Node, Fitness] = {}
         for a in range(0, len(todo), self.batch):
-            part = todo[a : a + self.batch]
-            names = {f"f{k}": t for k, t in enumerate(part)}
-            wide = evaluate(self.panel, names | against).select("date_utc", self.ret, *names, *against).persist()
-            found = {r["formula"]: r for r in composite_fitness(wide, self.ret, list(names), list(against), self.return_dates).collect()}
+            found |= self._isolated(todo[a : a + self.batch], against)
+        for tree, fitness in found.items():
+            self.cache.put(tree, fitness)
+        return [found.get(t) or self.cache.get(t) for t in trees]
+
+    def _isolated(self, part: list[Node], against: list[Node]) -> dict[Node, Fitness]:
+        """Fitness of each of a batch. One that fails is halved until the formula that it fails for stands alone, which is
+        then infeasible: for one of n formulas that takes 2 log n further batches. If the panel itself can't be read, that is raised.
+        """
+        try:
+            return self._batch(part, against)
+        except Exception:
+            if len(part) > 1:
+                half = len(part) // 2
+                return self._isolated(part[:half], against) | self._isolated(part[half:], against)
+            self.panel.write.format("noop").mode("overwrite").save()
+            self.failed.add(part[0])
+            return {part[0]: Fitness(*INFEASIBLE)}
+
+    def _batch(self, part: list[Node], against: list[Node]) -> dict[Node, Fitness]:
+        own = {SubtreeStore.name(t): t for t in part}
+        wide = self.store.columns([*part, *against])
+        # a formula may be one of the others: columns of its own keep their names apart
+        beside = {f"_other{k}": SubtreeStore.name(t) for k, t in enumerate(against)}
+        wide = wide.select(*SubtreeStore.KEYS, self.ret, *own, *[F.col(c).alias(k) for k, c in beside.items()]).persist()
+        try:
+            rows = composite_fitness(wide, self.ret, list(own), list(beside), self.return_dates).collect()
+        finally:
             wide.unpersist()
-            for name, tree in names.items():
-                r = found.get(name)
-                values = (r["rank_ic"], r["stability"], r["diversity"]) if r else INFEASIBLE
-                self.cache.put(tree, Fitness(*values))
-        return [self.cache.get(t) for t in trees]
+        found = {r["formula"]: Fitness(r["rank_ic"], r["stability"], r["diversity"]) for r in rows}
+        return {t: found.get(name, Fitness(*INFEASIBLE)) for name, t in own.items()}
 
     def run(self) -> list[tuple[Node, Fitness]]:
         """The Pareto front after all generations; equal seeds give equal fronts."""
+        try:
+            return self._run()
+        finally:
+            self.store.clear()
+
+    def _run(self) -> list[tuple[Node, Fitness]]:
         rng = random.Random(self.seed)
         trees = [random_tree(rng, names=self.names) for _ in range(self.population)]
         fitness = self.score(trees, [Node(n) for n in self.names])

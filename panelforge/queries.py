@@ -469,9 +469,15 @@ def i_decay(spark, d):
     return rounded(ic.ic_decay(one(signals(spark, d), "s"), "r7", _HORIZONS), ["horizon"], "ic")
 
 
-@query()
+_ALL_DECAY = " union all ".join(f"select {h} as horizon, date_utc, ic from ic{h}" for h in _HORIZONS)
+
+
+@query(f"""
+with {O.SIGNALS}, {_DECAY}, h as ({_ALL_DECAY}), m as (select horizon, avg(ic) as ic from h group by 1), {O.bootstrap("h", "horizon", 200)}
+select horizon, {", ".join(f"round(coalesce({c}, ic, 0), 6) + 0.0 as {c}" for c in ("mean", "lower", "upper"))}
+from (values {", ".join(f"({h})" for h in _HORIZONS)}) as v(horizon) left join m using (horizon) left join bounds using (horizon)""")
 def i_decay_ci(spark, d):
-    """The decay with bootstrap intervals; tests hold them against numpy."""
+    """The decay with bootstrap intervals."""
     return rounded(ic.ic_decay_ci(one(signals(spark, d), "s"), "r7", _HORIZONS), ["horizon"], "mean", "lower", "upper")
 
 
@@ -518,9 +524,14 @@ def i_guard_envelope(spark, d):
 
 # --- validation and search ----------------------------------------------------------------------
 
-@query()
+@query(f"""
+with {O.SIGNALS}, {O.daily_ic('s', 'r7', joint=True, name='a')}, {O.daily_ic('ls', 'r7', joint=True, name='b')},
+u as (select 's' as formula, * from a union all select 'ls', * from b), {O.bootstrap("u", "formula", 1000)}
+select formula, round(mean, 6) + 0.0 as mean, round(lower, 6) + 0.0 as lower, round(upper, 6) + 0.0 as upper from bounds""")
 def v_bootstrap_ci(spark, d):
-    return validation.bootstrap_ci(ic.daily_ic(one(signals(spark, d), "s"), "r7", joint=True))
+    """Of two signals' rank correlations, one of which has gaps."""
+    rows = long_form(signals(spark, d), ["s", "ls"], ["date_utc", "r7"])
+    return rounded(validation.bootstrap_ci(ic.daily_ic(rows, "r7", joint=True)), ["formula"], "mean", "lower", "upper")
 
 
 _PERM = f"""{O.SIGNALS}, f as (select date_utc, ticker, s as x, r1 as r, row_number() over (partition by date_utc order by ticker) as k from sig where s is not null and r1 is not null),
@@ -592,6 +603,32 @@ def v_cpcv(spark, d):
     return validation.split_sizes(spark, brand_panel(spark, d), 6, 2, purge=7, embargo=3)
 
 
+#: The splits by comparing every date with every group's bounds.
+_ROLES = """
+n as (select count(distinct date_utc) as n from panel), days as (select date_utc, row_number() over (order by date_utc) - 1 as i from (select distinct date_utc from panel)),
+g as (select g, g * n // 6 as a, (g + 1) * n // 6 as b, n from n, unnest(range(6)) as u(g)),
+c as (select row_number() over (order by x.g, y.g) - 1 as split_id, x.g as i, y.g as j from g x join g y on x.g < y.g),
+roles as (
+  select split_id::int as split_id, date_utc, case when g.g in (c.i, c.j) then 'test' else 'train' end as role from c, g join days on days.i >= g.a and days.i < g.b
+  where g.g in (c.i, c.j) or not (g.g - 1 in (c.i, c.j) and days.i < g.a + 3 or g.g + 1 in (c.i, c.j) and days.i >= g.b - 7))"""
+
+
+@query(f"with {O.PANEL}, {_ROLES} select split_id, date_utc, role from roles")
+def v_cpcv_dates(spark, d):
+    """Which dates each purged split trains on and tests on."""
+    return validation.split_dates(brand_panel(spark, d), 6, 2, purge=7, embargo=3)
+
+
+@query(f"""
+with {O.SIGNALS}, {_ROLES}, {O.daily_ic('s', 'r7', joint=True)}
+select split_id, role, count(ic) as n, round(avg(ic), 6) + 0.0 as mean, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) + 0.0 as ratio from ic join roles using (date_utc) group by 1, 2""")
+def v_cpcv_ic(spark, d):
+    """The rank correlation of a signal over each split's training and test dates."""
+    s = signals(spark, d)
+    splits = validation.split_dates(s, 6, 2, purge=7, embargo=3)
+    return rounded(validation.split_measures(ic.daily_ic(one(s, "s"), "r7", joint=True), splits), ["split_id", "role", "n"], "mean", "ratio")
+
+
 @query("""
 with i as (select distinct l_suppkey as id, l_partkey as item from lineitem), s as (select id, count(*) as n from i group by 1),
 p as (select a.id as i, b.id as j, count(*) as n_both from i a join i b on a.item = b.item and a.id < b.id group by 1, 2)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -184,6 +186,15 @@ def synthetic_panel(spark: SparkSession, *, tickers: int = 50, days: int = 365,
     )
 
 
+def revision(folder: str | None = None) -> str:
+    """The commit of the checkout that holds this code, or `folder`; "unknown" where there is none."""
+    try:
+        found = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder or os.path.dirname(os.path.abspath(__file__)), capture_output=True, text=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+    return found.stdout.strip() or "unknown"
+
+
 def metadata(config: dict, *, seed: int, generations: int, population: int, revision: str = "unknown", cost_bps: float = 0.0) -> dict:
     """What belongs beside a result: seed, sizes, units, time, and a digest of the sorted configuration."""
     digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]

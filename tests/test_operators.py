@@ -1,5 +1,6 @@
 """Known answers of the panel operators."""
 
+import hashlib
 import json
 import math
 import os
@@ -160,6 +161,26 @@ def test_purged_splits(groups, k, n):
     assert all(not set(a) & set(b) for _, a, b in splits)
 
 
+@pytest.mark.parametrize(("n", "groups", "k", "purge", "embargo"), [(120, 6, 2, 7, 3), (61, 5, 1, 0, 0), (23, 7, 3, 4, 2), (10, 10, 2, 1, 1), (37, 4, 3, 50, 50)])
+def test_splits_as_a_table_are_those_of_the_lists(spark, n, groups, k, purge, embargo):
+    days = [DAY + timedelta(days=3 * d) for d in range(n)]
+    df = spark.createDataFrame([(d,) for d in days for _ in range(2)], "date_utc date")
+    got = {}
+    for r in validation.split_dates(df, groups, k, purge=purge, embargo=embargo).collect():
+        got.setdefault((r["split_id"], r["role"]), []).append(days.index(r["date_utc"]))
+    lists = validation.purged_splits(n, groups, k, purge=purge, embargo=embargo)
+    assert {key: sorted(v) for key, v in got.items()} == {(s, role): rows for s, a, b in lists for role, rows in (("train", a), ("test", b)) if rows}
+    sizes = {r["split_id"]: (r["n_train"], r["n_test"]) for r in validation.split_sizes(spark, df, groups, k, purge=purge, embargo=embargo).collect()}
+    assert sizes == {s: (len(a), len(b)) for s, a, b in lists}
+
+
+def test_measures_of_splits(spark):
+    days = [DAY + timedelta(days=d) for d in range(12)]
+    daily = spark.createDataFrame([(d, float(k)) for k, d in enumerate(days)], "date_utc date, ic double")
+    got = {(r["split_id"], r["role"]): (r["n"], r["mean"]) for r in validation.split_measures(daily, validation.split_dates(daily, 3, 1, purge=1)).collect()}
+    assert got == {(0, "test"): (4, 1.5), (0, "train"): (8, 7.5), (1, "test"): (4, 5.5), (1, "train"): (7, 41 / 7), (2, "test"): (4, 9.5), (2, "train"): (7, 3.0)}
+
+
 def test_walk_forward_windows():
     w = validation.walk_forward_windows(date(2023, 1, 1), date(2024, 12, 31), inside=365, outside=90, step=90)
     assert 3 <= len(w) <= 5 and all((c - b).days >= 7 for _, _, b, c, _ in w)
@@ -299,25 +320,59 @@ def test_pair_correlations_are_those_of_joint_ranks(spark):
         assert got[x, y] == pytest.approx(expected)
 
 
+def plain_bootstrap(series, replicates, block=10.0, seed=42):
+    """Means of the series drawn anew, position by position."""
+    def u(*parts):
+        return int(hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:13], 16) / 2**52
+
+    n, out = len(series), []
+    for k in range(1, replicates + 1):
+        total, at = 0.0, 0
+        for t in range(n):
+            at = int(u("from", k, t) * n) if t == 0 or u("anew", k, t) < 1 / block else (at + 1) % n
+            total += series[at]
+        out.append(total / n)
+    return out
+
+
 def test_decay_intervals_are_the_bootstraps(spark):
     import numpy as np
 
-    from panelforge.operators.resample import bootstrap_indices
-
     rng = random.Random(5)
     rows = [("f", DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 1)) for d in range(25) for t in range(12)]
     df = spark.createDataFrame(rows, "formula string, date_utc date, ticker string, x double, r double")
     got = {r["horizon"]: r for r in ic.ic_decay_ci(df, "r", [1, 3, 20, 30]).collect()}
     plain = {r["horizon"]: r["ic"] for r in ic.ic_decay(df, "r", [1, 3, 20, 30]).collect()}
     for h in (1, 3):
-        series = np.array([r["ic"] for r in ic.horizon_ic(df, "r", [h]).orderBy("date_utc").collect()])
-        means = series[bootstrap_indices(len(series), 200, 10.0, 42)].mean(1)
-        assert (got[h]["mean"], got[h]["lower"], got[h]["upper"]) == pytest.approx((series.mean(), *np.percentile(means, [2.5, 97.5])))
-        assert plain[h] == pytest.approx(series.mean())
+        series = [r["ic"] for r in ic.horizon_ic(df, "r", [h]).orderBy("date_utc").collect()]
+        assert (got[h]["mean"], got[h]["lower"], got[h]["upper"]) == pytest.approx((np.mean(series), *np.percentile(plain_bootstrap(series, 200), [2.5, 97.5])))
+        assert plain[h] == pytest.approx(np.mean(series))
     assert got[20]["lower"] == got[20]["upper"] == got[20]["mean"] == pytest.approx(plain[20])  # five dates
     assert tuple(got[30][k] for k in ("mean", "lower", "upper")) == (0, 0, 0)
 
 
+@pytest.mark.parametrize("block", [1.0, 3.0, 10.0, 1e9])
+def test_drawn_series_have_the_means_of_plain_python(spark, block):
+    rng = random.Random(8)
+    series = {"a": [rng.gauss(0, 1) for _ in range(40)], "b": [rng.gauss(0, 1) for _ in range(11)], "c": [2.5]}
+    df = spark.createDataFrame([(k, DAY + timedelta(days=d), v) for k, x in series.items() for d, v in enumerate(x)], "formula string, date_utc date, ic double")
+    got = {}
+    for r in validation.bootstrap_means(df, replicates=30, block=block, seed=7).collect():
+        got.setdefault(r["formula"], {})[r["replicate"]] = r["mean"]
+    for k, x in series.items():
+        assert [got[k][i] for i in range(1, 31)] == pytest.approx(plain_bootstrap(x, 30, block, 7))
+
+
+def test_intervals_cover_the_mean_and_widen_with_the_level(spark):
+    rng = random.Random(9)
+    rows = [("noise", DAY + timedelta(days=d), rng.gauss(0.1, 0.2)) for d in range(60)] + [("flat", DAY + timedelta(days=d), 0.25) for d in range(12)] + [("short", DAY, 0.5)]
+    df = spark.createDataFrame(rows, "formula string, date_utc date, ic double")
+    wide, narrow = ({r["formula"]: r for r in validation.bootstrap_ci(df, replicates=200, level=x).collect()} for x in (0.95, 0.5))
+    assert wide["noise"]["lower"] < narrow["noise"]["lower"] < wide["noise"]["mean"] < narrow["noise"]["upper"] < wide["noise"]["upper"]
+    assert (wide["flat"]["mean"], wide["flat"]["lower"], wide["flat"]["upper"]) == (0.25, 0.25, 0.25) and wide["short"]["mean"] is wide["short"]["lower"] is None
+    assert validation.bootstrap_ci(df.limit(0)).count() == 0
+
+
 def test_spans_of_windows_start_without_turnover(spark):
     rng = random.Random(2)
     rows = [(DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 0.01)) for d in range(30) for t in range(10)]
@@ -355,6 +410,81 @@ def test_search_is_seeded(spark):
     assert run() == run()
 
 
+def noise_panel(spark, days=14, tickers=12):
+    rng = random.Random(1)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for d in range(days) for t in range(tickers)]
+    return spark.createDataFrame(rows, "date_utc date, ticker string, MOM_1D double, VOL_30D double, r double").persist()
+
+
+def test_a_formula_that_fails_is_alone_infeasible(spark):
+    rng = random.Random(4)
+    good = list(dict.fromkeys(P.random_tree(rng, 1, 2, ["MOM_1D", "VOL_30D"]) for _ in range(90)))[:49]
+    bad = P.Node("rank", (P.Node("NOT_THERE"),))
+    s = search.Search(noise_panel(spark), "r")
+    batches, inner = [], s._batch
+    s._batch = lambda part, against: batches.append(len(part)) or inner(part, against)
+    got = s.score([*good[:20], bad, *good[20:]], [P.Node("MOM_1D")])
+    assert got[20] == ic.Fitness(*ic.INFEASIBLE) and s.failed == {bad} and s.cache.get(bad) == got[20]
+    assert len(batches) == 1 + 2 * 6 or len(batches) == 1 + 2 * 5  # halves of 50 down to one
+    alone = search.Search(s.panel, "r").score(good, [P.Node("MOM_1D")])
+    flat = lambda fs: [v for f in fs for v in (f.rank_ic, f.stability, f.diversity)]
+    assert flat(got[:20] + got[21:]) == pytest.approx(flat(alone))
+    # what failed isn't one of the others, and isn't tried again
+    n = len(batches)
+    assert s.score([P.parse("rank(rank(rank(MOM_1D)))"), bad], [bad, good[0]])[0].feasible and len(batches) == n + 1
+
+
+def test_one_that_fails_while_it_runs(spark, monkeypatch):
+    from panelforge.plans import batch
+
+    monkeypatch.setitem(batch.BY_DATE, "winsor", lambda x: F.raise_error(F.lit("no such thing")).cast("double"))
+    s = search.Search(noise_panel(spark), "r")
+    got = s.score([P.parse("rank(MOM_1D)"), P.parse("winsor(MOM_1D)"), P.parse("zscore(MOM_1D)")], [P.Node("VOL_30D")])
+    assert [f.feasible for f in got] == [True, False, True]
+    assert len(s.store) == 2
+
+
+def test_a_lost_panel_is_no_formulas_fault(spark):
+    panel = noise_panel(spark).withColumn("MOM_1D", F.raise_error(F.lit("gone")).cast("double"))
+    with pytest.raises(Exception, match="gone"):
+        search.Search(panel, "r").score([P.parse("rank(MOM_1D)")], [])
+
+
+def test_later_generations_compute_new_nodes_only(spark):
+    s = search.Search(noise_panel(spark), "r")
+    first = [P.parse(t) for t in ("rank(ts_mean(MOM_1D, W_7))", "zscore(add(MOM_1D, VOL_30D))")]
+    s.score(first, [P.Node("MOM_1D")])
+    assert s.store.computed == 4 and len(s.store) == 4
+    second = [P.parse(t) for t in ("winsor(ts_mean(MOM_1D, W_7))", "zscore(ts_mean(MOM_1D, W_7))", "mul(VOL_30D, zscore(add(MOM_1D, VOL_30D)))")]
+    got = s.score(second, first)
+    assert s.store.computed == 7  # one each; the others' own columns are there
+    s.score([P.parse("ts_mean(MOM_1D, W_7)")], second)
+    assert s.store.computed == 7
+    fresh = search.Search(s.panel, "r").score(second, first)
+    flat = lambda fs: [v for f in fs for v in (f.rank_ic, f.stability, f.diversity)]
+    assert flat(got) == pytest.approx(flat(fresh))
+    paths = os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    s.store.clear()
+    assert len(s.store) == 0 and len(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))) == len(paths) - 1
+
+
+def test_the_store_forgets_what_was_used_longest_ago(spark):
+    store = search.SubtreeStore(noise_panel(spark), "r", most=3)
+    a, b, c = (P.parse(t) for t in ("rank(MOM_1D)", "zscore(winsor(MOM_1D))", "rank(VOL_30D)"))
+    store.columns([a])
+    store.columns([b])
+    store.columns([a])
+    assert store.computed == 3
+    store.columns([c])  # in place of winsor(MOM_1D)
+    store.columns([a, b])
+    assert store.computed == 4 and len(store) == 3
+    got = store.columns([b, c, P.Node("MOM_1D")])
+    assert got.columns == ["date_utc", "ticker", "r", *map(store.name, (b, c)), "MOM_1D"] and got.count() == 14 * 12
+    d = P.parse("winsor(MOM_1D)")
+    store.columns([d])
+    assert store.computed == 5 and len(store) == 3
+
+
 def fake_fetch(symbol, cursor):
     at = cursor or 0
     return [{"t": at + i, "v": float(i)} for i in range(3)], (at + 3 if at < 6 else None)
@@ -460,6 +590,86 @@ def test_measures_of_given_formulas(spark, sf):
     assert list(both["zscore(MOM_7D)"])[1:] == pytest.approx(list(row)[1:], nan_ok=True)
 
 
+REPORT = ["formula", "rank_ic", "stability", "diversity", "sharpe", "max_drawdown", "turnover", "ic_1d", "ic_7d", "ic_30d", "ic_ci_lower", "ic_ci_upper", "dsr_pvalue", "is_oos_gap", "gap_alert"]
+
+
+def test_a_report_row_is_that_of_the_panel(spark, sf):
+    """Every measure of a formula with gaps, from the panel's rows by pandas."""
+    import numpy as np
+    import pandas as pd
+
+    from panelforge.operators import factors
+    from panelforge.operators.panel import brand_panel
+    from panelforge.plans.batch import evaluate
+
+    tree, c = P.parse("rank(LS_RATIO)"), Config()
+    result = runner.measure(brand_panel(spark, sf), [(tree, ic.Fitness(0.2, 1.0, 1.0))], c)
+    assert result.report.columns == REPORT
+    got = result.report.first()
+    wide = evaluate(runner.labelled(factors.with_factors(brand_panel(spark, sf)), 7), {"x": tree})
+    rows = wide.select("date_utc", "ticker", "x", "fwd", "fwd_1").toPandas().sort_values(["ticker", "date_utc"])
+
+    def rank_ic(x, r, joint=True):
+        out = {}
+        for day, g in pd.DataFrame({"d": rows["date_utc"], "x": x, "r": r}).groupby("d"):
+            both = g.dropna()
+            if joint:
+                a, b, enough = both["x"].rank(), both["r"].rank(), len(both) >= 10
+            else:
+                a, b, enough = g["x"].rank()[both.index], g["r"].rank()[both.index], g["x"].count() >= 10
+            if enough and a.std() and b.std():
+                out[day] = np.corrcoef(a, b)[0, 1]
+        return pd.Series(out, dtype=float).sort_index()
+
+    def interval(series):
+        return tuple(np.percentile(plain_bootstrap(list(series), c.backtest.replicates), [2.5, 97.5])) if len(series) >= 10 else (None, None)
+
+    lower, upper = interval(rank_ic(rows["x"], rows["fwd"]))
+    assert (got["ic_ci_lower"], got["ic_ci_upper"]) == (lower, upper) or (got["ic_ci_lower"], got["ic_ci_upper"]) == pytest.approx((lower, upper))
+    for h in (1, 7, 30):
+        far = rank_ic(rows["x"], rows.groupby("ticker")["fwd"].shift(-h), joint=False)
+        assert got[f"ic_{h}d"] == pytest.approx(far.mean() if len(far) else 0.0)
+    by = rows.groupby("date_utc")["x"]
+    up, down = rows["x"] >= by.transform(lambda v: v.quantile(0.9)), rows["x"] <= by.transform(lambda v: v.quantile(0.1))
+    rows["up"], rows["down"] = up, down
+    n_up, n_down = (rows.groupby("date_utc")[k].transform("sum") for k in ("up", "down"))
+    rows["w"] = np.where(down, -1 / n_down.clip(lower=1), np.where(up, 1 / n_up.clip(lower=1), 0.0))
+    rows["k"] = rows["date_utc"].rank(method="dense")
+    last = rows.groupby("ticker")[["k", "w"]].shift(1)
+    rows["moved"] = np.where(last["k"] == rows["k"] - 1, (rows["w"] - last["w"]).abs(), np.nan)
+    daily = rows.assign(p=rows["w"] * rows["fwd_1"]).groupby("date_utc")[["p", "moved"]].sum()
+    net = daily["p"] - daily["moved"] * c.backtest.cost_bps / 1e4
+    sharpe = net.mean() / net.std(ddof=0) * math.sqrt(365)
+    curve = (1 + net).cumprod()
+    assert (got["sharpe"], got["turnover"]) == pytest.approx((sharpe, daily["moved"].mean()))
+    assert got["max_drawdown"] == pytest.approx((curve / curve.cummax() - 1).min())
+    centred = net - net.mean()
+    skew, kurtosis = (centred**3).mean() / net.std(ddof=0) ** 3, (centred**4).mean() / net.std(ddof=0) ** 4 - 3
+    assert got["dsr_pvalue"] == pytest.approx(validation.deflated_sharpe(sharpe, 100 * 50 + 1, len(net), skew, kurtosis))
+    assert [(r["formula"], r["horizon"]) for r in result.decay.orderBy("horizon").collect()] == [(str(tree), h) for h in c.backtest.decay_horizons]
+
+
+def test_the_interval_is_that_of_pairs_matched_first(spark):
+    """Where a signal has gaps, ranks within the pairs differ from ranks over all; the report takes the former."""
+    from panelforge.plans.batch import evaluate  # noqa: F401
+
+    rng = random.Random(3)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", *[rng.gauss(0, 1) for _ in range(2)]) for d in range(40) for t in range(24)]
+    rows = [(d, t, x if rng.random() < 0.7 else None, r if rng.random() < 0.7 else None) for d, t, x, r in rows]
+    df = spark.createDataFrame(rows, "date_utc date, ticker string, x double, fwd double").withColumn("formula", F.lit("f"))
+    one, other = (validation.bootstrap_ci(ic.daily_ic(df, "fwd", joint=j), replicates=100).first() for j in (True, False))
+    assert one["lower"] != pytest.approx(other["lower"], abs=1e-4)
+
+
+def test_revision_of_a_checkout(tmp_path):
+    assert store.revision(str(tmp_path)) == "unknown"
+    run = lambda *args: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *args], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.strip()
+    run("init", "-q")
+    assert store.revision(str(tmp_path)) == "unknown"
+    run("commit", "--allow-empty", "-qm", "x")
+    assert store.revision(str(tmp_path)) == run("rev-parse", "HEAD")
+
+
 def test_tournaments_prefer_fit_and_small_trees():
     trees = [P.parse("MOM_1D"), P.parse("rank(rank(MOM_1D))")]
     won = search.double_tournament(random.Random(1), trees, [ic.Fitness(1, 0, 0), ic.Fitness(0, 0, 0)], 200)
