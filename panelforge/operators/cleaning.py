@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -128,3 +128,19 @@ def missing_days(present: DataFrame, *, start: str, end: str, keys: list[str]) -
 def first_available(present: DataFrame, keys: list[str]) -> DataFrame:
     return present.groupBy(*keys).agg(F.min("date_utc").alias("first_date"), F.max("date_utc").alias("last_date"), F.count_distinct("date_utc").alias("n_dates"))
 
+
+def day_spans(days: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
+    """keys, first_day, last_day, n_days: maximal runs of days that follow each other, of the days of each key.
+
+    Days less their number in order are the same throughout a run. Repeated days count once; a null one makes none.
+    """
+    d = F.col(day).cast("date")
+    rows = days.select(*keys, d.alias("_day")).where(F.col("_day").isNotNull()).distinct()
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_day"))
+    runs = rows.withColumn("_run", F.date_sub("_day", number)).groupBy(*keys, "_run")
+    return runs.agg(F.min("_day").alias("first_day"), F.max("_day").alias("last_day"), F.count("*").alias("n_days")).drop("_run")
+
+
+def span_days(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, day: the days of spans (keys, first_day, last_day)."""
+    return spans.select(*keys, F.explode(F.sequence("first_day", "last_day")).alias("day"))

@@ -15,6 +15,7 @@ from .plans import search
 from .plans.batch import evaluate, long_form
 from .plans.formula import BINARY, parse
 from .sources import store
+from .sources.probe import first_days
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -203,6 +204,30 @@ def s_availability(spark, d):
     return cleaning.first_available(e, ["user_id"])
 
 
+@query("""
+with e as (select distinct user_id, ts::date as day from events), u as (select distinct user_id from e),
+days as (select unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day))::date as day),
+gaps as (select user_id, day from u cross join days anti join e using (user_id, day)),
+marked as (select *, case when lag(day) over (partition by user_id order by day) = day - 1 then 0 else 1 end as anew from gaps),
+runs as (select *, sum(anew) over (partition by user_id order by day) as run from marked)
+select user_id, min(day) as first_day, max(day) as last_day, count(*) as n_days from runs group by user_id, run""")
+def s_missing_spans(spark, d):
+    """Runs of missing days, which one request each can ask for."""
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("date_utc"))
+    return cleaning.day_spans(cleaning.missing_days(e, start="2024-01-01", end="2024-01-30", keys=["user_id"]), ["user_id"], "date_utc")
+
+
+@query("select user_id || '/' || event_type as symbol, min(ts::date) as first_day from events group by 1")
+def s_first_days(spark, d):
+    """The first day of each user's events of a type, found by probes of spans of days."""
+    stored = table(spark, d, "events").select(F.concat_ws("/", "user_id", "event_type").alias("symbol"), F.to_date("ts").alias("day"))
+
+    def probe(spans):
+        return spans.join(stored, "symbol").where(F.col("day").between(F.col("first_day"), F.col("last_day")))
+
+    return first_days(stored.select("symbol"), probe, "2023-11-01", "2024-01-31").select("symbol", "first_day")
+
+
 def _records(spark, d):
     """Records as a source would send them, made of events: epoch milliseconds and numbers as text."""
     e = table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))

@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import day_spans
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at a path of any file system that Spark reads."""
@@ -70,9 +71,14 @@ class MarketStore:
         """Records (symbol, day) for which a source confirmed that there is nothing."""
         days.select("symbol", "day", F.lit(source).alias("source"), F.current_timestamp().alias("marked_at")).write.mode("append").parquet(f"{self.root}/empty_days")
 
-    def fill(self, source: str, start: str, end: str, read, *, at: str, symbol: str = "symbol", symbols: list[str] | DataFrame | None = None) -> int:
+    def missing_spans(self, source: str, start: str, end: str, symbols: list[str] | DataFrame | None = None, *, ttl_hours: int = 24) -> DataFrame:
+        """symbol, first_day, last_day, n_days: the maximal spans of missing() days, each of which one request can ask for."""
+        return day_spans(self.missing(source, start, end, symbols, ttl_hours=ttl_hours), ["symbol"])
+
+    def fill(self, source: str, start: str, end: str, read, *, at: str, symbol: str = "symbol", symbols: list[str] | DataFrame | None = None, spans: bool = False) -> int:
         """Reads what is missing by `read(days)` (days: symbol, day), stores it, and marks days that had nothing.
 
+        With `spans`, `read` gets missing_spans() instead, so that it asks once for days in a row.
         Returns the number of days that were missing. If `read` fails, nothing is marked, so that
         only confirmed gaps are.
         """
@@ -80,7 +86,7 @@ class MarketStore:
         try:
             n = gaps.count()
             if n:
-                rows = read(gaps).persist()
+                rows = read(day_spans(gaps, ["symbol"]) if spans else gaps).persist()
                 found = rows.select(F.col(symbol).alias("symbol"), F.to_date(at).alias("day")).distinct()
                 self.mark_empty(gaps.join(found, ["symbol", "day"], "left_anti"), source)
                 if not rows.isEmpty():

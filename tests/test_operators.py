@@ -20,6 +20,7 @@ from panelforge.plans import formula as P
 from panelforge.plans import runner, search
 from panelforge.plans.batch import evaluate
 from panelforge.sources import rest, store
+from panelforge.sources.probe import first_days
 from panelforge.streaming import ingest
 
 DAY = date(2024, 1, 1)
@@ -262,6 +263,45 @@ def test_a_failed_read_marks_nothing(spark, tmp_path):
     assert s.missing("oi", "2024-01-01", "2024-01-02", ["BTC"]).count() == 2
 
 
+def test_spans_are_asked_for_once(spark, tmp_path):
+    s = store.MarketStore(spark, str(tmp_path / "s"))
+    have = [("BTC", DAY + timedelta(days=d), 1.0) for d in (0, 4, 5)] + [("ETH", DAY + timedelta(days=9), 1.0)]
+    s.store(spark.createDataFrame(have, "symbol string, at date, v double"), "oi", at="at")
+    asked = []
+
+    def read(spans):
+        asked.extend((r["symbol"], (r["first_day"] - DAY).days, (r["last_day"] - DAY).days, r["n_days"]) for r in spans.collect())
+        rows = cleaning.span_days(spans, ["symbol"]).where("symbol = 'BTC'")  # nothing for the others
+        return rows.select("symbol", F.col("day").alias("at"), F.lit(2.0).alias("v"))
+
+    days = ("2024-01-01", "2024-01-10")
+    assert s.fill("oi", *days, read, at="at", symbols=["BTC", "ETH", "NEW"], spans=True) == 7 + 9 + 10
+    assert sorted(asked) == [("BTC", 1, 3, 3), ("BTC", 6, 9, 4), ("ETH", 0, 8, 9), ("NEW", 0, 9, 10)]
+    assert s.missing_spans("oi", *days, ["BTC", "ETH", "NEW"]).count() == 0 and s.load_range("oi", *days, "BTC").count() == 10
+    rows = spark.createDataFrame([("A", DAY), ("A", DAY), ("A", None), ("A", DAY + timedelta(days=1)), ("B", DAY)], "k string, day date")
+    assert {(r["k"], r["n_days"]) for r in cleaning.day_spans(rows, ["k"]).collect()} == {("A", 2), ("B", 1)}
+
+
+def test_first_days_take_few_probes(spark):
+    rng = random.Random(2)
+    days = {f"S{k:02d}": sorted(rng.sample(range(rng.randrange(300), 400), rng.choice([1, 3, 40]))) for k in range(30)} | {"NONE": [], "LATE": [399], "EARLY": [0, 399]}
+    rows = spark.createDataFrame([(s, DAY + timedelta(days=d)) for s, x in days.items() for d in x], "symbol string, day date").persist()
+    asked = []
+
+    def probe(spans):
+        asked.extend((r["symbol"], r["first_day"], r["last_day"]) for r in spans.collect())
+        return spans.join(rows, "symbol").where(F.col("day").between(F.col("first_day"), F.col("last_day")))
+
+    symbols = spark.createDataFrame([(s,) for s in [*days, "EARLY", None]], "symbol string")
+    got = {r["symbol"]: r for r in first_days(symbols, probe, "2024-01-01", str(DAY + timedelta(days=399))).collect()}
+    assert {s: r["first_day"] for s, r in got.items()} == {s: DAY + timedelta(days=x[0]) if x else None for s, x in days.items()}
+    most = math.log2(400 / 7 + 1) + math.log2(400) + 2
+    for s, r in got.items():
+        assert r["probes"] == sum(a == s for a, _, _ in asked) <= most
+    assert got["NONE"]["probes"] <= 7 and all(a <= b for _, a, b in asked)
+    assert first_days(symbols.limit(0), probe, "2024-01-01", "2024-02-01").count() == 0
+
+
 def test_stored_instants_are_unique(spark, tmp_path):
     s = store.MarketStore(spark, str(tmp_path / "d"))
     s.store(spark.createDataFrame([("BTC", DAY, 1.0)] * 3, "symbol string, at date, v double"), "oi", at="at")
