@@ -5,14 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .panel import KEYS, LookaheadBiasError
-from .resample import rank_correlations
 
 LEAST = 10
 INFEASIBLE = (-99.0, -99.0, 0.0)
@@ -103,23 +100,58 @@ def ic_decay_ci(signals: DataFrame, ret: str, horizons: list[int], *, replicates
     return out.select("formula", "horizon", *[F.coalesce(c, "_mean", F.lit(0.0)).alias(c) for c in ("mean", "lower", "upper")])
 
 
-def _correlations(wide: DataFrame, names: list[str], others: list[str], least: int) -> DataFrame:
-    """a, b, corr (the absolute mean over dates) of all names with all others that share a date.
+#: Rows of a date whose products one task sums.
+BLOCK = 4_096
+
 
-    A date's rows are one group: its columns are ranked once, and only those of pairs whose known
-    rows differ are ranked again for the rows that both know.
+def _meetings(rows: DataFrame, first_other: int, least: int) -> DataFrame:
+    """date_utc, left, right, at: for each date and each two patterns of known rows, one of a name's and one of an other's,
+    a column of either pattern, and the numbers of all columns that have one of them.
+
+    Columns of one pattern are known on the same rows, as two hashes over these tell.
     """
-    left = len(names)
+    known = rows.select("date_utc", F.xxhash64("_id").alias("_h"), F.xxhash64("_id", F.lit(1)).alias("_g"), F.posexplode("_v").alias("_at", "_x")).where("_x is not null")
+    columns = known.groupBy("date_utc", "_at").agg(F.count("*").alias("_n"), F.bit_xor("_h").alias("_h"), F.bit_xor("_g").alias("_g")).where(F.col("_n") >= least)
+    date = columns.groupBy("date_utc").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct("_n", "_h", "_g").alias("_pattern")))).alias("_all"))
+    side = lambda left: F.filter("_all", lambda c: (c["_at"] < first_other) if left else (c["_at"] >= first_other))
+    # as arrays of the columns of each pattern of a side
+    grouped = lambda own: F.transform(
+        F.array_distinct(F.transform(own, lambda c: c["_pattern"])), lambda p: F.transform(F.filter(own, lambda c: c["_pattern"] == p), lambda c: c["_at"])
+    )
+    date = date.select("date_utc", F.explode(grouped(side(True))).alias("_left"), grouped(side(False)).alias("_rights"))
+    pairs = date.select("date_utc", "_left", F.explode("_rights").alias("_right"))
+    return pairs.select("date_utc", F.get("_left", F.lit(0)).alias("left"), F.get("_right", F.lit(0)).alias("right"), F.concat("_left", "_right").alias("at"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = rank_correlations(rows.iloc[:, 1:].to_numpy(float), left, least)
-        i, j = np.nonzero(~np.isnan(got))
-        return pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "ic": got[i, j]})
 
-    columns = [F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate([*names, *others])]
-    daily = wide.select("date_utc", *columns).groupBy("date_utc").applyInPandas(run, "i int, j int, ic double")
-    named = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), F.col(k))
-    return daily.groupBy("i", "j").agg(F.abs(F.avg("ic")).alias("corr")).select(named(names, "i").alias("a"), named(others, "j").alias("b"), "corr")
+def _correlations(wide: DataFrame, names: list[str], others: list[str], least: int) -> DataFrame:
+    """a, b, corr (the absolute mean over dates) of all names with all others that share a date.
+
+    A column is ranked on a date once for each pattern of rows that it meets in the others: one sort
+    by (date, patterns, column), however many pairs. Ranks are packed in blocks of a date's rows, and
+    products are summed by block, so neither a date nor a column of it has to fit in one task.
+    """
+    key = F.col("ticker") if "ticker" in wide.columns else F.monotonically_increasing_id()
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = wide.select("date_utc", key.alias("_id"), F.array(*[value(c) for c in [*names, *others]]).alias("_v"))
+    meets = F.get("_v", F.col("left")).isNotNull() & F.get("_v", F.col("right")).isNotNull()
+    long = rows.join(_meetings(rows, len(names), least), "date_utc").where(meets).select("date_utc", "left", "right", "_id", "_v", F.explode("at").alias("at"))
+    pair = ["date_utc", "left", "right"]
+    by = Window.partitionBy(*pair, "at")
+    up_to = by.orderBy("_x")
+    last, n = F.count("*").over(up_to.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.count("*").over(by)
+    ranked = long.select(*pair, "at", "_id", F.get("_v", F.col("at")).alias("_x")).select(*pair, "at", "_id", ((F.rank().over(up_to) + last - n - 1) / 2).alias("_z"), n.alias("_n"))
+    packed = ranked.where(F.col("_n") >= least).groupBy(*pair, "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_z"))), lambda p: p["_z"]).alias("_z"))
+    packed = packed.withColumn("_norm", F.sqrt(F.aggregate("_z", F.lit(0.0), lambda s, z: s + z * z))).where(F.col("_norm") > 0)
+    parts = packed.select(*pair, "at", "_norm", "_z", F.explode(F.sequence(F.lit(0), F.size("_z") - 1, F.lit(BLOCK))).alias("_from"))
+    column = F.struct("at", F.transform(F.slice("_z", F.col("_from") + 1, F.lit(BLOCK)), lambda z: z / F.col("_norm")).alias("z"))
+    mine = F.col("at") < len(names)
+    blocks = parts.groupBy(*pair, "_from").agg(F.collect_list(F.when(mine, column)).alias("_a"), F.collect_list(F.when(~mine, column)).alias("_b"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a["z"], b["z"], lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    products = F.flatten(F.transform("_a", lambda a: F.transform("_b", lambda b: F.struct(a["at"].alias("i"), b["at"].alias("j"), dot(a, b).alias("part")))))
+    # each date of a pair of columns has one block from 0 on
+    found = blocks.select("_from", F.explode(products).alias("p")).groupBy("p.i", "p.j").agg(F.abs(F.sum("p.part") / F.count(F.when(F.col("_from") == 0, 1))).alias("corr"))
+    named = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), k)
+    return found.select(named(names, F.col("i")).alias("a"), named(others, F.col("j") - len(names)).alias("b"), "corr")
 
 
 def signal_correlations(wide: DataFrame, pairs: list[tuple[str, str]], least: int = LEAST) -> DataFrame:

@@ -714,3 +714,18 @@ def test_tournaments_prefer_fit_and_small_trees():
     trees = [P.parse("MOM_1D"), P.parse("rank(rank(MOM_1D))")]
     won = search.double_tournament(random.Random(1), trees, [ic.Fitness(1, 0, 0), ic.Fitness(0, 0, 0)], 200)
     assert won.count(0) > 150
+
+
+def test_products_are_summed_over_blocks_of_rows(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(DAY + timedelta(days=d), f"T{t:02d}", *(None if rng.random() < (0.3 if k == 3 else 0.0) else float(rng.randint(0, 6)) for k in range(4)), float("nan")) for d in range(3) for t in range(23)]
+    wide = spark.createDataFrame(rows, "date_utc date, ticker string, a double, b double, c double, d double, e double")
+    whole = {(r["a"], r["b"]): r["corr"] for r in ic.signal_correlations(wide, [("a", "c"), ("b", "d"), ("a", "d"), ("a", "e")]).collect()}
+    monkeypatch.setattr(ic, "BLOCK", 5)
+    parts = {(r["a"], r["b"]): r["corr"] for r in ic.signal_correlations(wide.drop("ticker"), [("a", "c"), ("b", "d"), ("a", "d"), ("a", "e")]).collect()}
+    assert whole["a", "e"] is None and whole == {k: v if v is None else pytest.approx(v) for k, v in parts.items()}
+    plan = ic.diversity(wide, ["a", "b"], ["c", "d"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    # a constant column has no correlation with any
+    flat = wide.withColumn("flat", F.lit(1.0))
+    assert ic.diversity(flat, ["flat", "a"], ["a"]).where("formula = 'flat'").first()["diversity"] == 1.0
