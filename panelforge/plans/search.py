@@ -11,10 +11,12 @@ import random
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add, and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.factors import FACTORS
@@ -127,12 +129,12 @@ def pareto(trees: list[Node], fitness: list[Fitness]) -> list[int]:
     return [own[i] for i in fronts(points)[0]]
 
 
-def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """The rows of `scores` that no other dominates; an unknown objective is dominated by none and dominates none.
+#: Rows that are compared with all others at once, and broadcast for that.
+FRONT_BLOCK = 20_000
 
-    Each task first leaves out what rows of its own dominate, a thousand at a time; only what stays is
-    compared with each other.
-    """
+
+def _local_front(rows: DataFrame, objectives: list[str]) -> DataFrame:
+    """Without the rows that others of the same task dominate, a thousand at a time."""
     def own_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in (b.slice(k, 1_000) for b in batches for k in range(0, b.num_rows, 1_000)):
@@ -147,15 +149,70 @@ def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFram
             held = both.filter(pa.array(~beaten)).combine_chunks()
         yield from held.to_batches() if held is not None else []
 
-    scores = scores.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
-    scores = scores.mapInArrow(own_front, scores.schema)
-    other = scores.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
+    return rows.mapInArrow(own_front, rows.schema)
+
+
+def _not_dominated(rows: DataFrame, by: DataFrame, objectives: list[str]) -> DataFrame:
+    """The rows that none of `by`, which is small, dominates."""
+    other = by.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
     worse = [F.col(f"_{o}") >= F.col(o) for o in objectives]
     strict = [F.col(f"_{o}") > F.col(o) for o in objectives]
-    both, some = worse[0], strict[0]
-    for a, b in zip(worse[1:], strict[1:], strict=True):
-        both, some = both & a, some | b
-    return scores.join(other, both & some, "left_anti").select(key, *objectives)
+    return rows.join(F.broadcast(other), reduce(and_, worse) & reduce(or_, strict), "left_anti")
+
+
+def pareto_front(scores: DataFrame, key: str, objectives: list[str]) -> DataFrame:
+    """The rows of `scores` that no other dominates; an unknown objective is dominated by none and dominates none.
+
+    Each task first leaves out what rows of its own dominate. Of what stays, those of the largest sums of
+    objectives come first, a block at a time, as only larger sums can dominate: the front among them
+    is final, and what it dominates goes from the rest. A block is a broadcast of known size however
+    large the front is, but for rows that share one sum.
+    """
+    scores = scores.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
+    total, block = reduce(add, [F.col(o) for o in objectives]), FRONT_BLOCK
+    rest = _local_front(scores, objectives)
+    if rest.limit(block + 1).count() <= block:
+        return _not_dominated(rest, rest, objectives)
+    # what comes first, however long that takes, is written, as is what is left
+    spark = scores.sparkSession
+    rest, fronts_ = Rounds(spark).write(rest), []
+    known = reduce(and_, [F.col(o).isNotNull() for o in objectives])
+    unknown, left, rounds = rest.where(~known), rest.where(known), Rounds(spark)
+    while not left.isEmpty():
+        least = left.select(total.alias("t")).orderBy(F.desc("t")).limit(block).agg(F.min("t")).first()[0]
+        top = left.where(total >= least)
+        fronts_.append(Rounds(spark).write(_not_dominated(top, top, objectives)))
+        left = rounds.write(_not_dominated(left.where(total < least), fronts_[-1], objectives))
+    return reduce(DataFrame.unionByName, [unknown, *fronts_]).select(key, *objectives)
+
+
+def ranked_fronts(scores: DataFrame, key: str, objectives: list[str], most: int | None = None) -> DataFrame:
+    """key, objectives, front (from 1 on), crowding: the front that each row is on once all before it are taken away.
+
+    `key` tells rows apart. Fronts are peeled off one a round, up to `most` of them, beyond which rows have none;
+    the state is one table, written in the shared folder. Crowding is the sum over the objectives of
+    the distance between a row's neighbours on its front by that objective, then key, as a share of the front's
+    range; infinite at the ends. Rows with an unknown objective are on the first front.
+    """
+    spark, state = scores.sparkSession, scores.select(key, *[F.col(o).cast("double").alias(o) for o in objectives], F.lit(None).cast("int").alias("front"))
+    rounds, front = Rounds(spark), 0
+    state = rounds.write(state)
+    while most is None or front < most:
+        rest = state.where(F.col("front").isNull())
+        if rest.isEmpty():
+            break
+        front += 1
+        own = pareto_front(rest.drop("front"), key, objectives).select(F.col(key).alias("_own")).distinct()
+        marked = state.join(own, F.col(key).eqNullSafe(F.col("_own")) & F.col("front").isNull(), "left")
+        state = rounds.write(marked.withColumn("front", F.coalesce("front", F.when(F.col("_own").isNotNull(), front))).drop("_own"))
+    of_front = Window.partitionBy("front")
+
+    def apart(o: str) -> Column:
+        by = of_front.orderBy(o, key)
+        below, above, span = F.lag(o).over(by), F.lead(o).over(by), F.max(o).over(of_front) - F.min(o).over(of_front)
+        return F.when(below.isNull() | above.isNull(), float("inf")).when(span > 0, (above - below) / span).otherwise(0.0)
+
+    return state.withColumn("crowding", F.when(F.col("front").isNotNull(), reduce(add, [apart(o) for o in objectives])))
 
 
 class SubtreeStore:

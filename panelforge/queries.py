@@ -664,14 +664,35 @@ def v_jaccard(spark, d):
     return rounded(validation.jaccard_stability(sets), [], "jaccard")
 
 
+def _part_scores(spark, d):
+    return table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("k")).agg(
+        F.round(F.avg("p_retailprice"), 4).alias("a"), F.round(F.avg("p_size"), 4).alias("b"), (-F.round(F.stddev_pop("p_retailprice"), 4)).alias("c"))
+
+
+_NEXT = "lag({0}) over w{0} as lo_{0}, lead({0}) over w{0} as hi_{0}, max({0}) over (partition by front) - min({0}) over (partition by front) as span_{0}"
+
+
+@query(f"""
+with recursive p as (select p_brand || '/' || p_type as k, round(avg(p_retailprice), 4) as a, round(avg(p_size), 4) as b, -round(stddev_pop(p_retailprice), 4) as c from part group by 1),
+peel as (  -- what is left for each front: rows that some row of the one before dominates
+  select 1 as front, k, a, b, c from p
+  union all
+  select distinct x.front + 1, x.k, x.a, x.b, x.c from peel x join peel y on y.a >= x.a and y.b >= x.b and y.c >= x.c and (y.a > x.a or y.b > x.b or y.c > x.c)),
+fronts as (select k, any_value(a) as a, any_value(b) as b, any_value(c) as c, max(front) as front from peel group by 1),
+near as (select *, {", ".join(_NEXT.format(o) for o in "abc")} from fronts window {", ".join(f"w{o} as (partition by front order by {o}, k)" for o in "abc")})
+select k, front, round({" + ".join(f"case when lo_{o} is null or hi_{o} is null then null when span_{o} > 0 then (hi_{o} - lo_{o}) / span_{o} else 0 end" for o in "abc")}, 6) as crowding from near""")
+def e_fronts(spark, d):
+    """All fronts of the parts' scores, with crowding; none at the ends of a front."""
+    out = search.ranked_fronts(_part_scores(spark, d), "k", ["a", "b", "c"])
+    return rounded(out.withColumn("crowding", F.nullif("crowding", F.lit(float("inf")))), ["k", "front"], "crowding")
+
+
 @query("""
 with p as (select p_brand as k, p_type as t, round(avg(p_retailprice), 4) as a, round(avg(p_size), 4) as b, -round(stddev_pop(p_retailprice), 4) as c from part group by 1, 2),
 q as (select k || '/' || t as k, a, b, c from p)
 select * from q x where not exists (select 1 from q y where y.a >= x.a and y.b >= x.b and y.c >= x.c and (y.a > x.a or y.b > x.b or y.c > x.c))""")
 def e_pareto(spark, d):
-    p = table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("k")).agg(
-        F.round(F.avg("p_retailprice"), 4).alias("a"), F.round(F.avg("p_size"), 4).alias("b"), (-F.round(F.stddev_pop("p_retailprice"), 4)).alias("c"))
-    return search.pareto_front(p, "k", ["a", "b", "c"])
+    return search.pareto_front(_part_scores(spark, d), "k", ["a", "b", "c"])
 
 
 @query()

@@ -729,3 +729,40 @@ def test_products_are_summed_over_blocks_of_rows(spark, monkeypatch):
     # a constant column has no correlation with any
     flat = wide.withColumn("flat", F.lit(1.0))
     assert ic.diversity(flat, ["flat", "a"], ["a"]).where("formula = 'flat'").first()["diversity"] == 1.0
+
+
+def brute_fronts(points):
+    left, out, front = dict(points), {}, 0
+    while left:
+        front += 1
+        own = [k for k, x in left.items() if None in x or not any(None not in y and all(a >= b for a, b in zip(y, x)) and y != x for y in left.values())]
+        out |= dict.fromkeys(own, front)
+        left = {k: x for k, x in left.items() if k not in own}
+    return out
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_fronts_of_a_table_are_those_of_peeling(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "FRONT_BLOCK", block)  # of 7, a front takes several blocks
+    rng = random.Random(19)
+    points = {f"k{i:02d}": (float(rng.randint(0, 6)), float(rng.randint(0, 6)), rng.random()) for i in range(45)} | {"x": (1.0, None, 0.5), "y": (0.0, 0.0, 0.0)}
+    points |= {"same1": points["k00"], "same2": points["k00"]}
+    points |= {f"line{i}": (10.0 + i, 30.0 - i, 5.0) for i in range(15)}  # none of these dominates another
+    df = spark.createDataFrame([(k, *v) for k, v in points.items()], "k string, a double, b double, c double").repartition(3)
+    first = {r["k"] for r in search.pareto_front(df, "k", ["a", "b", "c"]).collect()}
+    expected = brute_fronts(points)
+    assert first == {k for k, f in expected.items() if f == 1}
+    if block == 7:
+        return
+    got = {r["k"]: r for r in search.ranked_fronts(df, "k", ["a", "b", "c"]).collect()}
+    assert {k: r["front"] for k, r in got.items()} == expected
+    two = {r["k"]: r["front"] for r in search.ranked_fronts(df, "k", ["a", "b", "c"], most=2).collect()}
+    assert two == {k: f if f <= 2 else None for k, f in expected.items()}
+    # ties go by the key, so the arrays are in its order
+    for f in set(expected.values()):
+        own = sorted(k for k, x in expected.items() if x == f and None not in points[k])
+        if f > 1:
+            import numpy as np
+
+            assert [got[k]["crowding"] for k in own] == pytest.approx(list(search.crowding(np.array([points[k] for k in own]))))
+    assert search.ranked_fronts(df.limit(0), "k", ["a", "b", "c"]).count() == 0
