@@ -10,7 +10,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ic import daily_ic
+from ..functions import columns as C
+from .ic import LEAST
 
 EULER = 0.5772156649015329
 YEAR = 365
@@ -69,14 +70,18 @@ def permutation_test(signals: DataFrame, ret: str, *, permutations: int = 100, s
     k-th by an MD5 of the permutation and the key gets the return of the row that is k-th by ticker.
     """
     rows = signals.where(F.col("x").isNotNull() & F.col(ret).isNotNull()).select("date_utc", "ticker", "x", F.col(ret).alias("r"))
-    observed = daily_ic(rows.withColumn("formula", F.lit(0)), "r", joint=True).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("observed"))
-    fixed = rows.withColumn("_k", F.row_number().over(Window.partitionBy("date_utc").orderBy("ticker")))
-    many = fixed.select("date_utc", "ticker", "r", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    # a shuffle moves ranks but changes none, so a date's rows are ranked once for all permutations
+    date = Window.partitionBy("date_utc")
+    fixed = rows.select(
+        "date_utc", "ticker", C.cs_rank(F.col("x"), date).alias("a"), C.cs_rank(F.col("r"), date).alias("b"), F.row_number().over(date.orderBy("ticker")).alias("_k"), F.count("*").over(date).alias("_n"),
+    ).where(F.col("_n") >= LEAST)
+    many = fixed.select("date_utc", "ticker", "b", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("date_utc").cast("string"), "ticker"))
-    shuffled = many.withColumn("_k", F.row_number().over(Window.partitionBy("perm", "date_utc").orderBy(key))).select("perm", "date_utc", "_k", "r")
-    paired = shuffled.join(fixed.select("date_utc", "_k", "x"), ["date_utc", "_k"])
-    ics = daily_ic(paired, "r", joint=True, by=["perm"]).groupBy("perm").agg(F.avg("ic").alias("ic"))
-    return ics.join(F.broadcast(observed)).groupBy("observed").agg((F.sum((F.abs("ic") >= F.abs("observed")).cast("int")) / F.lit(float(permutations))).alias("p_value"))
+    shuffled = many.withColumn("_k", F.row_number().over(Window.partitionBy("perm", "date_utc").orderBy(key))).select("perm", "date_utc", "_k", "b")
+    paired = shuffled.join(fixed.select("date_utc", "_k", "a"), ["date_utc", "_k"])
+    means = paired.groupBy("perm", "date_utc").agg(C.safe_corr(F.col("a"), F.col("b")).alias("ic")).groupBy("perm").agg(F.avg("ic").alias("ic")).where("ic is not null")
+    observed = fixed.groupBy("date_utc").agg(C.safe_corr(F.col("a"), F.col("b")).alias("ic")).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("observed"))
+    return means.join(F.broadcast(observed)).groupBy("observed").agg((F.sum((F.abs("ic") >= F.abs("observed")).cast("int")) / F.lit(float(permutations))).alias("p_value"))
 
 
 def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, excess_kurtosis: float = 0.0) -> float:

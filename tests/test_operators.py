@@ -7,6 +7,7 @@ import os
 import random
 import subprocess
 import sys
+import tempfile
 from datetime import date, timedelta
 
 import pytest
@@ -766,3 +767,81 @@ def test_fronts_of_a_table_are_those_of_peeling(spark, monkeypatch, block):
 
             assert [got[k]["crowding"] for k in own] == pytest.approx(list(search.crowding(np.array([points[k] for k in own]))))
     assert search.ranked_fronts(df.limit(0), "k", ["a", "b", "c"]).count() == 0
+
+
+def records_of(symbol):
+    """Every 3 ms a record, and several at some times."""
+    return [{"t": t, "v": float(100 * k + t), "symbol": symbol} for t in range(0, 400, 3) for k in range(7 if t % 60 == 0 else 1)]
+
+
+#: Tells tasks, which don't see the test's environment, where to log their requests.
+WHERE = os.path.join(tempfile.gettempdir(), f"pages-log-{os.getuid()}")
+
+
+def ascending_pages(symbol, first, last):
+    folder = open(WHERE).read() if os.path.exists(WHERE) else ""
+    if folder:
+        with open(f"{folder}/{symbol}-{first}-{last}", "a"):
+            pass
+        if os.path.exists(f"{folder}/fail") and symbol == "B" and last >= 250:
+            raise RuntimeError("the source is down")
+    return [r for r in records_of(symbol) if first <= r["t"] <= last][:10]
+
+
+def descending_pages(symbol, first, last):
+    return [r for r in records_of(symbol)[::-1] if first <= r["t"] <= last][:10]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_of_a_window_give_each_record_once(descending):
+    fetch = descending_pages if descending else ascending_pages
+    for first, last in ((0, 400), (60, 60), (61, 119), (500, 600), (10, 5), (59, 181)):
+        got = list(rest.window(fetch, "A", first, last, descending=descending))
+        expected = [r for r in records_of("A") if first <= r["t"] <= last]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
+    assert list(rest.window(lambda s, a, b: [], "A", 0, 9)) == []
+    # a time that fills its page can give no more than that, and doesn't stop the rest
+    full = lambda s, a, b: [r for r in ({"t": t, "k": k} for t in (1, 2) for k in range(5)) if a <= r["t"] <= b][:3]
+    assert [r["t"] for r in rest.window(full, "A", 0, 9)] == [1, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending"])
+def test_a_stream_that_fails_goes_on_without_doubles(spark, tmp_path, request, order):
+    log = tmp_path / "log"
+    log.mkdir()
+    with open(WHERE, "w") as file:
+        file.write(str(log))
+    request.addfinalizer(lambda: os.unlink(WHERE))
+    spark.dataSource.register(rest.PagedStream)
+    fetcher = f"tests.test_operators:{order}_pages"
+
+    def run(until, symbols="A,B"):
+        options = {"fetcher": fetcher, "symbols": symbols, "until": until, "step": 100, "order": order}
+        stream = spark.readStream.format("paged_stream").schema("symbol string, t long, v double").options(**options).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    def rows():
+        return sorted((r["symbol"], r["t"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    def expected(until, symbols="AB"):
+        return sorted((s, r["t"], r["v"]) for s in symbols for r in records_of(s) if r["t"] < until)
+
+    run(150)
+    assert rows() == expected(150)
+    if order == "ascending":
+        (log / "fail").touch()
+        with pytest.raises(Exception, match="down"):
+            run(400)
+        assert rows() == expected(150)  # nothing of the batch that failed
+        asked = set(os.listdir(log))
+        (log / "fail").unlink()
+    run(400)
+    assert rows() == expected(400)
+    if order == "ascending":
+        again = [f for f in set(os.listdir(log)) - asked if f.startswith("B")]
+        assert again and all(int(f.split("-")[1]) >= 150 for f in again)  # what was read isn't read again
+    run(400, "A,B,C")  # a symbol that is new
+    assert rows() == expected(400, "ABC")
+    with pytest.raises(Exception, match="order"):
+        spark.readStream.format("paged_stream").schema("t long").options(fetcher=fetcher, order="x").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(30)
