@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import subprocess
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,6 +125,68 @@ class MarketStore:
         return self.spark.read.parquet(f"{self.root}/tables/{name}") if self.exists(name) else None
 
 
+class VersionedStore(MarketStore):
+    """A store that several may write at once, in which what is read is always whole.
+
+    Rows go to a folder of their own, `commits/commit=ID`, which nobody reads until an empty file
+    `versions/NUMBER-ID` is there, made in one step once all tasks are done. Of a symbol's day the rows of the
+    latest version count, of equal numbers (writers at the same time) those of the larger id, so
+    every reader sees the same. A write that fails leaves a folder that vacuum() takes away.
+    """
+
+    def _files(self, folder: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def versions(self) -> list[str]:
+        """Ids of commits, from the first on."""
+        return [f.split("-", 1)[1] for f in self._files("versions")]
+
+    def _publish(self, commit: str) -> None:
+        last = max((int(f.split("-", 1)[0]) for f in self._files("versions")), default=0)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions/{last + 1:012d}-{commit}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(at)
+
+    def prepare(self, rows: DataFrame, source: str, *, at: str, symbol: str = "symbol") -> str:
+        """Writes rows, one for each symbol and instant, without publishing them; the commit's id."""
+        commit = uuid.uuid4().hex
+        out = rows.withColumns({"source": F.lit(source), "symbol": F.col(symbol), "day": F.to_date(at)}).dropDuplicates(["symbol", at])
+        out.repartition("source", "symbol", "day").write.partitionBy("source", "symbol", "day").parquet(f"{self.root}/commits/commit={commit}")
+        return commit
+
+    def store(self, rows: DataFrame, source: str, *, at: str, symbol: str = "symbol") -> None:
+        """Adds rows, one for each symbol and instant, all at once; days that are there already are replaced, others stay."""
+        self._publish(self.prepare(rows, source, at=at, symbol=symbol))
+
+    def _stored(self, source: str) -> DataFrame | None:
+        order = self.versions()
+        have = [c for c in order if path_exists(self.spark, f"{self.root}/commits/commit={c}/source={source}")]
+        if not have:
+            return None
+        path = f"{self.root}/commits"
+        rows = self.spark.read.option("basePath", path).option("mergeSchema", True).parquet(*[f"{path}/commit={c}/source={source}" for c in have])
+        number = self.spark.createDataFrame([(c, k) for k, c in enumerate(order)], "commit string, _number int")
+        # one row for each folder of a symbol's day
+        latest = rows.select("symbol", "day", "commit").distinct().join(F.broadcast(number), "commit").groupBy("symbol", "day").agg(F.max_by("commit", "_number").alias("commit"))
+        return rows.join(latest, ["symbol", "day", "commit"], "left_semi").drop("commit")
+
+    def symbol_available(self, source: str, symbol: str) -> bool:
+        return any(path_exists(self.spark, f"{self.root}/commits/commit={c}/source={source}/symbol={symbol}") for c in self.versions())
+
+    def clear_source(self, source: str) -> None:
+        """Forgets all rows of a source; its marks of empty days run out by themselves."""
+        for c in self.versions():
+            self._delete(f"{self.root}/commits/commit={c}/source={source}")
+
+    def vacuum(self) -> int:
+        """Deletes the folders of writes that weren't published, and says how many; for when nobody writes."""
+        lost = [f for f in self._files("commits") if f.removeprefix("commit=") not in set(self.versions())]
+        for f in lost:
+            self._delete(f"{self.root}/commits/{f}")
+        return len(lost)
+
+
 def ohlcv_rows(raw: DataFrame) -> DataFrame:
     """timestamp_ms, open, high, low, close, volume, date_utc, symbol from candle records."""
     return raw.select("timestamp_ms", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")], F.timestamp_millis("timestamp_ms").alias("date_utc"), "symbol")

@@ -845,3 +845,44 @@ def test_a_stream_that_fails_goes_on_without_doubles(spark, tmp_path, request, o
     assert rows() == expected(400, "ABC")
     with pytest.raises(Exception, match="order"):
         spark.readStream.format("paged_stream").schema("t long").options(fetcher=fetcher, order="x").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(30)
+
+
+def test_two_writers_and_one_that_fails(spark, tmp_path):
+    s = store.VersionedStore(spark, str(tmp_path / "v"))
+    rows = lambda *x: spark.createDataFrame([(n, DAY + timedelta(days=d), v) for n, d, v in x], "symbol string, at date, v double")
+    read = lambda: sorted((r["symbol"], (r["day"] - DAY).days, r["v"]) for r in s.load_range("oi", "2024-01-01", "2024-01-31").collect())
+    assert read() == [] and s.versions() == [] and s.vacuum() == 0
+    s.store(rows(("BTC", 0, 1.0), ("BTC", 1, 1.0), ("ETH", 0, 1.0)), "oi", at="at")
+    # two that write at once: days of either, and one of both, of which the later one's rows count
+    a = s.prepare(rows(("BTC", 1, 2.0), ("BTC", 2, 2.0)), "oi", at="at")
+    b = s.prepare(rows(("BTC", 2, 3.0), ("SOL", 0, 3.0)), "oi", at="at")
+    before = [("BTC", 0, 1.0), ("BTC", 1, 1.0), ("ETH", 0, 1.0)]
+    assert read() == before
+    s._publish(b)
+    assert read() == sorted([*before, ("BTC", 2, 3.0), ("SOL", 0, 3.0)])
+    s._publish(a)
+    after = [("BTC", 0, 1.0), ("BTC", 1, 2.0), ("BTC", 2, 2.0), ("ETH", 0, 1.0), ("SOL", 0, 3.0)]
+    assert read() == after and s.versions()[-2:] == [b, a]
+    # one that fails halfway leaves nothing that is read, and doesn't hinder the next
+    bad = rows(("BTC", 0, 9.0), ("BTC", 3, 9.0)).withColumn("v", F.when(F.col("at") > F.lit(DAY), F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        s.store(bad, "oi", at="at")
+    s.prepare(rows(("BTC", 0, 9.0)), "oi", at="at")
+    assert read() == after and s.vacuum() >= 1 and read() == after
+    assert s.fill("oi", "2024-01-01", "2024-01-04", lambda days: days.select("symbol", F.col("day").alias("at"), F.lit(4.0).alias("v")), at="at", symbols=["BTC"]) == 1
+    assert ("BTC", 3, 4.0) in read() and s.missing("oi", "2024-01-01", "2024-01-04", ["BTC"]).count() == 0
+    assert {r["symbol"]: r["n_rows"] for r in s.availability("oi").collect()} == {"BTC": 4, "ETH": 1, "SOL": 1}
+    assert s.symbol_available("oi", "SOL") and not s.symbol_available("oi", "XRP")
+    s.store(rows(("BTC", 0, 5.0)), "funding", at="at")
+    s.clear_source("oi")
+    assert read() == [] and s.availability("funding").count() == 1
+
+
+def test_versions_of_one_number_have_one_order(spark, tmp_path):
+    s = store.VersionedStore(spark, str(tmp_path / "v"))
+    rows = lambda v: spark.createDataFrame([("A", DAY, v)], "symbol string, at date, v double")
+    ids = {s.prepare(rows(v), "oi", at="at"): v for v in (1.0, 2.0)}
+    (tmp_path / "v" / "versions").mkdir()
+    for c in ids:  # as if neither had seen the other's
+        (tmp_path / "v" / "versions" / f"{1:012d}-{c}").touch()
+    assert s.load_range("oi", "2024-01-01", "2024-01-01").first()["v"] == ids[max(ids)]
