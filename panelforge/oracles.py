@@ -160,12 +160,12 @@ def bootstrap(source: str, by: str, replicates: int, seed: int = 42) -> str:
     """CTE bounds (by, mean, lower, upper) of `source` (by, date_utc, ic): every position of every replicate looks its value up."""
     u = lambda *parts: f"(('0x' || substr(md5('{seed}|' || {' || '.join(parts)}), 1, 13))::bigint / 4503599627370496.0::double)"
     return f"""
-at as (select {by}, ic, row_number() over (partition by {by} order by date_utc) - 1 as t, count(*) over (partition by {by}) as n from {source}),
+spots as (select {by}, ic, row_number() over (partition by {by} order by date_utc) - 1 as t, count(*) over (partition by {by}) as n from {source}),
 drawn as (
-  select {by}, replicate, t, n, case when t = 0 or {u("'anew|'", "replicate", "'|'", "t")} < 0.1 then t end as begun from at, unnest(range(1, {replicates} + 1)) as q(replicate)),
+  select {by}, replicate, t, n, case when t = 0 or {u("'anew|'", "replicate", "'|'", "t")} < 0.1 then t end as begun from spots, unnest(range(1, {replicates} + 1)) as q(replicate)),
 placed as (select *, max(begun) over (partition by {by}, replicate order by t) as b from drawn),
 picked as (select {by}, replicate, ((floor({u("'from|'", "replicate", "'|'", "b")} * n)::bigint + t - b) % n)::bigint as t from placed),
-means as (select {by}, replicate, avg(ic) as m from picked join at using ({by}, t) group by all),
+means as (select {by}, replicate, avg(ic) as m from picked join spots using ({by}, t) group by all),
 bounds as (
   select {by}, case when n >= 10 then mean end as mean, case when n < 10 then null when same then mean else lower end as lower, case when n < 10 then null when same then mean else upper end as upper
   from (select {by}, count(*) as n, avg(ic) as mean, min(ic) = max(ic) as same from {source} group by all)
