@@ -81,6 +81,34 @@ TEXTS: list[tuple[str, str]] = [
         "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty "
         "provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.",
     ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors "
+        "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be "
+        "an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer "
+        "to <https://unlicense.org>",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or "
+        "organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to "
+        "use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, "
+        "and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright "
+        "notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+        "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source "
+        'language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT "
+        "SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 ]
 
 NOTICES: list[tuple[str, str]] = [
@@ -97,32 +125,59 @@ NOTICES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
-# Canonical digests (see licenses.canonical) of texts that are too long to be kept here; with their
-# closing instructions on how to apply them, and without.
-DIGESTS: list[tuple[str, str]] = [
-    ("Apache-2.0", "4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5"),
-    ("Apache-2.0", "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93"),
-    ("Apache-2.0", "4d82b1bff1ec74deb3a29bbe890a43fcd5d6d11ae4b24b20d2c0ef74a1b12809"),
-    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
-    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", "5a3b24c0d356ef8989faaaabae94f88aae352636c3cd36da5f5a76f39cd16b83"),
-    ("GFDL-1.3-only", "9330d425b8d1073fd89f543fb54e3a4b4c91abbbcd9a5b933b57f3edc95832bd"),
-    ("GPL-1.0-only", "98b577d60405d0dae6a71659318e8cef824021d2e612f9c0801106c9e569e32c"),
-    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
-    ("GPL-1.0-only", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
-    ("GPL-2.0-only", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
-    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
-    ("GPL-2.0-only", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
-    ("GPL-3.0-only", "e45fdf2ecb0f05dd188636cd45a7e9be8d0af6c375e83667e79460782b04dd25"),
-    ("GPL-3.0-only", "7d75204ed685fd08ff55e7de654cd69da831b4d875c3d2c2e69d04d738cccc3e"),
-    ("GPL-3.0-only", "dd35883083089e6d76ba8a178db431b99ae33b3d2e87dc33fa479fe6aa2ce307"),
-    ("LGPL-2.0-only", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
-    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
-    ("LGPL-2.0-only", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
-    ("LGPL-2.1-only", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
-    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
-    ("LGPL-2.1-only", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
-    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "306c97d6d414b6d81e284c065ce46bb98866841c27e12248e4f16e85936a1474"),
-    ("MPL-2.0", "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"),
+# Licence, title and version, which part of its text, characters and SHA-256 of that part's canonical form
+# (see licenses.canonical), for texts that are too long to be kept here. The texts are those that Debian installs under
+# /usr/share/common-licenses. Parts: the whole file with its closing instructions, the file up to the line
+# "END OF TERMS AND CONDITIONS" with that line, and the file up to before it.
+DIGESTS: list[tuple[str, str, str, int, str]] = [
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004", "whole", 9888,
+     "4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004", "terms and their end line", 8871,
+     "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004", "terms", 8843,
+     "4d82b1bff1ec74deb3a29bbe890a43fcd5d6d11ae4b24b20d2c0ef74a1b12809"),
+    ("Artistic-1.0-Perl", 'The "Artistic License" (of Perl)', "whole", 5833,
+     "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "Creative Commons Legal Code, CC0 1.0 Universal", "whole", 6692,
+     "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "GNU Free Documentation License, Version 1.2, November 2002", "whole", 19606,
+     "5a3b24c0d356ef8989faaaabae94f88aae352636c3cd36da5f5a76f39cd16b83"),
+    ("GFDL-1.3-only", "GNU Free Documentation License, Version 1.3, 3 November 2008", "whole", 22042,
+     "9330d425b8d1073fd89f543fb54e3a4b4c91abbbcd9a5b933b57f3edc95832bd"),
+    ("GPL-1.0-only", "GNU General Public License, Version 1, February 1989", "whole", 11795,
+     "98b577d60405d0dae6a71659318e8cef824021d2e612f9c0801106c9e569e32c"),
+    ("GPL-1.0-only", "GNU General Public License, Version 1, February 1989", "terms and their end line", 9415,
+     "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0-only", "GNU General Public License, Version 1, February 1989", "terms", 9387,
+     "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-2.0-only", "GNU General Public License, Version 2, June 1991", "whole", 17115,
+     "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-2.0-only", "GNU General Public License, Version 2, June 1991", "terms and their end line", 14483,
+     "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0-only", "GNU General Public License, Version 2, June 1991", "terms", 14455,
+     "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-3.0-only", "GNU General Public License, Version 3, 29 June 2007", "whole", 33406,
+     "e45fdf2ecb0f05dd188636cd45a7e9be8d0af6c375e83667e79460782b04dd25"),
+    ("GPL-3.0-only", "GNU General Public License, Version 3, 29 June 2007", "terms and their end line", 30967,
+     "7d75204ed685fd08ff55e7de654cd69da831b4d875c3d2c2e69d04d738cccc3e"),
+    ("GPL-3.0-only", "GNU General Public License, Version 3, 29 June 2007", "terms", 30939,
+     "dd35883083089e6d76ba8a178db431b99ae33b3d2e87dc33fa479fe6aa2ce307"),
+    ("LGPL-2.0-only", "GNU Library General Public License, Version 2, June 1991", "whole", 24128,
+     "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.0-only", "GNU Library General Public License, Version 2, June 1991", "terms and their end line", 22277,
+     "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0-only", "GNU Library General Public License, Version 2, June 1991", "terms", 22249,
+     "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License, Version 2.1, February 1999", "whole", 25215,
+     "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License, Version 2.1, February 1999", "terms and their end line", 23365,
+     "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License, Version 2.1, February 1999", "terms", 23337,
+     "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License, Version 3, 29 June 2007", "whole", 7104,
+     "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "Mozilla Public License, Version 1.1", "whole", 22466,
+     "306c97d6d414b6d81e284c065ce46bb98866841c27e12248e4f16e85936a1474"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0", "whole", 14343,
+     "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6"),
 ]

@@ -96,5 +96,5 @@ def scan_licenses(
 
 
 def default_known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    digests = spark.createDataFrame([(a, b, None) for a, b in DIGESTS], "license_id string, digest string, length int")
+    digests = spark.createDataFrame([(name, digest, length) for name, _, _, length, digest in DIGESTS], "license_id string, digest string, length int")
     return known_digests(spark, TEXTS).unionByName(digests), known_digests(spark, NOTICES)

@@ -97,7 +97,7 @@ def _license_sql() -> str:
 
     def known(texts, digests=()) -> str:
         rows = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in texts)
-        more = "".join(f" union all select '{b}', '{a}'" for a, b in digests)
+        more = "".join(f" union all select '{digest}', '{name}'" for name, *_, digest in digests)
         return f"select digest, min(license_id) as license_id from (select sha256(replace({canonical('body')}, chr(10), ' ')) as digest, license_id from (values {rows}) as v(license_id, body){more}) group by 1"
 
     return f"""

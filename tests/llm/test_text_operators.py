@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import flac_media, licenses, queries, quality_bayes, quality_rules, sentencepiece_bpe, toxicity, url_filters
-from panelforge.llm.license_texts import TEXTS
+from panelforge.llm.license_texts import DIGESTS, TEXTS
 from panelforge.llm.tables import table
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -374,6 +374,19 @@ def test_long_licence_texts_are_known(spark, docs):
     assert [got[k]["license_id"] for k in range(len(names))] == list(names.values())
 
 
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="the system has no licence texts")
+def test_digests_are_of_the_texts_that_they_name(spark):
+    end = "END OF TERMS AND CONDITIONS"
+    files = {"Artistic-1.0-Perl": "Artistic", "GPL-1.0-only": "GPL-1", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.0-only": "LGPL-2", "LGPL-3.0-only": "LGPL-3"}
+
+    def part_of(name, part):
+        text = open(f"/usr/share/common-licenses/{files.get(name, name.removesuffix('-only'))}").read()
+        return {"whole": text, "terms": text.partition(end)[0], "terms and their end line": text.partition(end)[0] + end}[part]
+
+    got = licenses.known_digests(spark, [(name, part_of(name, part)) for name, _, part, _, _ in DIGESTS]).collect()
+    assert sorted(map(tuple, got)) == sorted((name, digest, length) for name, _, _, length, digest in DIGESTS)
+
+
 def test_urls(spark):
     urls = ["http://a.example.org/es/x?y", "HTTPS://EXAMPLE.ORG/en/12#t", "http://example.org", "x", None, "", "http://badexample.org/es/", "http://x.com/de/1", "http://x.net/", "http://example.org/en/2", "://y.org/", "http://y.org?q=/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "rule": F.lit(1)})
