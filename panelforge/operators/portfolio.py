@@ -18,7 +18,8 @@ def with_weights(panel: DataFrame, signal: str, fraction: float = 0.1, name: str
     Here and below, `by` are columns that hold several portfolios apart: formulas, or windows.
     """
     s, date = F.col(signal), C.date(by)
-    high, low = (F.percentile(s, F.lit(q)).over(date) for q in (1 - fraction, fraction))
+    limits = F.percentile(s, F.array(F.lit(1 - fraction), F.lit(fraction))).over(date)  # one pass for both
+    high, low = F.get(limits, F.lit(0)), F.get(limits, F.lit(1))
     marked = panel.withColumns({"_long": F.coalesce(s >= high, F.lit(False)), "_short": F.coalesce(s <= low, F.lit(False))})
     count = lambda c: F.sum(F.col(c).cast("int")).over(date)
     weight = F.when(F.col("_short"), -1.0 / count("_short")).when(F.col("_long"), 1.0 / count("_long")).otherwise(0.0)
