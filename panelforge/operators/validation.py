@@ -15,6 +15,8 @@ from .ic import LEAST
 
 EULER = 0.5772156649015329
 YEAR = 365
+#: Pairs that a task counts, which take some 200 bytes each, and the most tasks; beyond both, tasks have more, and spill.
+PAIRS_A_TASK, MOST_TASKS = 1 << 21, 4000
 
 
 def uniform(*parts: Column | int | str) -> Column:
@@ -219,17 +221,34 @@ def split_measures(daily: DataFrame, splits: DataFrame, value: str = "ic", by: t
     return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.try_divide(F.avg(value), F.nullif(F.stddev_pop(value), F.lit(0.0))).alias("ratio"))
 
 
+def shared_items(sets: DataFrame) -> DataFrame:
+    """i, n_i, j, n_j, both: the pairs of sets of (id, items) that share items, with their sizes and the number shared.
+
+    The sets of an item are one list by size and id, of which each set gets the rest after it; so the
+    smaller of two counts. Tasks are as many as pairs ask for, not as the much smaller lists do, so what
+    one holds does not grow with the tables. The number of pairs is one row, read first.
+    """
+    known, n = sets.where("id is not null"), F.col("n")
+    items = lambda df: df.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    load = items(known).groupBy("item").agg(F.count("*").cast("double").alias("n")).agg(F.sum(n * (n + 1) / 2)).first()[0] or 0.0
+    tasks = min(max(math.ceil(load / PAIRS_A_TASK), sets.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    lists = items(known.repartition(tasks, "id")).repartition(tasks, "item").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("_all"))
+    # sizes and ids as arrays of their own: an array of structs takes three times the room
+    each = lists.where(F.size("_all") > 1).select(F.posexplode("_all").alias("_at", "_own"), F.col("_all.id").alias("_ids"), F.col("_all.n").alias("_sizes"))
+    rest = lambda c: F.slice(c, F.col("_at") + 2, F.size(c))
+    rests = each.where(F.col("_at") + 1 < F.size("_ids")).select(F.col("_own.id").alias("i"), F.col("_own.n").alias("n_i"), rest("_ids").alias("_ids"), rest("_sizes").alias("_sizes"))
+    pairs = rests.repartition(tasks, "i").select("i", "n_i", "_sizes", F.posexplode("_ids").alias("_at", "j")).select("i", "n_i", "j", F.get("_sizes", F.col("_at")).alias("n_j"))
+    return pairs.where("i != j").groupBy("i", "n_i", "j", "n_j").agg(F.count("*").alias("both"))
+
+
 def jaccard_stability(sets: DataFrame) -> DataFrame:
     """jaccard: the mean pairwise Jaccard similarity of the sets of (id, items); 0 for fewer than two.
 
     Pairs come from the items they share, aggregated to one row each; those that share none, and
-    pairs of empty sets, add 0. An item that n sets have makes n (n - 1) / 2 rows.
+    pairs of empty sets, add 0. An item that n sets have counts for n (n - 1) / 2 pairs.
     """
     sets = sets.select("id", F.array_compact(F.array_distinct("items")).alias("items"))
-    items = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    a, b = items.select("item", F.col("id").alias("i"), F.col("n").alias("n_i")), items.select("item", F.col("id").alias("j"), F.col("n").alias("n_j"))
-    common = a.join(b, "item").where("i < j").groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("both"))
-    total = common.agg(F.coalesce(F.sum(F.col("both") / (F.col("n_i") + F.col("n_j") - F.col("both"))), F.lit(0.0)).alias("total"))
+    total = shared_items(sets).agg(F.coalesce(F.sum(F.col("both") / (F.col("n_i") + F.col("n_j") - F.col("both"))), F.lit(0.0)).alias("total"))
     n = F.col("n_sets")
     return sets.agg(F.count("*").alias("n_sets")).join(total).select(F.coalesce(F.try_divide(F.col("total"), n * (n - 1) / 2), F.lit(0.0)).alias("jaccard"))
 

@@ -9,6 +9,7 @@ import subprocess
 import sys
 import tempfile
 from datetime import date, timedelta
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +199,30 @@ def test_jaccard(spark):
     assert validation.jaccard_pass(sets("abcd", "abcd", "abcd")) and not validation.jaccard_pass(sets("ab", "bc"))
 
 
+def test_jaccard_deals_tasks_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(validation, "PAIRS_A_TASK", 2000, raising=False)
+    # two items that all 300 sets have: 44,850 pairs from 900 rows
+    sets = spark.range(300).select("id", F.array(F.lit(-1), F.lit(-2), F.col("id")).alias("items"))
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("jaccard", "jaccard")
+    try:
+        assert validation.jaccard_stability(sets).first()[0] == pytest.approx(0.5)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("jaccard")]
+    stages = [tracker.getStageInfo(k) for job in jobs if job for k in job.stageIds]
+    assert max(stage.numTasks for stage in stages if stage) >= 44_850 / 2000
+    by_task = validation.shared_items(sets).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(n for _, n in by_task) == 44_850 and max(n for _, n in by_task) < 6000
+
+
+def test_shared_items_are_those_of_all_pairs(spark):
+    rows = [(f"s{k}", [str(x) for x in range(60) if (x * x + 7 * k) % (k % 5 + 2) == 0]) for k in range(40)] + [("none", []), (None, ["0", "4"]), ("null", None)]
+    got = {frozenset(((r["i"], r["n_i"]), (r["j"], r["n_j"]))): r["both"] for r in validation.shared_items(spark.createDataFrame(rows, "id string, items array<string>")).collect()}
+    own = [((i, len(x)), set(x)) for i, x in rows if i is not None and x]
+    assert got == {frozenset((a, b)): len(x & y) for (a, x), (b, y) in combinations(own, 2) if x & y}
+
+
 def test_lookahead_guards(spark):
     df = panel(spark, range(3))
     with pytest.raises(LookaheadBiasError):
